@@ -75,13 +75,13 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
 
     def join(a: np.ndarray, b: np.ndarray, skip: int) -> np.ndarray:
         m = max(0, len(b) - skip)
-        return mix(a[:m]) * np.uint64(0x9E3779B97F4A7C15) + b[skip:]
+        return mix(mix(a[:m]) * np.uint64(0x9E3779B97F4A7C15) + b[skip:])
 
     while True:
         if n & size:
-            out, length = (block, size) if out is None else (join(out, block, length), length + size)
+            out, length = (block if size > 1 else mix(block), size) if out is None else (join(out, block, length), length + size)
         if size * 2 > n:
-            return mix(out)
+            return out
         block, size = join(block, block, size), size * 2
 
 
