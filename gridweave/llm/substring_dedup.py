@@ -10,7 +10,7 @@ that names its subtree, and each subtree holds the windows around its anchors.
 2. The windows of the other anchors go to their prefix's subtree. A very frequent prefix is lengthened by a salt from
    the document, which cuts its subtree into parts of a fixed expected size.
 3. In each subtree, equal windows are the leaves below one node at full depth. The first by document and position is
-   kept, the others are marked; of the parts of a lengthened prefix, the firsts meet once more.
+   kept, the others are marked; the firsts of a lengthened prefix's parts meet once more, dealt by window.
 4. The marks of each document, as (start, bit mask), are joined back to its text.
 """
 
@@ -93,16 +93,13 @@ def _packed_masks(flag: np.ndarray, row: np.ndarray, offset: np.ndarray, rows: i
 
 
 def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a mask of the windows that occur earlier; for parts of a lengthened prefix also their firsts, with h."""
+    """Rows with a mask of the windows that occur earlier; of parts of a lengthened prefix also a row with h for each first."""
     for t in complete_runs(batches, ["h", "salt"], 32_768):
         t = t.combine_chunks()
         h, salt, rid, th, start = (t[c].to_numpy() for c in ("h", "salt", "rid", "th", "start"))
         windows, sizes = unpacked(t["windows"], np.uint64)
         row = np.repeat(np.arange(len(h)), sizes)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        if "only" in t.column_names:
-            some = t["only"].to_numpy()[row] >> offset & 1 == 1
-            row, offset, windows = row[some], offset[some], windows[some]
         place = start[row] + offset
         order = np.lexsort((place, th[row], rid[row], windows, salt[row], h[row]))
         r, w, p = row[order], windows[order], place[order]
@@ -117,9 +114,9 @@ def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (salt > 0).any():
             firsts = np.zeros(len(row), bool)
             firsts[order] = lead == np.arange(len(r))
-            mask = _packed_masks(firsts & (salt[row] > 0), row, offset, len(h))
-            some = np.flatnonzero(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(th[some]), pa.array(start[some]), pa.array(mask[some]), pa.array(h[some]), t["windows"].combine_chunks().take(pa.array(some)).cast(pa.binary()) if not isinstance(t["windows"].combine_chunks(), pa.ChunkedArray) else pa.concat_arrays(t["windows"].chunks).take(pa.array(some))], schema=_MARKS)
+            some = np.flatnonzero(firsts & (salt[row] > 0))
+            r = row[some]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[r]), pa.array(th[r]), pa.array(place[some].astype(np.int32)), pa.array(np.ones(len(some), np.int64)), pa.array(h[r]), binary(windows[some], np.ones(len(some), np.int64))], schema=_MARKS)
 
 
 _SCHEMA = "rid long, th long, start int, mask long, h long, windows binary"
@@ -141,8 +138,9 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     if not often:
         return marks.select("rid", "th", "start", "mask")
     marks = checkpoint(marks)
-    firsts = marks.filter("h is not null").select("h", F.lit(0).cast("long").alias("salt"), "rid", "th", "start", "windows", F.col("mask").alias("only"))
-    met = firsts.repartition("h").sortWithinPartitions("h").mapInArrow(_subtrees, _SCHEMA)
+    # contexts of a frequent prefix mostly differ, so its firsts are dealt by their window; one window has a first for each part at most
+    firsts = marks.filter("h is not null").select("h", F.lit(0).cast("long").alias("salt"), "rid", "th", "start", "windows")
+    met = firsts.repartition("h", "windows").sortWithinPartitions("h").mapInArrow(_subtrees, _SCHEMA)
     return marks.filter("h is null").select("rid", "th", "start", "mask").union(met.select("rid", "th", "start", "mask"))
 
 
