@@ -45,7 +45,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors whose PYTHONPATH lacks it."""
+    """Makes this package importable on executors whose PYTHONPATH lacks it, and batches for Python fit for whole texts.
+
+    Spark's default of 10,000 rows a batch is for short rows; a session that sets its own number keeps it.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = Path(__file__).resolve().parents[2]
     context = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_gridweave_shipped", False):

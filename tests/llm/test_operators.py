@@ -392,6 +392,24 @@ def test_tokens_match_the_library(spark, real):
     assert bpe.encode(documents(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_pair_compatibility_is_that_of_merging():
+    import json
+
+    words = bpe.PrefixEncoder(bpe.Vocabulary(json.loads(bpe.load(queries.tokenizer_path()))))
+    valid = [i for i, p in words.parts.items() if words.merged(p) == (words.text[i],)]
+    inner = [i for i in valid if not words.text[i].endswith("</w>")]
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in zip(rng.choice(inner, 4000), rng.choice(valid, 4000), strict=True)]
+    short = [i for i in inner if len(words.parts[i]) <= 2]
+    pairs += [(int(a), int(b)) for a, b in zip(rng.choice(short, 4000), rng.choice(short, 4000), strict=True)] + [(i, i) for i in inner[:2000]]
+    yes = 0
+    for a, b in pairs:
+        want = words.merged(words.parts[a] + words.parts[b]) == (words.text[a], words.text[b])
+        yes += want
+        assert words.fits(a, b) == want, (words.text[a], words.text[b])
+    assert 500 < yes < len(pairs) - 500
+
+
 # decontamination
 
 
