@@ -204,11 +204,11 @@ def k3_completion_rate_batch(spark, sf_dir):
     return stream_completion_rate(read(spark, sf_dir, "events"), "ts", F.col("event_type") == "purchase", "1 day", "2 hours").select(F.date_format("tick", "yyyy-MM-dd").alias("tick"), "rate")
 
 
-STAGES = "outs AS (SELECT DISTINCT p_brand AS stage, p_type AS name FROM part WHERE p_size > 48), ins AS (SELECT DISTINCT p_brand AS stage, p_type AS name FROM part WHERE p_size < 5), deps AS (SELECT DISTINCT a.p_brand AS stage, b.p_brand AS dep FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_brand <> b.p_brand)"
+STAGES = "outs AS (SELECT DISTINCT p_brand AS stage, p_type || '/' || (p_size % 7) AS name FROM part WHERE p_size > 48), ins AS (SELECT DISTINCT p_brand AS stage, p_type || '/' || (p_size % 7) AS name FROM part WHERE p_size < 5), deps AS (SELECT DISTINCT a.p_brand AS stage, b.p_brand AS dep FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_brand <> b.p_brand)"
 
 
 def _declared(spark, sf_dir):
-    rows = {n: bound(spark, sf_dir, f"SELECT DISTINCT p_brand AS stage, p_type AS name FROM part WHERE {w}") for n, w in (("outs", "p_size > 48"), ("ins", "p_size < 5"))}
+    rows = {n: bound(spark, sf_dir, f"SELECT DISTINCT p_brand AS stage, p_type || '/' || (p_size % 7) AS name FROM part WHERE {w}") for n, w in (("outs", "p_size > 48"), ("ins", "p_size < 5"))}
     rows["deps"] = bound(spark, sf_dir, "SELECT DISTINCT a.stage, b.stage AS dep FROM (SELECT p_partkey AS k, p_brand AS stage FROM part) a JOIN (SELECT p_partkey - 1 AS k, p_brand AS stage FROM part) b ON a.k = b.k WHERE a.stage <> b.stage")
     return rows
 

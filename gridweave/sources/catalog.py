@@ -99,7 +99,7 @@ def load_results(spark: SparkSession, jobs: DataFrame, outputs: DataFrame, key:
     paths = paths.filter("path is not null") if known else jobs.select("job_id", F.concat(F.lit(base.rstrip("/") + "/"), "job_id", F.lit(f"/out/{key}")).alias("path"))
     reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", "true")
     rows = (reader.option("header", "true") if format == "csv" else reader).format(format).load(glob)
-    rows = rows.withColumn("job_id", F.regexp_extract("_metadata.file_path", r"/([^/]+)/out/", 1)).join(paths.select("job_id"), "job_id")
+    rows = rows.withColumn("job_id", F.regexp_extract("_metadata.file_path", r".*/([^/]+)/out/", 1)).join(paths.select("job_id"), "job_id")
     if eff is None:
         return rows
     return rows.join(eff.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("params")), "job_id", "left")

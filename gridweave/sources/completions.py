@@ -39,6 +39,8 @@ def append_completions(df: DataFrame, path: str) -> None:
 
 def scan_markers(spark: SparkSession, outputs: str) -> DataFrame:
     """(job_id, status) from ``<job>/<folder>/SUCCESS`` and ``FAIL`` files; with both, success wins."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "{SUCCESS,FAIL}").option("recursiveFileLookup", "true").load(outputs).select("path")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{outputs.rstrip('/')}/*/*/{{SUCCESS,FAIL}}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)  # scans leave empty files out, and markers are empty
+    files = spark.createDataFrame([(f.getPath().toString(),) for f in found or []], "path string")
     parts = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/(SUCCESS|FAIL)$", 1).alias("job_id"), F.col("path").endswith("SUCCESS").alias("ok"))
     return parts.filter("job_id <> ''").groupBy("job_id").agg(F.when(F.max("ok"), "Succeeded").otherwise("Failed").alias("status"))

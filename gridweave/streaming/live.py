@@ -45,5 +45,5 @@ def stream_run_status(log: DataFrame, jobs: DataFrame, checkpoint: str, table: s
 
 def stream_completion_rate(events: DataFrame, ts: str, done: Column, width: str, late: str) -> DataFrame:
     """(tick, rate): completions in each time bucket, for append mode; events later than ``late`` behind are not counted."""
-    counted = events.withWatermark(ts, late).groupBy(F.window(ts, width)["start"].alias("tick")).agg(F.count_if(done).alias("rate"))
-    return counted.select("tick", "rate")
+    counted = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count_if(done).alias("rate"))
+    return counted.select(F.col("w.start").alias("tick"), "rate")
