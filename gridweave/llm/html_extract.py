@@ -435,9 +435,10 @@ def fit(sample: list[str], made: int = 700, seed: int = 7) -> Extractor:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Extractor:
-    """Fits on at most ``sample`` pages, by hash order of page_id."""
-    rows = pages.filter("html is not null").select("page_id", F.col("html").cast("string").alias("html")).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample)
-    return fit([r.html for r in rows.collect()])
+    """Fits on at most ``sample`` pages, by hash order of page_id; ids are chosen first, so only these pages move."""
+    ids = pages.filter("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    rows = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    return fit([r.html for r in sorted(rows.collect(), key=lambda r: r.page_id)])
 
 
 def _extract(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
