@@ -29,7 +29,7 @@ from gridweave.llm._text import chunks
 
 STORE = 250_000
 #: White space of the Unicode property, which differs from ``str.isspace`` at the four separators 1C to 1F.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSPACED = re.compile(f"[^{_SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
