@@ -224,17 +224,18 @@ def h1_scatter(spark, sf_dir):
     return fanout.scatter(jobs, "items").select("job_id", F.col("branch_idx").cast("long").alias("branch_idx"), "item")
 
 
-DIAMOND = [fanout.Step("square", value=F.col("x") * F.col("x")), fanout.Step("double", value=F.col("x") * 2), fanout.Step("combine", ("square", "double"), F.col("square") + F.col("double"))]
+def diamond() -> list[fanout.Step]:
+    return [fanout.Step("square", value=F.col("x") * F.col("x")), fanout.Step("double", value=F.col("x") * 2), fanout.Step("combine", ("square", "double"), F.col("square") + F.col("double"))]
 
 
 @query("SELECT job_id, branch_idx, x * x AS square, 2 * x AS double, x * x + 2 * x AS combine FROM branches_fx", "branches_fx")
 def h2_i4_run_steps(spark, sf_dir):
-    return fanout.run_steps(bound(spark, sf_dir, "branches_fx"), DIAMOND).select("job_id", "branch_idx", "square", "double", "combine")
+    return fanout.run_steps(bound(spark, sf_dir, "branches_fx"), diamond()).select("job_id", "branch_idx", "square", "double", "combine")
 
 
 @query("SELECT job_id, string_agg(CAST(x * x + 2 * x AS VARCHAR), ',' ORDER BY branch_idx) AS items, sum(x * x + 2 * x)::BIGINT AS total FROM branches_fx GROUP BY job_id", "branches_fx")
 def h3_gather(spark, sf_dir):
-    done = fanout.run_steps(bound(spark, sf_dir, "branches_fx"), DIAMOND)
+    done = fanout.run_steps(bound(spark, sf_dir, "branches_fx"), diamond())
     total = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x)
     return fanout.gather(done, "combine").select("job_id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), total.alias("total"))
 
@@ -260,7 +261,7 @@ def h6_side_outputs(spark, sf_dir):
 @query("SELECT job_id, 2 + 3 * count(*) AS units, 1 + count(*) FILTER (l_partkey % 23 <> 0) AS finished FROM branches_fx GROUP BY job_id", "branches_fx")
 def h7_expected_units(spark, sf_dir):
     rows = bound(spark, sf_dir, "branches_fx")
-    steps = spark.createDataFrame([(s.name,) for s in DIAMOND], "step string")
+    steps = spark.createDataFrame([(s.name,) for s in diamond()], "step string")
     expected = fanout.expected_units(rows.groupBy("job_id").agg(F.count("*").alias("branches")), steps)
     done = rows.filter("l_partkey % 23 <> 0").select("job_id", F.concat(F.lit("square:"), F.col("branch_idx").cast("string")).alias("unit")).union(rows.select("job_id", F.lit("scatter")))
     return fanout.unit_progress(expected, done)
