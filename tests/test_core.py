@@ -243,3 +243,13 @@ def test_streams_equal_batches(spark, tmp_path):
     q = stream_completion_rate(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev")), "ts", F.col("ok") == 1, "1 hour", "1 minute").writeStream.outputMode("append").format("memory").queryName("rate").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.rate for r in spark.table("rate").collect()] == [1]
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=100)
+    assert said.returncode == 0 and int(said.stdout) >= 94, said.stderr
