@@ -124,8 +124,12 @@ def in_filter(bits: np.ndarray, hashed: np.ndarray, log2_bits: int) -> np.ndarra
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def complete_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 65_536) -> Iterator[pa.Table]:
-    """Tables of at least ``rows`` rows in which every run of equal keys is whole; the input is sorted by ``keys``."""
+def complete_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 65_536, pieces: bool = False) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows in which every run of equal keys is whole; the input is sorted by ``keys``.
+
+    With ``pieces``, a run of more than ``rows`` rows is not held: it comes in tables of its own, and its last rows
+    begin the table after them.
+    """
     held: list[pa.RecordBatch] = []
     n, want = 0, rows
     for batch in batches:
@@ -141,7 +145,9 @@ def complete_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int
             values = table[k].to_numpy()
             other |= values != values[-1]
         cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
-        if not cut:
+        if not cut and pieces:
+            cut = n
+        elif not cut:
             want *= 2  # one long run: look again when it has doubled
             continue
         yield table.slice(0, cut)

@@ -81,23 +81,31 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64())])
 
 
 def _link(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) inside each run of (mask, key), or (fingerprint, null, finer mask) for runs over ``limit``."""
-    for t in complete_runs(batches, ["mask", "key"]):
+    """Links (a, b) inside each run of (mask, key), or (fingerprint, null, finer mask) for runs over ``limit``.
+
+    Runs over ``limit`` are passed on as they stream by; a task holds no more than a table of rows.
+    """
+    cut = None  # the run whose pieces were passed on
+    for t in complete_runs(batches, ["mask", "key"], max(65_536, limit + 1), pieces=True):
         mask, key, fp = (t[c].to_numpy() for c in ("mask", "key", "fp"))
         starts = np.concatenate([[0], np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1, [len(fp)]])
         sizes = np.diff(starts)
-        two = starts[:-1][sizes == 2]
+        rest = cut == (mask[0], key[0])
+        whole = np.ones(len(sizes), bool)
+        whole[0] = not rest
+        two = starts[:-1][(sizes == 2) & whole]
         near = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= DISTANCE
         a, b, finer = [fp[two][near]], [fp[two + 1][near]], []
-        for i in np.flatnonzero(sizes > 2):
+        for i in np.flatnonzero((sizes > 2) | ~whole):
             own = fp[starts[i] : starts[i + 1]]
             agreed = int(mask[starts[i]]) & (2**64 - 1)
-            if len(own) <= limit or agreed.bit_count() >= 56:  # eight free bits leave 256 values
+            if whole[i] and len(own) <= limit or agreed.bit_count() >= 56:  # eight free bits leave 256 values
                 links = np.array(_spanning(own.view(np.uint64)), np.uint64).reshape(-1, 2)
                 a.append(links[:, 0].view(np.int64) if len(links) else own[:0])
                 b.append(np.ascontiguousarray(links[:, 1]).view(np.int64) if len(links) else own[:0])
             else:
                 finer += [(own, m) for m in _split(agreed)]
+        cut = (mask[-1], key[-1]) if len(sizes) == 1 and (rest or sizes[0] > limit) else None
         a, b = (np.concatenate([np.ascontiguousarray(x) for x in v]) for v in (a, b))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=_LINKS)
         for own, m in finer:

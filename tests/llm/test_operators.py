@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -225,6 +226,22 @@ def test_links_in_crowded_blocks(spark, limit):
     assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_long_runs_stream_to_finer_blocks():
+    fps = np.arange(150_000)
+    small = np.array([5, 7])
+
+    def batches():
+        for mask, own in ((1, small), (2, fps), (3, small)):
+            for i in range(0, len(own), 10_000):
+                x = pa.array(own[i : i + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), mask)), pa.array(np.zeros(len(x), np.int64)), x], ["mask", "key", "fp"])
+
+    out = pa.Table.from_batches(simhash._link(batches(), 2048)).to_pandas()
+    finer = out[out["mask"].notna()]
+    assert len(finer) == len(fps) * 20 and set(finer["a"]) == set(fps.tolist()) and not finer.duplicated(["a", "mask"]).any()
+    assert out[out["mask"].isna()][["a", "b"]].values.tolist() == [[5, 7], [5, 7]]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 299), (299, 300)]
     got = {r.node: r.component for r in helpers.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
