@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm._spark import BROADCAST_ROWS, NULL_ID, checkpoint, filter_blocks, filter_bytes, in_filter, join_sized, ship
+from gridweave.llm._spark import BROADCAST_ROWS, NULL_ID, checkpoint, filter_blocks, filter_bytes, in_filter, join_sized, row_key, ship
 from gridweave.llm._text import binary, chunks, plain_words, raw, rolling, unpacked, word_hashes
 
 LOG2_BITS = 24
@@ -75,8 +75,8 @@ def _passages(batches: Iterable[pa.RecordBatch], n: int, bits, reach: int) -> It
         starts, sizes = lo[first], hi[last] - lo[first]
         words = np.concatenate([h[s : s + k] for s, k in zip(starts, sizes, strict=True)])
         seeds = [np.unique(g[a : b + 1]) for a, b in zip(first, last, strict=True)]
-        ids = part.column("rid").to_numpy()[row[first]]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts - begin[first]), binary(words, sizes), pa.array([s.view(np.int64).tolist() for s in seeds], pa.list_(pa.int64()))], ["rid", "start", "passage", "seeds"])
+        ids, th = (part.column(c).to_numpy()[row[first]] for c in ("rid", "th"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(th), pa.array(starts - begin[first]), binary(words, sizes), pa.array([s.view(np.int64).tolist() for s in seeds], pa.list_(pa.int64()))], ["rid", "th", "start", "passage", "seeds"])
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -118,20 +118,14 @@ def _scores(batches: Iterable[pa.RecordBatch], cells: int = 4_000_000) -> Iterat
             own = order[i:j]
             score[own] = align([passages[k] for k in own], [items[k] for k in own]) / np.array([MATCH * max(1, len(items[k])) for k in own])
             i = j
-        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("item_id"), b.column("start"), pa.array(score)], ["rid", "item_id", "start", "score"])
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("th"), b.column("item_id"), pa.array(score)], ["rid", "th", "item_id", "score"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, score of every document that holds an item, verbatim or edited, up to a score of ``threshold``.
-
-    ``docs`` has (doc_id, text), ``items`` (item_id, text). Words are compared in lower case without ASCII punctuation.
-    Each item has its ``seeds`` rarest ``n``-grams as seeds, ties by hash; items shorter than ``n`` words have none
-    and are never found. Rows that repeat a doc_id give one result; a null doc_id gives null. Null and empty texts hold
-    nothing. Repeated items give a row each. An empty table on either side gives an empty result.
-    """
+def contaminated_rows(docs: DataFrame, items: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rid, th (see ``row_key``), item_id, score of every row that holds an item; ``contaminated`` tells what is found."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = checkpoint(items.mapInArrow(_item_words, "item_id long, item binary, n_item long").filter(F.col("n_item") >= n).withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key"]))
     grams = checkpoint(items.mapInArrow(lambda it: _item_grams(it, n), "item_id long, seed long").distinct())
@@ -141,10 +135,21 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, seeds: int = 16,
     ranked = grams.join(seen, "seed").withColumn("rank", F.expr("row_number() over (partition by item_id order by docs, seed)"))
     rare = checkpoint(ranked.filter(F.col("rank") <= seeds).select("item_id", "seed"))
     rare_bits = spark.sparkContext.broadcast(filter_bytes(filter_blocks(rare, F.col("seed"), LOG2_BITS), LOG2_BITS))
-    found = docs.mapInArrow(lambda it: _passages(it, n, rare_bits, reach), "rid long, start long, passage binary, seeds array<long>")
-    paired = join_sized(found.select("rid", "start", "passage", F.explode("seeds").alias("seed")), rare, "seed", "inner", broadcast_rows)
-    pairs = join_sized(paired.select("rid", "start", "passage", "item_id").dropDuplicates(["rid", "start", "item_id"]), words.drop("n_item", "item_key"), "item_id", "inner", broadcast_rows)
-    scored = pairs.select("rid", "start", "item_id", "passage", "item").mapInArrow(_scores, "rid long, item_id long, start long, score double")
-    best = scored.filter(F.col("score") >= threshold).groupBy("rid", "item_id").agg(F.max("score").alias("score"))
+    found = docs.mapInArrow(lambda it: _passages(it, n, rare_bits, reach), "rid long, th long, start long, passage binary, seeds array<long>")
+    paired = join_sized(found.select("rid", "th", "start", "passage", F.explode("seeds").alias("seed")), rare, "seed", "inner", broadcast_rows)
+    pairs = join_sized(paired.select("rid", "th", "start", "passage", "item_id").dropDuplicates(["rid", "th", "start", "item_id"]), words.drop("n_item", "item_key"), "item_id", "inner", broadcast_rows)
+    scored = pairs.select("rid", "th", "item_id", "passage", "item").mapInArrow(_scores, "rid long, th long, item_id long, score double")
+    return scored.filter(F.col("score") >= threshold)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, item_id, score of every document that holds an item, verbatim or edited, up to a score of ``threshold``.
+
+    ``docs`` has (doc_id, text), ``items`` (item_id, text). Words are compared in lower case without ASCII punctuation.
+    Each item has its ``seeds`` rarest ``n``-grams as seeds, ties by hash; items shorter than ``n`` words have none
+    and are never found. Rows that repeat a doc_id give one result; a null doc_id gives null. Null and empty texts hold
+    nothing. Repeated items give a row each. An empty table on either side gives an empty result.
+    """
+    best = contaminated_rows(docs, items, n, seeds, threshold, broadcast_rows).groupBy("rid", "item_id").agg(F.max("score").alias("score"))
     plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return best.select(plain("rid").alias("doc_id"), plain("item_id").alias("item_id"), F.round("score", 6).alias("score"))

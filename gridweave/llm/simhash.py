@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm._spark import checkpoint, complete_runs, connected_components, join_skewed, ship
+from gridweave.llm._spark import checkpoint, complete_runs, connected_components, join_skewed, row_key, ship
 from gridweave.llm._text import raw
 
 #: Different bits of linked fingerprints.
@@ -44,13 +44,13 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t, shingle) for t in raw(b.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+    """(doc_id, th, fp) for every row; th is that of ``row_key``, fp the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key()[1], F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, th long, fp long")
 
 
 @lru_cache(100_000)
@@ -126,12 +126,8 @@ def links(fps: DataFrame, limit: int = 2048) -> DataFrame:
             return out.distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of three bits or fewer).
-
-    Texts without words have fingerprint zero and are linked like any other. A null doc_id keeps its row; a component
-    of nothing but null ids has a null id. Repeated rows give repeated rows. An empty table gives an empty result.
-    """
+def groups(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:
+    """doc_id, th, fp, component_id for every row; ``near_duplicates`` tells how."""
     each = checkpoint(fingerprints(docs, shingle))
     folded = checkpoint(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     joined = connected_components(links(folded.select("fp"), limit)).withColumnsRenamed({"node": "fp"})
@@ -139,4 +135,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> Dat
     of = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     named = checkpoint(folded.join(linked.join(of, "component").select("fp", "component_id"), "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
     total = each.count()
-    return join_skewed(each, named, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_skewed(each, named, "fp", total).select("doc_id", "th", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of three bits or fewer).
+
+    Texts without words have fingerprint zero and are linked like any other. A null doc_id keeps its row; a component
+    of nothing but null ids has a null id. Repeated rows give repeated rows. An empty table gives an empty result.
+    """
+    return groups(docs, shingle, limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

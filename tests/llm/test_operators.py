@@ -469,6 +469,9 @@ def test_contamination_of_copies_and_edits(spark, broadcast_rows):
     want |= {(1000 + i, 7) for i in range(200)}
     got = decontam.contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast_rows).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    shared = [(i, f"{' '.join(items[3][1].split()[:4])} {noise(30)}") for i in (None, None, 3, 3)] + [(None, items[3][1]), (3, items[3][1])]
+    got = decontam.contaminated(documents(spark, shared), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast_rows).collect()
+    assert sorted(got, key=str) == sorted([(None, 3, 1.0), (3, 3, 1.0)], key=str)
     assert decontam.contaminated(documents(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontam.contaminated(documents(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 

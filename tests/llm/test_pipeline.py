@@ -45,6 +45,16 @@ def test_contaminated_documents_go(spark, docs, sf_dir):
     assert holds and not holds & left and len(left) >= docs.count() - len(holds) - 3
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c = ("the river froze over early that year", "a new bridge opens to walkers in spring", "bakers rise before the town wakes up")
+    df = documents(spark, [(1, a), (5, a), (5, b), (None, a), (None, c), (6, c), (7, item), (7, b + " soon"), (None, item)])
+    left = stages["near_dedup"](spark, df, sf_dir)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (5, b), (6, c), (7, item), (7, b + " soon")], key=str)
+    left = stages["decontamination"](spark, df, sf_dir)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (5, a), (5, b), (None, a), (None, c), (6, c), (7, b + " soon")], key=str)
+
+
 def test_the_whole_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
