@@ -1,14 +1,17 @@
 """Cross-entropy difference under two matched bigram models.
 
-Target model: the documents that ``labels`` marks as good. Background model: all documents. Both share one closed
-vocabulary (the most frequent words of all documents; the rest is one unknown word), one list of bigrams and one
-smoothing, so a token's losses differ only by what the two corpora hold:
+Target model: the documents that ``labels`` marks as good. Background model: all documents. Both share one vocabulary,
+one list of bigrams and one smoothing, so a token's losses differ only by what the two corpora hold:
 
     p(w | u) = L * c(u, w) / c(u)  [listed bigrams]  +  (1 - L * listed(u) / c(u)) * (c(w) + 1) / (N + V)
 
-All counts run over whole texts of all documents. Counts are combined inside each task and cross the network as packed
-arrays, a few bytes a different bigram. The vocabulary and the bigram list are sized by parameters, which bounds what
-is broadcast; a bigram outside the list backs off to its word, so every token of every document is scored.
+All counts run over whole texts of all documents, and every word and every bigram is listed: the counts lie spread over
+buckets by hash, as many as the input needs, and none is gathered on the driver or broadcast. Each chunk of texts asks
+every bucket once for the counts of its different keys (bigrams and words), so a hot key has one row a chunk; the
+answers come back to the chunk, which scores its tokens. Keys are 63-bit hashes; results hold up to their collisions.
+
+``score`` with a ``vocabulary`` and a number of ``bigrams`` fits a smaller model of that size, which is broadcast: the
+rest is one unknown word, and a bigram outside the list backs off to its word.
 """
 
 from __future__ import annotations
@@ -19,18 +22,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm._spark import NULL_ID, checkpoint, filter_blocks, join_sized, probe, ship
-from gridweave.llm._text import LOWER, UPPER, WORD, chunks, mix, raw
+from gridweave.llm._spark import BLOCK_BITS, NULL_ID, bit_index, checkpoint, filter_blocks, join_sized, probe, ship
+from gridweave.llm._text import LOWER, UPPER, WORD, chunks, mix, raw, word_hashes
 
+#: The size of the smaller model that the SQL tells of.
 VOCABULARY = 32_768
 BIGRAMS = 1_048_576
 WEIGHT = 0.7
 #: Ids of the unknown word and of the start of a text; words follow.
 UNKNOWN, START = 0, 1
 BUCKETS = 256
+#: Bytes of text for each bucket of the whole model.
+BUCKET_BYTES = 16_000_000
+#: The lowest bit of a key tells bigrams from words; the hash of the start of a text, which no word has as its own.
+BIGRAM, SINGLE = 0, 1
+START_HASH = np.uint64(0x5851F42D4C957F2D)
+#: The chunk of a bucket's totals.
+NONE = -1
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -160,16 +172,181 @@ def _score(batches: Iterable[pa.RecordBatch], ids, models) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *map(pa.array, sums), pa.array(sums[0] - sums[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"])
 
 
+def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys of bigrams and words, sorted; where each token's bigram, word and context are; tokens a text."""
+    words = [_words(t) for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    word = np.concatenate([word_hashes().of(w) for w in words]) if words else np.zeros(0, np.uint64)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    context = np.concatenate([[START_HASH], word[:-1]]).astype(np.uint64)[: len(word)]
+    context[starts] = START_HASH
+    bigram = mix(mix(context) * np.uint64(0x9E3779B97F4A7C15) + word)
+    keys, at = np.unique(np.concatenate([k & ~np.uint64(1) | np.uint64(kind) for k, kind in ((bigram, BIGRAM), (mix(np.append(word, START_HASH)), SINGLE))]), return_inverse=True)
+    single = at[len(word) : -1]
+    before = np.concatenate([at[-1:], single[:-1]])[: len(word)]
+    before[starts] = at[-1]
+    return keys, at[: len(word)], single, before, counts
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins and ends among sorted keys; buckets are ranges of the hash."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, ids, good, sizes, texts): many texts in one compressed binary."""
+    first, i, codec = TaskContext.get().partitionId() << 32, 0, pa.Codec("zstd", compression_level=6)
+    for part, texts in chunks(batches, limit=16_000_000):
+        columns = [first + i], [part.column("doc_id").to_pylist()], [part.column("good").to_pylist()], [[len(t) for t in texts]], [codec.compress(b"".join(texts), asbytes=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNK.types, strict=True)], schema=_CHUNK)
+        i += 1
+
+
+_CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("good", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
+
+
+def _texts(sizes: list[int], packed: bytes) -> list[bytes]:
+    whole = pa.decompress(packed, sum(sizes), "zstd", asbytes=True)
+    return [whole[e - k : e] for e, k in zip(np.cumsum(sizes, dtype=np.int64).tolist(), sizes, strict=True)]
+
+
+def _ask(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, chunk, n, keys, counts): the different keys of a chunk, sorted, as planes of bytes of differences.
+
+    A key's four counts are of all and of the good texts, each as bigram or word and then as context.
+    """
+    for b in batches:
+        for chunk, good, sizes, texts in zip(*(b.column(c).to_pylist() for c in ("chunk", "good", "sizes", "texts")), strict=True):
+            keys, bigram, single, before, counts = _keys(_texts(sizes, texts))
+            n = []
+            for own in (slice(None), np.repeat(np.array(good, bool), counts)):
+                n += [np.bincount(np.concatenate([bigram[own], single[own]]), minlength=len(keys)), np.bincount(before[own], minlength=len(keys))]
+            n, edges = np.stack(n), _edges(keys, buckets)
+            rows = [(k, z - a, zlib.compress(np.diff(keys[a:z], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1), _narrow(n[:, a:z])) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.binary()), (3, pa.binary())))], ["bucket", "chunk", "n", "keys", "counts"])
+
+
+def _narrow(n: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs; their width follows from their number."""
+    return zlib.compress(n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes(), 1)
+
+
+def _wide(packed: bytes, rows: int, n: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, f"u{len(raw) // (rows * n)}").reshape(rows, n).astype(np.int64)
+
+
+def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, bucket, counts): the corpus counts of what a chunk asked for, in its order.
+
+    Each bucket also has a row of no chunk with its number of different words and the words counted on each side.
+    Rows are sorted by bucket; one bucket is held at a time.
+    """
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    now = None
+
+    def done() -> pa.RecordBatch:
+        keys, back = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+        total, at, rows = np.zeros((4, len(keys)), np.int64), 0, []
+        for _, k, n in held:  # the keys of one row are all different
+            total[:, back[at : at + len(k)]] += n
+            at += len(k)
+        at = 0
+        for chunk, k, _ in held:
+            rows.append((chunk, now, _narrow(total[:, back[at : at + len(k)]]), 0, 0, 0))
+            at += len(k)
+        n = total[::2, (keys & np.uint64(1)) == SINGLE]
+        rows.append((NONE, now, b"", int((n[0] > 0).sum()), *map(int, n.sum(axis=1))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ANSWER.types, strict=True)], schema=_ANSWER)
+
+    for b in batches:
+        for bucket, chunk, n, keys, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "n", "keys", "counts")), strict=True):
+            if bucket != now and held:
+                yield done()
+                held = []
+            now = bucket
+            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(keys), np.uint8).reshape(8, n).T).view(np.uint64)[:, 0]
+            held.append((chunk, np.cumsum(steps, dtype=np.uint64), _wide(counts, 4, n)))
+    if held:
+        yield done()
+
+
+_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("words", pa.int64()), ("n_background", pa.int64()), ("n_target", pa.int64())])
+
+
+def _sides(batches: Iterable[pa.RecordBatch], buckets: int, totals: tuple[int, int, int], weight: float) -> Iterator[pa.RecordBatch]:
+    """Scores of each chunk's texts from the chunk's row (bucket -1) and the answers after it, sorted by bucket."""
+    size, *sums = totals
+    held, answers = None, {}
+
+    def done() -> pa.RecordBatch:
+        ids, texts = held
+        keys, bigram, single, before, counts = _keys(texts)
+        known, edges, losses = np.zeros((4, len(keys)), np.int64), _edges(keys, buckets), []
+        for k in np.flatnonzero(np.diff(edges)):
+            known[:, edges[k] : edges[k + 1]] = _wide(answers[int(k)], 4, edges[k + 1] - edges[k])
+        for (n, contexts), total in ((known[2:], sums[1]), (known[:2], sums[0])):  # target, background
+            alone, seen = (n[single] + 1) / (total + size), contexts[before]
+            share = np.divide(weight * n[bigram], seen, out=np.zeros(len(seen)), where=seen > 0)
+            loss = -np.log(share + np.where(seen > 0, 1 - weight, 1) * alone)
+            mean = np.zeros(len(counts))
+            if len(loss):
+                mean[counts > 0] = np.add.reduceat(loss, (np.cumsum(counts) - counts)[counts > 0])
+            losses.append(mean / np.maximum(counts, 1))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts), *map(pa.array, losses), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"])
+
+    for b in batches:
+        for bucket, ids, sizes, texts, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "ids", "sizes", "texts", "counts")), strict=True):
+            if bucket < 0:
+                if held:
+                    yield done()
+                held, answers = (ids, _texts(sizes, texts)), {}
+            else:
+                answers[bucket] = counts
+    if held:
+        yield done()
+
+
+def _marks(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A bit filter of fixed size that finds the rows (rid) of ``docs`` marked as good where they are, and ids that it takes wrongly."""
+    good = labels.filter("quality = 1").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid")).distinct()
+    blocks = filter_blocks(good, F.xxhash64("rid"))
+    maybe = probe(docs.select("rid", F.xxhash64("rid").alias("h")), F.col("h"), blocks).select("rid").distinct()
+    return blocks, checkpoint(maybe.join(good, "rid", "left_anti"))
+
+
+def _flagged(docs: DataFrame, blocks: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``docs`` with ``good``; no row is dropped or moved but for what the filter takes wrongly."""
+    at = bit_index(F.xxhash64("rid"), 26)
+    hit = docs.withColumns({"block": (at / BLOCK_BITS).cast("long"), "at": (at % BLOCK_BITS).cast("int")}).join(F.broadcast(blocks), "block", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = hit.withColumn("hit", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, at % 8)")) != 0, F.lit(False))).drop("block", "at", "bits")
+    return join_sized(hit, wrong.withColumn("wrong", F.lit(True)), "rid", "left").withColumn("good", F.col("hit") & F.col("wrong").isNull())
+
+
+def score_whole(docs: DataFrame, labels: DataFrame, weight: float = WEIGHT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``score`` under models of all words and bigrams."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks, wrong = _marks(rows, labels)
+    # the ids of chunks hold for one run of the tasks that cut them, so what they cut is kept
+    cut = checkpoint(_flagged(rows, blocks, wrong).select("doc_id", "good", "text").mapInArrow(_chunk, "chunk long, ids array<long>, good array<boolean>, sizes array<long>, texts binary"))
+    buckets = max(BUCKETS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes)
+    asked = cut.mapInArrow(lambda it: _ask(it, buckets), "bucket long, chunk long, n long, keys binary, counts binary")
+    answers = checkpoint(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket long, counts binary, words long, n_background long, n_target long"))
+    words, *sums = (x or 0 for x in answers.filter(F.col("chunk") == NONE).agg(F.sum("words"), F.sum("n_background"), F.sum("n_target")).first())
+    totals = (words + 1, *sums)  # one unknown word
+    both = cut.drop("good").withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers.filter(F.col("chunk") != NONE).select("chunk", "bucket", "counts"), allowMissingColumns=True)
+    met = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").select("bucket", "ids", "sizes", "texts", "counts")
+    return met.mapInArrow(lambda it: _sides(it, buckets, totals, weight), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")
+
+
 def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS, weight: float = WEIGHT):
     """The broadcast word ids and models. ``docs`` has (doc_id, text); ``labels`` (doc_id, quality): 1 is the target."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    good = labels.filter("quality = 1").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid")).distinct()
-    # a bit filter of fixed size finds the target's texts where they are; what it lets through wrongly is named by id
-    blocks = filter_blocks(good, F.xxhash64("rid"))
-    maybe = probe(docs.select("rid", F.xxhash64("rid").alias("h")), F.col("h"), blocks).select("rid").distinct()
-    wrong = checkpoint(maybe.join(good, "rid", "left_anti"))
+    blocks, wrong = _marks(docs, labels)
     target = join_sized(probe(docs.withColumn("h", F.xxhash64("rid")), F.col("h"), blocks), wrong, "rid", "left_anti")
     listed = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toArrow()["word"].to_pylist()
     ids = _Ids({w: i + 2 for i, w in enumerate(listed)})
@@ -198,13 +375,17 @@ def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bigr
     return ids, spark.sparkContext.broadcast(models)
 
 
-def score(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS, weight: float = WEIGHT) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, bigrams: int | None = None, weight: float = WEIGHT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (mean nats a token) and loss_difference; lower: closer to the target.
 
     Tokens are what ASCII white space separates, A-Z in lower case. Texts without tokens have zero tokens and losses of
     0. Repeated rows are counted and scored each; a repeated id is in the target if any of its labels says so. Null labels mark nothing. With an
-    empty target both sides back off to equal words. An empty table gives an empty result.
+    empty target both sides back off to equal words. An empty table gives an empty result. With a ``vocabulary`` or
+    ``bigrams`` the models are of that size at most (of ``VOCABULARY`` or ``BIGRAMS`` where only one is given).
     """
+    if vocabulary is None and bigrams is None:
+        return score_whole(docs, labels, weight)
+    vocabulary, bigrams = vocabulary or VOCABULARY, bigrams or BIGRAMS
     ids, models = train(docs, labels, vocabulary, bigrams, weight)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(lambda it: _score(it, ids, models), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")

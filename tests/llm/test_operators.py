@@ -270,6 +270,32 @@ def test_scores_with_few_bigrams_and_odd_rows(spark):
     assert lm_scoring.score(documents(spark, []), labels).count() == 0
 
 
+def test_scores_count_every_word_and_bigram(spark):
+    """More different words than the smaller model's vocabulary, against the model's formula."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in np.concatenate([rng.integers(0, 60_000, 900), rng.integers(0, 50, 100)]))) for i in range(60)] + [(None, "w1 w2"), (70, None), (71, "W1 w1 w1")]
+    labels = spark.createDataFrame([(i, int(i < 9), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    sides = []
+    for part in ([t for i, t in rows if i is not None and i < 9], [t for _, t in rows]):
+        pairs = [p for t in part for w in [(t or "").lower().split()] for p in zip([None, *w], w, strict=False)]
+        sides.append((Counter(pairs), Counter(u for u, _ in pairs), Counter(w for _, w in pairs)))
+    size = len(sides[1][2]) + 1
+    assert size > lm_scoring.VOCABULARY
+
+    def loss(side, text):
+        two, context, word = side
+        w = text.lower().split()
+        p = [(0.7 * two[u, v] / context[u] + 0.3 * (word[v] + 1) / (word.total() + size)) if context[u] else (word[v] + 1) / (word.total() + size) for u, v in zip([None, *w], w, strict=False)]
+        return -np.log(p).sum() / max(1, len(w))
+
+    want = sorted((str(i), len((t or "").split()), *(round(loss(s, t or ""), 6) + 0.0 for s in sides)) for i, t in rows)
+    for bucket_bytes in (lm_scoring.BUCKET_BYTES, 1_000):
+        got = lm_scoring.score_whole(documents(spark, rows), labels, bucket_bytes=bucket_bytes).collect() if bucket_bytes == 1_000 else lm_scoring.score(documents(spark, rows), labels).collect()
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in got)
+        assert [g[:2] for g in got] == [x[:2] for x in want]
+        assert np.allclose([g[2:] for g in got], [x[2:] for x in want], atol=2e-6)
+
+
 # quality
 
 
