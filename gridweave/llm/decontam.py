@@ -1,16 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they point at.
-
-1. The n-grams of all items are counted over all documents (documents containing each); a bit filter of fixed size
-   keeps everything else out of the shuffle.
-2. Each item's rarest n-grams become its seeds. Rarity is relative to the item, so a passage that thousands of
-   documents copied still has seeds. Documents around a seed become passages, and an equi join on the seed pairs them
-   with items.
-3. Local alignment over word hashes scores each pair; matches give 2, mismatches and gaps cost 1. The score is divided
-   by that of the whole item, so 1.0 is a verbatim copy and edited copies lose in proportion to their edits.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment of the passages they crowd in.
+
+1. An alignment that scores at least S over an item of L words (matches give 2, mismatches and gaps cost 1) has at least
+   S - L - 1 pairs of neighbouring words of the item in a passage of at most 3 L - S words: m matches allow 2 m - S
+   misses, which cut them into at most 2 m - S + 1 runs. Where that asks for no pair (tiny items), single words do:
+   at least S / 2 of them.
+2. All pairs (or words) of all items lie in one table. A stretch of a text with as many hits of an item as this bound
+   is a passage; none that scores enough is lost, however often the corpus holds the item otherwise.
+3. Local alignment over word hashes scores each passage with its item in the task that found it, so no document or item
+   gathers rows. The score is divided by that of the whole item, so 1.0 is a verbatim copy and edited copies lose in
+   proportion to their edits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,30 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm._spark import BROADCAST_ROWS, NULL_ID, checkpoint, filter_blocks, filter_bytes, in_filter, join_sized, row_key, ship
+from gridweave.llm._spark import BROADCAST_ROWS, NULL_ID, checkpoint, row_key, ship
 from gridweave.llm._text import binary, chunks, plain_words, raw, rolling, unpacked, word_hashes
 
-LOG2_BITS = 24
 MATCH, MISS = 2, -1
 
 
-def _grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words; of every n-gram inside a text: hash, row, position among all words; where texts end."""
-    words = [plain_words(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    h = np.concatenate([word_hashes().of(w) for w in words]) if words else np.zeros(0, np.uint64)
-    g = rolling(h, n)
-    row = np.repeat(np.arange(len(words)), counts)[: len(g)]
-    at = np.flatnonzero(np.arange(len(g)) + n <= np.cumsum(counts)[row]) if len(g) else np.zeros(0, np.int64)
-    return h, g[at], row[at], at, np.cumsum(counts)
-
-
-def _item_grams(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches):
-        _, g, row, _, _ = _grams(texts, n)
-        yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(row)), pa.array(g.view(np.int64))], ["item_id", "seed"])
-
-
 def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         h = [word_hashes().of(plain_words(t)) for t in raw(b.column("text"))]
@@ -49,34 +34,75 @@ def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("item_id"), binary(np.concatenate(h), sizes), pa.array(sizes)], ["item_id", "item", "n_item"])
 
 
-def _seen(batches: Iterable[pa.RecordBatch], n: int, bits) -> Iterator[pa.RecordBatch]:
-    """(seed, docs): in how many texts of a chunk each n-gram in the filter occurs."""
-    for _, texts in chunks(batches, limit=4_000_000):
-        _, g, row, _, _ = _grams(texts, n)
-        hit = in_filter(bits.value, g, LOG2_BITS)
-        pairs = np.unique(np.stack([g[hit], row[hit].astype(np.uint64)], axis=1), axis=0) if hit.any() else np.zeros((0, 2), np.uint64)
-        seeds, docs = np.unique(pairs[:, 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(docs)], ["seed", "docs"])
-
-
-def _passages(batches: Iterable[pa.RecordBatch], n: int, bits, reach: int) -> Iterator[pa.RecordBatch]:
-    """The stretches of each text within ``reach`` words of a seed, once each, with their different seeds."""
+class Index:
+    """Items and their seeds: for pairs and for single words, sorted hashes and the items of each."""
+
+    def __init__(self, ids: list[int], items: list[np.ndarray], threshold: float):
+        self.ids, self.items = np.array(ids, np.int64), items
+        size = np.array([len(x) for x in items], np.int64)
+        least = np.array([math.ceil(MATCH * threshold * k - 1e-9) for k in size], np.int64)
+        pairs = least - size - 1
+        self.need = np.where(pairs > 0, pairs, np.maximum(1, -(-least // 2)))
+        self.span = np.maximum(1, 3 * size - least)
+        self.tables = []
+        for n, own in ((1, np.flatnonzero(pairs <= 0)), (2, np.flatnonzero(pairs > 0))):
+            grams = [np.unique(rolling(items[i], n)) for i in own]
+            if grams:
+                g, owner = np.concatenate(grams), np.repeat(own, [len(x) for x in grams])
+                order = np.argsort(g, kind="stable")
+                seeds, starts = np.unique(g[order], return_index=True)
+                self.tables.append((n, seeds, np.append(starts, len(g)), owner[order]))
+
+
+def _found(batches: Iterable[pa.RecordBatch], index, threshold: float, many: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """(rid, th, item_id, score) of every item that a text holds; at most ``many`` hits or one text's are held at once."""
+    x = index.value
     for part, texts in chunks(batches):
-        h, g, row, at, ends = _grams(texts, n)
-        hit = np.flatnonzero(in_filter(bits.value, g, LOG2_BITS))
-        if not len(hit):
-            continue
-        g, row, at = g[hit], row[hit], at[hit]
-        begin, end = np.concatenate([[0], ends[:-1]])[row], ends[row]
-        lo, hi = np.maximum(at - reach, begin), np.minimum(at + n + reach, end)
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(hit)]]) - 1
-        starts, sizes = lo[first], hi[last] - lo[first]
-        words = np.concatenate([h[s : s + k] for s, k in zip(starts, sizes, strict=True)])
-        seeds = [np.unique(g[a : b + 1]) for a, b in zip(first, last, strict=True)]
-        ids, th = (part.column(c).to_numpy()[row[first]] for c in ("rid", "th"))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(th), pa.array(starts - begin[first]), binary(words, sizes), pa.array([s.view(np.int64).tolist() for s in seeds], pa.list_(pa.int64()))], ["rid", "th", "start", "passage", "seeds"])
+        words = [plain_words(t) for t in texts]
+        ends = np.cumsum([len(w) for w in words])
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        h = np.concatenate([word_hashes().of(w) for w in words])
+        rids, ths = (part.column(c).to_numpy() for c in ("rid", "th"))
+        for n, seeds, starts, owners in x.tables:
+            g = rolling(h, n)
+            spot = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
+            at = np.flatnonzero(seeds[spot] == g)
+            row = np.searchsorted(ends, at, side="right")
+            at, row = (v[at + n <= ends[row]] for v in (at, row))
+            degree = np.diff(starts)[spot[at]]
+            sums, i = np.cumsum(degree), 0
+            while i < len(at):
+                j = int(np.searchsorted(sums, (sums[i - 1] if i else 0) + many, side="right"))
+                if j < len(at):  # whole texts only
+                    j = int(np.searchsorted(row, row[j]))
+                    j = j if j > i else int(np.searchsorted(row, row[i], side="right"))
+                own, pos, of = degree[i:j], at[i:j], row[i:j]
+                inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                item = owners[np.repeat(starts[spot[pos]], own) + inside]
+                pos, of = np.repeat(pos, own), np.repeat(of, own)
+                order = np.lexsort((pos, item, of))
+                yield from _windows(x, h, n, item[order], pos[order], of[order], begins, ends, rids, ths, threshold)
+                i = j
+
+
+def _windows(x: Index, h, n, item, pos, row, begins, ends, rids, ths, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Scores of the stretches where an item's hits are close and many; hits are sorted by row, item and position."""
+    last = np.arange(len(pos)) + x.need[item] - 1
+    first = np.flatnonzero(last < len(pos))
+    last = last[first]
+    keep = (row[first] == row[last]) & (item[first] == item[last]) & (pos[last] + n - pos[first] <= x.span[item[first]])
+    first, last = first[keep], last[keep]
+    if not len(first):
+        return
+    item, row = item[first], row[first]
+    lo, hi = np.maximum(pos[last] + n - x.span[item], begins[row]), np.minimum(pos[first] + x.span[item], ends[row])
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])]))
+    stop = np.append(new[1:], len(lo)) - 1
+    passages = [h[a:b] for a, b in zip(lo[new], hi[stop], strict=True)]
+    item, row = item[new], row[new]
+    score = _scores(passages, [x.items[k] for k in item])
+    good = score >= threshold
+    yield pa.RecordBatch.from_arrays([pa.array(rids[row[good]]), pa.array(ths[row[good]]), pa.array(x.ids[item[good]]), pa.array(score[good])], ["rid", "th", "item_id", "score"])
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -104,52 +130,47 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _scores(batches: Iterable[pa.RecordBatch], cells: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        passages, items = ([x[e - k : e] for e, k in zip(np.cumsum(n), n, strict=True)] for x, n in (unpacked(b.column(c), np.uint64) for c in ("passage", "item")))
-        size = np.array([len(p) for p in passages])
-        order = np.argsort(size, kind="stable")  # alike lengths go together
-        score = np.zeros(len(order))
-        i = 0
-        while i < len(order):
-            j, wide = i, 0
-            while j < len(order) and (j == i or max(wide, len(items[order[j]])) * (j - i + 1) <= 65_536 and max(wide, len(items[order[j]])) * (j - i + 1) * size[order[j]] <= 16 * cells):
-                wide, j = max(wide, len(items[order[j]])), j + 1
-            own = order[i:j]
-            score[own] = align([passages[k] for k in own], [items[k] for k in own]) / np.array([MATCH * max(1, len(items[k])) for k in own])
-            i = j
-        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("th"), b.column("item_id"), pa.array(score)], ["rid", "th", "item_id", "score"])
-
-
-def contaminated_rows(docs: DataFrame, items: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _scores(passages: list[np.ndarray], items: list[np.ndarray], cells: int = 4_000_000) -> np.ndarray:
+    size = np.array([len(p) for p in passages])
+    order = np.argsort(size, kind="stable")  # alike lengths go together
+    score = np.zeros(len(order))
+    i = 0
+    while i < len(order):
+        j, wide = i, 0
+        while j < len(order) and (j == i or max(wide, len(items[order[j]])) * (j - i + 1) <= 65_536 and max(wide, len(items[order[j]])) * (j - i + 1) * size[order[j]] <= 16 * cells):
+            wide, j = max(wide, len(items[order[j]])), j + 1
+        own = order[i:j]
+        score[own] = align([passages[k] for k in own], [items[k] for k in own]) / np.array([MATCH * max(1, len(items[k])) for k in own])
+        i = j
+    return score
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """rid, th (see ``row_key``), item_id, score of every row that holds an item; ``contaminated`` tells what is found."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = checkpoint(items.mapInArrow(_item_words, "item_id long, item binary, n_item long").filter(F.col("n_item") >= n).withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key"]))
-    grams = checkpoint(items.mapInArrow(lambda it: _item_grams(it, n), "item_id long, seed long").distinct())
-    reach = int(words.agg(F.max("n_item")).first()[0] or 0)
-    bits = spark.sparkContext.broadcast(filter_bytes(filter_blocks(grams, F.col("seed"), LOG2_BITS), LOG2_BITS))
-    seen = docs.select("text").mapInArrow(lambda it: _seen(it, n, bits), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
-    ranked = grams.join(seen, "seed").withColumn("rank", F.expr("row_number() over (partition by item_id order by docs, seed)"))
-    rare = checkpoint(ranked.filter(F.col("rank") <= seeds).select("item_id", "seed"))
-    rare_bits = spark.sparkContext.broadcast(filter_bytes(filter_blocks(rare, F.col("seed"), LOG2_BITS), LOG2_BITS))
-    found = docs.mapInArrow(lambda it: _passages(it, n, rare_bits, reach), "rid long, th long, start long, passage binary, seeds array<long>")
-    paired = join_sized(found.select("rid", "th", "start", "passage", F.explode("seeds").alias("seed")), rare, "seed", "inner", broadcast_rows)
-    pairs = join_sized(paired.select("rid", "th", "start", "passage", "item_id").dropDuplicates(["rid", "th", "start", "item_id"]), words.drop("n_item", "item_key"), "item_id", "inner", broadcast_rows)
-    scored = pairs.select("rid", "th", "item_id", "passage", "item").mapInArrow(_scores, "rid long, th long, item_id long, score double")
-    return scored.filter(F.col("score") >= threshold)
-
-
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    # the items go in passes of so many words, each pass over all texts, so what is broadcast has a bound
+    passes = max(1, math.ceil((words.agg(F.sum("n_item")).first()[0] or 0) / max(500, 10 * broadcast_rows)))
+    out = None
+    for k in range(passes):
+        table = words.filter(F.pmod("item_key", F.lit(passes)) == k).select("item_id", "item").toArrow()
+        values, sizes = unpacked(table["item"], np.uint64)
+        index = spark.sparkContext.broadcast(Index(table["item_id"].to_pylist(), [values[e - m : e] for e, m in zip(np.cumsum(sizes), sizes, strict=True)], threshold))
+        found = docs.mapInArrow(lambda it, index=index: _found(it, index, threshold), "rid long, th long, item_id long, score double")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, score of every document that holds an item, verbatim or edited, up to a score of ``threshold``.
 
     ``docs`` has (doc_id, text), ``items`` (item_id, text). Words are compared in lower case without ASCII punctuation.
-    Each item has its ``seeds`` rarest ``n``-grams as seeds, ties by hash; items shorter than ``n`` words have none
-    and are never found. Rows that repeat a doc_id give one result; a null doc_id gives null. Null and empty texts hold
+    Items shorter than ``n`` words are never found; of all others every alignment with the score is. Rows that repeat a doc_id give one result; a null doc_id gives null. Null and empty texts hold
     nothing. Repeated items give a row each. An empty table on either side gives an empty result.
     """
-    best = contaminated_rows(docs, items, n, seeds, threshold, broadcast_rows).groupBy("rid", "item_id").agg(F.max("score").alias("score"))
+    best = contaminated_rows(docs, items, n, threshold, broadcast_rows).groupBy("rid", "item_id").agg(F.max("score").alias("score"))
     plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return best.select(plain("rid").alias("doc_id"), plain("item_id").alias("item_id"), F.round("score", 6).alias("score"))

@@ -502,6 +502,24 @@ def test_contamination_of_copies_and_edits(spark, broadcast_rows):
     assert decontam.contaminated(documents(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_edited_and_partial_copies_beside_verbatim_ones(spark, broadcast_rows):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    noise = lambda k: [word() for _ in range(k)]
+    items = [noise(k) for k in (30, 40, 59, 37, 3, 4, 5, 6, 8, 40)]
+    docs = [noise(20) + i + noise(20) for i in items]
+    docs += [noise(9) + [word() if k % 5 == 2 else w for k, w in enumerate(i)] + noise(9) for i in items for _ in range(3)]
+    docs += [i[: len(i) * 42 // 59 + 1] + noise(5) for i in items]
+    docs += [[w for k, v in enumerate(i) for w in ([v, word()] if k % 2 else [v])] for i in items]
+    docs += [i[: len(i) // 2] + i[len(i) // 2 + 1 :] for i in items] + [i[: len(i) // 2] + noise(50) for i in items]
+    scores = {(d, k): brute_align(words, i) / (2 * len(i)) for d, words in enumerate(docs) for k, i in enumerate(items)}
+    want = {pair: round(x, 6) for pair, x in scores.items() if x >= 0.6}
+    tables = (spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], f"{name} long, text string") for name, rows in (("doc_id", docs), ("item_id", items)))
+    got = decontam.contaminated(*tables, broadcast_rows=broadcast_rows).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 45
+
+
 # helpers
 
 
