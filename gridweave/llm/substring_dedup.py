@@ -1,17 +1,24 @@
-"""Substring de-duplication: repeated word windows by prefix-partitioned sparse suffix trees.
-
-A suffix tree over all word positions is split by prefix into subtrees that fit a task. Its suffixes are thinned
-without loss: of every window the 8-gram with the smallest hash (the leftmost of equals) is the *anchor*, a function
-of the window's words alone, so equal windows have equal anchors at equal offsets. An anchor's 8-gram is the prefix
-that names its subtree, and each subtree holds the windows around its anchors.
-
-1. Anchors are counted. Prefixes met once have no internal node below them and are left out, by a bit filter of fixed
-   size (no false negatives). Prefixes met very often are listed; at most 1/1024 of the anchors can be.
-2. The windows of the other anchors go to their prefix's subtree. A very frequent prefix is lengthened by a salt from
-   the document, which cuts its subtree into parts of a fixed expected size.
-3. In each subtree, equal windows are the leaves below one node at full depth. The first by document and position is
-   kept, the others are marked; the firsts of a lengthened prefix's parts meet once more, dealt by window.
+"""Substring de-duplication: repeated word windows by prefix-partitioned suffix trees.
+
+The suffixes of all texts are dealt into subtrees by their first words. They are thinned without loss: of every window
+the 8-gram with the smallest hash (the leftmost of equals) is the *anchor*, a function of the window's words alone, so
+equal windows have equal anchors at equal offsets. Only suffixes that begin at an anchor are kept; each brings along the
+words in front of it that its windows need, and so stands for all windows around its anchor.
+
+1. Prefixes (the anchors' 8 words) are counted. One met once has no internal node below it and is left out, by a bit
+   filter of fixed size (no false negatives).
+2. A suffix goes to the subtree of its prefix. A prefix whose subtree would not fit a task is lengthened to all words of
+   a window: each window around such an anchor becomes a suffix of its own, dealt by 20 words; of equal ones in a chunk
+   of texts all but the first are marked on the spot. A window met so often that even that subtree is too large is
+   dealt by document too; the firsts of each part then meet once more.
+3. A task builds its subtrees level by level from the words themselves: suffixes share a node of depth d if their first d
+   words are equal, and left sides are told apart in the same way. A node of depth d to the right whose suffixes agree on
+   the ``window - d`` words to the left is an internal node of a repeat of a whole window; the runs of windows that a
+   suffix has such nodes for are its maximal repeats, as far as its anchor reaches. Of the leaves below a node the first
+   by document and position is kept and the others are marked.
 4. The marks of each document, as (start, bit mask), are joined back to its text.
+
+Hashes only deal suffixes to groups. Nodes compare words, so results hold whatever collides.
 """
 
 from __future__ import annotations
@@ -21,127 +28,225 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm._spark import checkpoint, complete_runs, filter_blocks, filter_bytes, in_filter, row_key, ship
-from gridweave.llm._text import WORD, binary, chunks, mix, raw, rolling, sliding_min, unpacked, word_hashes
+from gridweave.llm._text import WORD, chunks, mix, raw, rolling, sliding_min, word_hashes
 
 LOG2_BITS = 27
-#: Anchors of one prefix from which it is lengthened.
-HEAVY = 1024
-
-
-def _anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """For every anchor: its prefix hash, row, first window start in the row, number of windows; the windows' hashes.
-
-    An anchor's windows are consecutive, so the window hashes of all anchors one after another are in order.
-    """
-    words = [t.split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    hashes = word_hashes()
-    h = np.concatenate([hashes.of(w) for w in words]) if words else np.zeros(0, np.uint64)
-    gram = min(8, window)
-    full = rolling(h, window)
-    small = rolling(h, gram)
-    if not len(full):
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, empty, np.zeros(0, np.uint64)
-    low = sliding_min(small, window - gram + 1)
-    at = np.zeros(len(full), np.int64)
-    for j in range(window - gram, -1, -1):
-        at = np.where(small[j : j + len(full)] == low[: len(full)], j, at)
-    ends = np.cumsum(counts)
-    row = np.repeat(np.arange(len(words)), counts)[: len(full)]
-    valid = np.flatnonzero(np.arange(len(full)) + window <= ends[row])
-    anchor = valid + at[valid]
-    row = row[valid]
-    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(valid) else valid
-    sizes = np.diff(np.concatenate([first, [len(valid)]]))
-    return small[anchor[first]], row[first], valid[first] - (ends - counts)[row[first]], sizes, full[valid]
+#: Words of a prefix, and suffixes of one prefix from which it is lengthened (more on inputs of over 2**32 anchors, so
+#: that the list of these prefixes has 2**20 entries at most).
+PREFIX = 8
+HEAVY = 4096
+LISTED = 1 << 20
+#: The salt of rows that are marks already.
+DONE = -1
+
+
+class Anchors:
+    """The anchors of some texts. For each: hash of its prefix, row, place of its first window, number of windows, and
+    words of the first window in front of it. Places are among all words of all texts."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.words = [t.split() for t in texts]
+        counts = np.array([len(w) for w in self.words], np.int64)
+        self.ends = np.cumsum(counts)
+        self.begins = self.ends - counts
+        hashes = word_hashes()
+        h = np.concatenate([hashes.of(w) for w in self.words]) if self.words else np.zeros(0, np.uint64)
+        gram = min(PREFIX, window)
+        self.full = rolling(h, window)
+        small = rolling(h, gram)
+        if not len(self.full):
+            self.h = np.zeros(0, np.uint64)
+            self.row = self.at = self.sizes = self.left = np.zeros(0, np.int64)
+            return
+        low = sliding_min(small, window - gram + 1)
+        to = np.zeros(len(self.full), np.int64)
+        for j in range(window - gram, -1, -1):
+            to = np.where(small[j : j + len(self.full)] == low[: len(self.full)], j, to)
+        row = np.repeat(np.arange(len(self.words)), counts)[: len(self.full)]
+        valid = np.flatnonzero(np.arange(len(self.full)) + window <= self.ends[row])
+        anchor, row = valid + to[valid], row[valid]
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(valid) else valid
+        self.h, self.row, self.at = small[anchor[first]], row[first], valid[first]
+        self.sizes, self.left = np.diff(np.concatenate([first, [len(valid)]])), to[valid[first]]
+
+    def keep(self, these: np.ndarray) -> None:
+        self.h, self.row, self.at, self.sizes, self.left = (x[these] for x in (self.h, self.row, self.at, self.sizes, self.left))
 
 
 def _count(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for _, texts in chunks(batches, limit=8_000_000):
-        h, n = np.unique(_anchors(texts, window)[0], return_counts=True)
+        h, n = np.unique(Anchors(texts, window).h, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def _suffixes(batches: Iterable[pa.RecordBatch], window: int, bits, heavy: tuple) -> Iterator[pa.RecordBatch]:
-    bits, (heavy_h, heavy_parts) = bits.value, heavy
-    for part, texts in chunks(batches):
-        h, row, start, sizes, windows = _anchors(texts, window)
-        hit = in_filter(bits, h, LOG2_BITS)
-        windows = windows[np.repeat(hit, sizes)]
-        h, row, start, sizes = h[hit], row[hit], start[hit], sizes[hit]
-        rid, th = (part.column(c).to_numpy()[row] for c in ("rid", "th"))
-        salt = np.zeros(len(h), np.int64)
-        if len(heavy_h) and len(h):
-            k = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
-            often = heavy_h[k] == h
-            salt[often] = 1 + (mix(rid[often].view(np.uint64) ^ th[often].view(np.uint64)) % heavy_parts[k[often]]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(rid), pa.array(th), pa.array(start.astype(np.int32)), binary(windows, sizes)], ["h", "salt", "rid", "th", "start", "windows"])
+#: h, salt: the subtree. start: word of the document that the first window begins at. shape: windows * 256 + words in
+#: front of the anchor. words: from the first window's start to the last one's end, joined by spaces.
+_SUFFIX = "h long, salt long, rid long, th long, start int, shape int, words binary"
+_SUFFIXES = pa.schema([("h", pa.int64()), ("salt", pa.int64()), ("rid", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("shape", pa.int32()), ("words", pa.binary())])
 
 
-_MARKS = pa.schema([("rid", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("mask", pa.int64()), ("h", pa.int64()), ("windows", pa.binary())])
+def _suffixes(batches: Iterable[pa.RecordBatch], window: int, bits, heavy) -> Iterator[pa.RecordBatch]:
+    bits, (often, parts) = bits.value, heavy.value
+    for part, texts in chunks(batches):
+        a = Anchors(texts, window)
+        a.keep(in_filter(bits, a.h, LOG2_BITS))
+        flat = [w for ws in a.words for w in ws]
+        size = np.fromiter(map(len, flat), np.int64, len(flat))
+        stop = np.cumsum(size + 1) - 1
+        joined = b" ".join(flat)
+        rids, ths = (part.column(c).to_numpy() for c in ("rid", "th"))
+
+        def rows(h, salt, row, at, sizes, left, size=size, stop=stop, joined=joined, begins=a.begins, rids=rids, ths=ths):
+            words = [joined[x:y] for x, y in zip((stop[at] - size[at]).tolist(), stop[at + sizes + window - 2].tolist(), strict=True)]
+            columns = h.view(np.int64), salt, rids[row], ths[row], (at - begins[row]).astype(np.int32), (sizes * 256 + left).astype(np.int32), words
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SUFFIXES.types, strict=True)], schema=_SUFFIXES)
+
+        long = np.zeros(len(a.h), bool)
+        if len(often) and len(a.h):
+            k = np.minimum(np.searchsorted(often, a.h), len(often) - 1)
+            long = often[k] == a.h
+        short = np.flatnonzero(~long)
+        yield rows(a.h[short], np.zeros(len(short), np.int64), a.row[short], a.at[short], a.sizes[short], a.left[short])
+        if long.any():
+            i = np.flatnonzero(long)
+            step = np.arange(a.sizes[i].sum()) - np.repeat(np.cumsum(a.sizes[i]) - a.sizes[i], a.sizes[i])
+            i = np.repeat(i, a.sizes[i])
+            at, row, left = a.at[i] + step, a.row[i], a.left[i] - step
+            salt = 1 + (mix(rids[row].view(np.uint64) ^ ths[row].view(np.uint64)) % parts[k[i]]).astype(np.int64)
+            # of equal windows in these texts only the first needs to meet others
+            place = at - a.begins[row]
+            order = np.lexsort((place, ths[row], rids[row], a.full[at]))
+            lead = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(a.full[at[order]]) != 0]), np.arange(len(at)), 0))
+            one, other = at[order], at[order[lead]]
+            x, y, u, v = ((stop[p] - size[p]).tolist() if q == 0 else stop[p + window - 1].tolist() for p, q in ((one, 0), (one, 1), (other, 0), (other, 1)))
+            equal = np.array([j != f and joined[b:c] == joined[d:e] for j, (f, b, c, d, e) in enumerate(zip(lead.tolist(), x, y, u, v, strict=True))], bool)
+            stay = np.sort(order[~equal])
+            yield rows(a.full[at[stay]], salt[stay], row[stay], at[stay], np.ones(len(stay), np.int64), left[stay])
+            again, f = order[equal], order[lead[equal]]
+            again = again[(rids[row[again]] != rids[row[f]]) | (ths[row[again]] != ths[row[f]]) | (place[again] != place[f])]
+            yield _marked(rids[row[again]], ths[row[again]], place[again], min(window, 31))
+
+
+def _marked(rid: np.ndarray, th: np.ndarray, place: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows that say where windows occur again: bit j of the shape is the window at start + j. Their salt is DONE."""
+    order = np.lexsort((place, th, rid))
+    rid, th, place = rid[order], th[order], place[order]
+    block = place // bits
+    new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (th[1:] != th[:-1]) | (block[1:] != block[:-1])])[: len(rid)]
+    at = np.flatnonzero(new)
+    shape = np.bitwise_or.reduceat(np.int64(1) << place % bits, at) if len(at) else at
+    rid, th, block = rid[at], th[at], block[at]
+    columns = mix(rid.view(np.uint64) ^ block.astype(np.uint64)).view(np.int64), np.full(len(at), DONE), rid, th, block * bits, shape, [None] * len(at)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SUFFIXES.types, strict=True)], schema=_SUFFIXES)
+
+
+def _nodes(above: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The nodes one level down: equal where the node above and the next word are."""
+    return np.unique(above * (int(word.max(initial=0)) + 1) + word, return_inverse=True)[1]
+
+
+def _spread(words: pa.Array, left: np.ndarray, reach: int, gram: int) -> np.ndarray:
+    """Numbers of the words, one column a suffix, so that all anchors begin in row ``reach``; 0 where there is none."""
+    lists = pc.split_pattern(words, " ")
+    counts = np.diff(lists.offsets.to_numpy())
+    codes = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    of = np.repeat(np.arange(len(counts)), counts)
+    out = np.zeros((2 * reach + gram, len(counts)), np.int64)
+    out[np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts) + (reach - left)[of], of] = codes
+    return out
 
 
-def _packed_masks(flag: np.ndarray, row: np.ndarray, offset: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros(rows, np.int64)
-    np.bitwise_or.at(out, row[flag], np.int64(1) << offset[flag])
-    return out
+_MARK = "rid long, th long, start int, mask long, h long, shape int, words binary"
+_MARKS = pa.schema([("rid", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("mask", pa.int64()), ("h", pa.int64()), ("shape", pa.int32()), ("words", pa.binary())])
 
 
-def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a mask of the windows that occur earlier; of parts of a lengthened prefix also a row with h for each first."""
+def _subtrees(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Marks of the windows that occur earlier in their subtree, and the first windows of subtrees that are split by document.
+
+    Rows come sorted by subtree, document and position; a run of subtrees is held at a time.
+    """
+    gram = min(PREFIX, window)
+    reach = window - gram
     for t in complete_runs(batches, ["h", "salt"], 32_768):
-        t = t.combine_chunks()
-        h, salt, rid, th, start = (t[c].to_numpy() for c in ("h", "salt", "rid", "th", "start"))
-        windows, sizes = unpacked(t["windows"], np.uint64)
-        row = np.repeat(np.arange(len(h)), sizes)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = start[row] + offset
-        order = np.lexsort((place, th[row], rid[row], windows, salt[row], h[row]))
-        r, w, p = row[order], windows[order], place[order]
-        same = (w[1:] == w[:-1]) & (h[r[1:]] == h[r[:-1]]) & (salt[r[1:]] == salt[r[:-1]])
-        lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(r)), 0))
-        later = np.zeros(len(row), bool)
-        f = lead
-        later[order] = (rid[r] != rid[r[f]]) | (th[r] != th[r[f]]) | (p != p[f])  # the same place twice is a repeated row
-        mask = _packed_masks(later, row, offset, len(h))
-        some = mask != 0
-        yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(th[some]), pa.array(start[some]), pa.array(mask[some]), pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.binary())], schema=_MARKS)
+        done = pc.equal(t["salt"], DONE)
+        if pc.any(done).as_py():
+            d = t.filter(done)
+            yield from pa.Table.from_arrays([d["rid"], d["th"], d["start"], d["shape"].cast(pa.int64()), *(pa.nulls(d.num_rows, f.type) for f in list(_MARKS)[4:])], schema=_MARKS).to_batches()
+            t = t.filter(pc.invert(done))
+        if not t.num_rows:
+            continue
+        h, salt = t["h"].to_numpy(), t["salt"].to_numpy()
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+        alone = np.diff(np.append(np.flatnonzero(new), len(h))) == 1
+        keep = ~alone[np.cumsum(new) - 1] | (salt > 0)
+        t = t.filter(pa.array(keep)).combine_chunks()
+        if not t.num_rows:
+            continue
+        new = new[keep]
+        h, salt, rid, th, start, shape = (t[c].to_numpy() for c in ("h", "salt", "rid", "th", "start", "shape"))
+        words = t["words"].chunk(0) if isinstance(t["words"], pa.ChunkedArray) else t["words"]
+        many, left = (shape >> 8).astype(np.int64), (shape & 255).astype(np.int64)
+        w = _spread(words, left, reach, gram)
+        root = np.cumsum(new) - 1
+        prefix = w[reach : reach + gram]
+        if (prefix != prefix[:, np.flatnonzero(new)[root]]).any():  # prefixes that only share their hash
+            for word in prefix:
+                root = _nodes(root, word)
+        right, before = [root], [np.zeros(len(h), np.int64)]
+        for d in range(reach):
+            right.append(_nodes(right[-1], w[reach + gram + d]))
+            before.append(_nodes(before[-1], w[reach - 1 - d]))
+        mask, first = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        for d in range(reach + 1):  # windows with d words in front of the anchor
+            own = np.flatnonzero((left >= d) & (left - many < d))
+            if not len(own):
+                continue
+            node = right[reach - d][own] * len(h) + before[d][own]
+            order = np.argsort(node, kind="stable")
+            node, r = node[order], own[order]
+            lead = np.concatenate([[True], node[1:] != node[:-1]])
+            f = r[np.maximum.accumulate(np.where(lead, np.arange(len(r)), 0))]
+            later = r[(rid[r] != rid[f]) | (th[r] != th[f]) | (start[r] + left[r] != start[f] + left[f])]  # the same place twice is a repeated row
+            mask[later] |= np.int64(1) << (left[later] - d)
+            first[r[lead]] = True
+        some = np.flatnonzero(mask)
+        yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(th[some]), pa.array(start[some]), pa.array(mask[some]), *(pa.nulls(len(some), f.type) for f in list(_MARKS)[4:])], schema=_MARKS)
         if (salt > 0).any():
-            firsts = np.zeros(len(row), bool)
-            firsts[order] = lead == np.arange(len(r))
-            some = np.flatnonzero(firsts & (salt[row] > 0))
-            r = row[some]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[r]), pa.array(th[r]), pa.array(place[some].astype(np.int32)), pa.array(np.ones(len(some), np.int64)), pa.array(h[r]), binary(windows[some], np.ones(len(some), np.int64))], schema=_MARKS)
+            some = np.flatnonzero(first & (salt > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(th[some]), pa.array(start[some]), pa.nulls(len(some), pa.int64()), pa.array(h[some]), pa.array(shape[some]), words.take(pa.array(some))], schema=_MARKS)
 
 
-_SCHEMA = "rid long, th long, start int, mask long, h long, windows binary"
+def _met(suffixes: DataFrame, window: int, *deal: str) -> DataFrame:
+    return suffixes.repartition(*deal).sortWithinPartitions("h", "salt", "rid", "th", "start").mapInArrow(lambda it: _subtrees(it, window), _MARK)
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """(rid, th, start, mask): bit j of the mask marks the window at word start + j, which also occurs earlier."""
+    if not 0 < window < 64:
+        raise ValueError(f"a window has 1 to 63 words, not {window}")
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = rows.select("text").mapInArrow(lambda it: _count(it, window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     counted = checkpoint(counted)
-    limit = max(HEAVY, int(counted.agg(F.sum("n")).first()[0] or 0) // 65_536)
-    often = sorted((h & (2**64 - 1), -(-n // limit)) for h, n in counted.filter(F.col("n") > limit).collect())  # at most 65,536 by the limit
-    heavy = (np.array([h for h, _ in often], np.uint64), np.array([p for _, p in often], np.uint64))
+    limit = max(HEAVY, int(counted.agg(F.sum("n")).first()[0] or 0) // LISTED)
+    often = counted.filter(F.col("n") > limit).toArrow()  # fewer than LISTED by the limit
+    h, n = (often[c].to_numpy() for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    heavy = spark.sparkContext.broadcast((h.view(np.uint64)[order], -(-n[order] // limit).astype(np.uint64)))
     bits = spark.sparkContext.broadcast(filter_bytes(filter_blocks(counted, F.col("h"), LOG2_BITS), LOG2_BITS))
-    suffixes = rows.mapInArrow(lambda it: _suffixes(it, window, bits, heavy), "h long, salt long, rid long, th long, start int, windows binary")
-    marks = suffixes.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_subtrees, _SCHEMA)
-    if not often:
+    marks = _met(rows.mapInArrow(lambda it: _suffixes(it, window, bits, heavy), _SUFFIX), window, "h", "salt")
+    if not len(h):
         return marks.select("rid", "th", "start", "mask")
     marks = checkpoint(marks)
-    # contexts of a frequent prefix mostly differ, so its firsts are dealt by their window; one window has a first for each part at most
-    firsts = marks.filter("h is not null").select("h", F.lit(0).cast("long").alias("salt"), "rid", "th", "start", "windows")
-    met = firsts.repartition("h", "windows").sortWithinPartitions("h").mapInArrow(_subtrees, _SCHEMA)
-    return marks.filter("h is null").select("rid", "th", "start", "mask").union(met.select("rid", "th", "start", "mask"))
+    # one window has a first for each of its prefix's parts at most
+    firsts = marks.filter("h is not null").select("h", F.lit(0).cast("long").alias("salt"), "rid", "th", "start", "shape", "words")
+    return marks.filter("h is null").union(_met(firsts, window, "h").filter("h is null")).select("rid", "th", "start", "mask")
 
 
 def _kept(words: list[bytes], marks: list[dict] | None, window: int) -> list[bytes]:
@@ -176,7 +281,7 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     word sequence that also starts earlier: in a smaller doc_id, or earlier in the document. Windows are judged on the
     input. Different rows of one doc_id are ordered by a hash of their texts; equal rows are one place, so none is lost
     through its own repetition. Texts shorter than a window, empty ones and nulls stay as they are. An empty table
-    gives an empty result. Windows are compared by two 64-bit hashes, of the anchor and of the window.
+    gives an empty result. Windows are compared word by word.
     """
     marks = repeated_windows(docs, window).groupBy("rid", "th").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row_key())

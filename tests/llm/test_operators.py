@@ -168,6 +168,23 @@ def test_repeats_of_lengthened_prefixes(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_repeats(rows, 8)
 
 
+def test_repeats_of_periodic_texts(spark):
+    rows = [(1, "a " * 60_000), (2, "b " + "a " * 30_000), (3, ("x y z " * 9 + "q ") * 3_000), (4, "x y z " * 50), (5, "a " * 30), (None, "a " * 5_000)]
+    got = substring_dedup.drop_repeats(documents(spark, rows)).drop("kept_text").collect()
+    want = brute_repeats([(-(2**63) if i is None else i, t) for i, t in rows], 20)
+    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == want
+    with pytest.raises(ValueError):
+        substring_dedup.drop_repeats(documents(spark, rows), 64)
+
+
+def test_subtrees_compare_words():
+    """Suffixes with one hash and other words: no window of theirs is a repeat."""
+    rows = [(0, 0, i, 0, 0, 256, b"a b c %d e" % (i % 2)) for i in range(4)] + [(1, 0, 9, 0, 5, 2 * 256 + 1, b"f a b c d e")] * 2
+    table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), substring_dedup._SUFFIXES.types, strict=True)], schema=substring_dedup._SUFFIXES)
+    out = pa.Table.from_batches(substring_dedup._subtrees([table], 5)).to_pylist()
+    assert sorted((r["rid"], r["start"], r["mask"]) for r in out) == [(2, 0, 1), (3, 0, 1)]
+
+
 def test_repeats_odd_rows(spark):
     got = substring_dedup.drop_repeats(documents(spark, ODD), 3).collect()
     assert len(got) == len(ODD)
