@@ -20,11 +20,16 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """name; the nested field paths of a record; a SQL expression over the variant column ``r`` that gives its turns."""
+    """name; the nested field paths of a record; a SQL expression over the variant column ``r`` that gives its turns.
+
+    Records that are one turn of a conversation each also say where the conversation's id and the turn's place are.
+    """
 
     name: str
     paths: str
     turns: str
+    conversation: str | None = None
+    place: str | None = None
 
     @property
     def fingerprint(self) -> Column:
@@ -59,12 +64,15 @@ LAYOUTS = (
     Layout("conversations", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", _messages("conversations", "from", "value", _SPEAKERS)),
     Layout("turns", "OBJECT<turns: ARRAY<OBJECT<role, text>>>", _messages("turns", "role", "text")),
 )
-#: Tables with a row for each turn: their paths, and the columns of conversation, position, role and text.
-ROW_LAYOUTS = {
-    "conv_id, role, text, turn": ("conv_id", "turn", "role", "text"),
-    "content, conversation_id, position, role": ("conversation_id", "position", "role", "content"),
-    "conversation_id, message, speaker, turn": ("conversation_id", "turn", "speaker", "message"),
-}
+
+
+def _turn(conversation: str, place: str, role: str, text: str) -> Layout:
+    turns = f"array(named_struct('role', variant_get(r, '$.{role}', 'string'), 'text', variant_get(r, '$.{text}', 'string')))"
+    return Layout(f"a turn of {conversation}", f"OBJECT<{', '.join(sorted((conversation, place, role, text)))}>", turns, conversation, place)
+
+
+#: Records of one turn each, as rows of a table are.
+TURN_LAYOUTS = (_turn("conv_id", "turn", "role", "text"), _turn("conversation_id", "position", "role", "content"), _turn("conversation_id", "turn", "speaker", "message"))
 _SCALARS = "STRING|BOOLEAN|TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|BINARY|DATE|TIMESTAMP_NTZ|TIMESTAMP|VOID|VARIANT|DECIMAL\\(\\d+,\\s*\\d+\\)"
 
 
@@ -74,36 +82,43 @@ def field_paths(record: Column) -> Column:
 
 
 def canonical(records: DataFrame, json: str = "record") -> DataFrame:
-    """``records`` with ``fingerprint``, ``layout`` and ``turns`` from a column of JSON texts.
+    """``records`` with ``fingerprint``, ``layout``, ``conversation``, ``place`` and ``turns`` from a column of JSON texts.
 
     Broken JSON and null have a null fingerprint; these and records of unknown layouts have the layout ``unknown`` and null
-    turns. Nulls inside turns become empty when they are written. Records keep their other columns.
+    turns. Nulls inside turns become empty when they are written. Only records of one turn have a conversation and a
+    place. Records keep their other columns.
     """
     read = records.withColumn("r", F.try_parse_json(F.col(json)))
     read = read.withColumn("fingerprint", F.sha2(field_paths(F.col("r")), 256))
-    layout, turns = F.lit("unknown"), F.lit(None).cast(TURNS)
-    for x in LAYOUTS:
-        layout = F.when(F.col("fingerprint") == x.fingerprint, x.name).otherwise(layout)
-        turns = F.when(F.col("fingerprint") == x.fingerprint, F.expr(x.turns).cast(TURNS)).otherwise(turns)
-    return read.withColumns({"layout": layout, "turns": turns}).drop("r")
+    out = {"layout": F.lit("unknown"), "conversation": F.lit(None).cast("long"), "place": F.lit(None).cast("long"), "turns": F.lit(None).cast(TURNS)}
+    for x in (*LAYOUTS, *TURN_LAYOUTS):
+        this = F.col("fingerprint") == x.fingerprint
+        out["layout"] = F.when(this, x.name).otherwise(out["layout"])
+        out["turns"] = F.when(this, F.expr(x.turns).cast(TURNS)).otherwise(out["turns"])
+        if x.conversation:
+            for name, path in (("conversation", x.conversation), ("place", x.place)):
+                out[name] = F.when(this, F.try_variant_get("r", f"$.{path}", "long")).otherwise(out[name])
+    return read.withColumns(out).drop("r")
 
 
 def canonical_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns) from a table with a row for each turn, whose layout is found by its columns' fingerprint.
+    """(conv_id, turns) from a table with a row for each turn: each row is a record, whose fingerprint selects its mapping.
 
-    Columns outside a known layout are ignored. Turns are ordered by position, then role and text, nulls first; rows
-    that repeat a position are turns of their own. A null conversation id is one conversation. A conversation is one
-    record of the result, so it is as large as that record.
+    Columns that no layout of a turn has beside the others are left out of the record. Turns are ordered by position,
+    then role and text, nulls first; rows that repeat a position are turns of their own. A null conversation id is one
+    conversation. A conversation is one record of the result, so it is as large as that record. A row of over 128 MB, which
+    is more than a variant holds, and a text that is no string raise an error; nothing is dropped.
     """
-    names = set(rows.columns)
-    for paths, (conv, at, role, text) in ROW_LAYOUTS.items():
-        if names >= set(paths.split(", ")):
-            break
-    else:
-        raise ValueError(f"no row layout for columns {sorted(names)}; known: {list(ROW_LAYOUTS)}")
-    one = F.struct(F.col(at).cast("long").alias("at"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    paths = [x.paths.removeprefix("OBJECT<").removesuffix(">").split(", ") for x in TURN_LAYOUTS]
+    columns = next((names for names in paths if set(names) <= set(rows.columns)), None)
+    if columns is None:
+        raise ValueError(f"no layout of a turn in columns {sorted(rows.columns)}; known: {paths}")
+    records = rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("record"))
+    known = F.when(F.col("layout") != "unknown", F.col("turns")).otherwise(F.raise_error(F.lit("a row that is no turn of a known layout, or over a variant's 128 MB")))
+    each = canonical(records).select("conversation", F.explode(known).alias("turn"), "place")
+    one = F.struct(F.col("place").alias("at"), F.col("turn.role").alias("role"), F.col("turn.text").alias("text"))
     turns = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
-    return rows.groupBy(F.col(conv).cast("long").alias("conv_id")).agg(turns.alias("turns"))
+    return each.groupBy(F.col("conversation").alias("conv_id")).agg(turns.alias("turns"))
 
 
 _CONTROL = "(s>|/s>|INST\\]|/INST\\])"

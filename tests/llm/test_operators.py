@@ -431,6 +431,12 @@ def test_chat_rows_of_other_layouts(spark):
     assert got == {1: [("user", "a"), ("assistant", "b")], None: [(None, None)]}
     with pytest.raises(ValueError):
         chat.canonical_rows(df.select("turn"))
+    odd = ['"', "\\u0041 \\", "\x00\x01\t\n", "é 👍🏽", "", None, "{", "long " * 1_000_000]
+    clash = spark.createDataFrame([(2, i, "user", t, "x", 1.5) for i, t in enumerate(odd)], "conv_id long, turn int, role string, text string, message string, place double")
+    assert [(t.role, t.text) for t in chat.canonical_rows(clash).first().turns] == [("user", t) for t in odd]
+    nested = clash.withColumn("text", F.struct("text"))
+    with pytest.raises(Exception, match="known layout"):
+        chat.canonical_rows(nested).collect()
 
 
 # tokens
