@@ -74,11 +74,29 @@ def test_exact_survives_digest_clashes(spark):
     assert all(r.keep_id == r.doc_id % 150 and r.group_size == 4 for r in got)
 
 
-def test_index_merges_batches(spark):
-    index = exact_dedup.DigestIndex(spark)
-    index.flush(documents(spark, [(5, "a"), (6, "b")]))
-    index.flush(documents(spark, [(2, "a"), (9, "c")]))
-    assert {(r.keep_id, r.n) for r in index.compact().collect()} == {(2, 2), (6, 1), (9, 1)}
+def test_index_judges_batches_and_reads_few_runs(spark):
+    index = exact_dedup.DigestIndex(spark, fanout=3)
+    batches = [[(5, "a"), (6, "b"), (7, "b")], [(2, "a"), (9, "c")], [(20, "d"), (None, "e")], [(1, "b"), (30, " c"), (31, "c"), (32, "e")], [(33, "z")]]
+    reads, seen = [], []
+    for rows in batches:
+        got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in index.add(documents(spark, rows)).collect()}
+        seen += rows
+        want = {}
+        for i, t in rows:
+            same_text = [k for k, u in seen if u == t]
+            keep = min((k for k in same_text if k is not None), default=None)
+            want[i, sha(t)] = (keep, len(same_text), i == keep)
+        assert got == want
+        reads.append([r.batches for r in index.read])
+    assert reads == [[], [(0,)], [], [(0, 1, 2)], []]  # batch 2 is new to both runs' filters; three runs became one
+    assert [(r.level, r.batches) for r in index.runs] == [(2, (0, 1, 2)), (1, (3,)), (1, (4,))] and len(index.replaced) == 3
+
+
+def test_index_settles_clashes_with_older_batches(spark):
+    index = exact_dedup.DigestIndex(spark, digest=lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 1)))
+    index.add(documents(spark, [(i, f"text {i}") for i in range(40)]))
+    got = index.add(documents(spark, [(100 + i, f"text {i * 2}") for i in range(40)])).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(100 + i, i * 2 if i < 20 else 100 + i, 2 if i < 20 else 1) for i in range(40)}
 
 
 # lines
