@@ -1,23 +1,20 @@
 """Cross-entropy difference under two matched bigram models.
 
-Target model: the documents that ``labels`` marks as good. Background model: all documents. Both share one vocabulary,
-one list of bigrams and one smoothing, so a token's losses differ only by what the two corpora hold:
+Target model: the documents that ``labels`` marks as good. Background model: all documents. Both share one vocabulary
+and one smoothing, so a token's losses differ only by what the two corpora hold:
 
-    p(w | u) = L * c(u, w) / c(u)  [listed bigrams]  +  (1 - L * listed(u) / c(u)) * (c(w) + 1) / (N + V)
+    p(w | u) = L * c(u, w) / c(u)  +  (1 - L) * (c(w) + 1) / (N + V)      or the last factor alone, if c(u) = 0
 
 All counts run over whole texts of all documents, and every word and every bigram is listed: the counts lie spread over
 buckets by hash, as many as the input needs, and none is gathered on the driver or broadcast. Each chunk of texts asks
 every bucket once for the counts of its different keys (bigrams and words), so a hot key has one row a chunk; the
-answers come back to the chunk, which scores its tokens. Keys are 63-bit hashes; results hold up to their collisions.
-
-``score`` with a ``vocabulary`` and a number of ``bigrams`` fits a smaller model of that size, which is broadcast: the
-rest is one unknown word, and a bigram outside the list backs off to its word.
+answers come back to the chunk, which scores its tokens. Keys are 55-bit hashes (among 10**12 keys, one in 36,000 shares
+its hash with another); results hold up to their collisions.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,21 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm._spark import BLOCK_BITS, NULL_ID, bit_index, checkpoint, filter_blocks, join_sized, probe, ship
-from gridweave.llm._text import LOWER, UPPER, WORD, chunks, mix, raw, word_hashes
+from gridweave.llm._text import LOWER, UPPER, WORD, chunks, mix, word_hashes
 
-#: The size of the smaller model that the SQL tells of.
-VOCABULARY = 32_768
-BIGRAMS = 1_048_576
 WEIGHT = 0.7
-#: Ids of the unknown word and of the start of a text; words follow.
-UNKNOWN, START = 0, 1
 BUCKETS = 256
 #: Bytes of text for each bucket of the whole model.
 BUCKET_BYTES = 16_000_000
 #: The lowest bit of a key tells bigrams from words; the hash of the start of a text, which no word has as its own.
 BIGRAM, SINGLE = 0, 1
 START_HASH = np.uint64(0x5851F42D4C957F2D)
-#: The chunk of a bucket's totals.
+#: The totals of chunk 0 have this bucket, those of others lower ones.
 NONE = -1
 
 
@@ -49,129 +41,6 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in chunks(batches, limit=16_000_000):
-        c: Counter = Counter()
-        for t in texts:
-            c.update(_words(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        return UNKNOWN
-
-
-def _bigrams(texts: list[bytes], ids: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context * 2**32 + word) of all tokens, and each text's token count."""
-    get = ids.__getitem__
-    parts, counts = [], []
-    for t in texts:
-        w = _words(t)
-        counts.append(len(w))
-        parts.append(np.fromiter(map(get, w), np.uint64, len(w)))
-    counts = np.array(counts, np.int64)
-    word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    context = np.concatenate([[START], word[:-1]]).astype(np.uint64)[: len(word)]
-    context[(np.cumsum(counts) - counts)[counts > 0]] = START
-    return context << np.uint64(32) | word, counts
-
-
-def _pack(*arrays: np.ndarray) -> list[bytes]:
-    return [zlib.compress(a.tobytes(), 1) for a in arrays]
-
-
-def _count_bigrams(batches: Iterable[pa.RecordBatch], ids) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, keys, counts): packed sorted keys as differences."""
-    for _, texts in chunks(batches, limit=16_000_000):
-        keys, n = np.unique(_bigrams(texts, ids.value)[0], return_counts=True)
-        bucket = (mix(keys) % np.uint64(BUCKETS)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        rows = [(b, *_pack(np.diff(keys[order[a:z]], prepend=np.uint64(0)), n[order[a:z]].astype(np.uint32))) for b, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "keys", "counts"])
-
-
-def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, n) from packed rows sorted by bucket; one bucket is held at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    now = None
-
-    def done() -> pa.RecordBatch:
-        k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], ["k", "n"])
-
-    for b in batches:
-        for bucket, keys, counts in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            if bucket != now and held:
-                yield done()
-                held = []
-            now = bucket
-            held.append((np.cumsum(np.frombuffer(zlib.decompress(keys), np.uint64), dtype=np.uint64), np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)))
-    if held:
-        yield done()
-
-
-def bigram_counts(docs: DataFrame, ids) -> DataFrame:
-    """(k, n) for every bigram of the texts under the broadcast word ids."""
-    packed = docs.select("text").mapInArrow(lambda it: _count_bigrams(it, ids), "bucket long, keys binary, counts binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "k long, n long")
-
-
-def _arrays(df: DataFrame) -> list[np.ndarray]:
-    table = df.toArrow()
-    return [c.to_numpy() for c in table.columns]
-
-
-class Models:
-    """Both models' tables as arrays, built on the driver from at most ``vocabulary`` words and ``bigrams`` bigrams."""
-
-    def __init__(self, keys, target, background, word_target, word_background, context_target, context_background, weight: float):
-        order = np.argsort(keys.view(np.uint64))
-        self.keys = keys.view(np.uint64)[order]
-        context = (self.keys >> np.uint64(32)).astype(np.int64)
-        self.parts, self.back, self.word = [], [], []
-        for pair, word, total in ((target, word_target, context_target), (background, word_background, context_background)):
-            share = np.divide(weight * pair[order], total[context], out=np.zeros(len(order)), where=total[context] > 0)
-            self.parts.append(share)
-            self.back.append(1 - np.bincount(context, share, len(total)))
-            size = len(word) - 1  # the start is never predicted
-            self.word.append((word + 1) / (word.sum() + size))
-
-    def losses(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per-token losses in nats: target, background."""
-        context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(2**32 - 1)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        listed = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        out = []
-        for part, back, single in zip(self.parts, self.back, self.word, strict=True):
-            p = back[context] * single[word]
-            p[listed] += part[at[listed]]
-            out.append(-np.log(p))
-        return out[0], out[1]
-
-
-def _score(batches: Iterable[pa.RecordBatch], ids, models) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches):
-        keys, counts = _bigrams(texts, ids.value)
-        unique, back = np.unique(keys, return_inverse=True)
-        target, background = (x[back] for x in models.value.losses(unique))
-        starts, some, sums = np.cumsum(counts) - counts, counts > 0, []
-        for x in (target, background):
-            total = np.zeros(len(counts))
-            if some.any():
-                total[some] = np.add.reduceat(x, starts[some])
-            sums.append(total / np.maximum(counts, 1))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *map(pa.array, sums), pa.array(sums[0] - sums[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"])
-
-
 def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different keys of bigrams and words, sorted; where each token's bigram, word and context are; tokens a text."""
     words = [_words(t) for t in texts]
@@ -181,16 +50,29 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     context = np.concatenate([[START_HASH], word[:-1]]).astype(np.uint64)[: len(word)]
     context[starts] = START_HASH
     bigram = mix(mix(context) * np.uint64(0x9E3779B97F4A7C15) + word)
-    keys, at = np.unique(np.concatenate([k & ~np.uint64(1) | np.uint64(kind) for k, kind in ((bigram, BIGRAM), (mix(np.append(word, START_HASH)), SINGLE))]), return_inverse=True)
+    keys, at = np.unique(np.concatenate([_key(bigram, BIGRAM), _key(mix(np.append(word, START_HASH)), SINGLE)]), return_inverse=True)
     single = at[len(word) : -1]
     before = np.concatenate([at[-1:], single[:-1]])[: len(word)]
     before[starts] = at[-1]
     return keys, at[: len(word)], single, before, counts
 
 
+def _key(h: np.ndarray, kind: int) -> np.ndarray:
+    return h >> np.uint64(9) << np.uint64(1) | np.uint64(kind)
+
+
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins and ends among sorted keys; buckets are ranges of the hash."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    return np.searchsorted((keys >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed planes of the bytes of their differences."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unplaned(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, n).T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
 def _chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +104,7 @@ def _ask(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
             for own in (slice(None), np.repeat(np.array(good, bool), counts)):
                 n += [np.bincount(np.concatenate([bigram[own], single[own]]), minlength=len(keys)), np.bincount(before[own], minlength=len(keys))]
             n, edges = np.stack(n), _edges(keys, buckets)
-            rows = [(k, z - a, zlib.compress(np.diff(keys[a:z], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1), _narrow(n[:, a:z])) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
+            rows = [(k, z - a, _planes(keys[a:z]), _narrow(n[:, a:z])) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.binary()), (3, pa.binary())))], ["bucket", "chunk", "n", "keys", "counts"])
 
 
@@ -239,7 +121,6 @@ def _wide(packed: bytes, rows: int, n: int) -> np.ndarray:
 def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, bucket, counts): the corpus counts of what a chunk asked for, in its order.
 
-    Each bucket also has a row of no chunk with its number of different words and the words counted on each side.
     Rows are sorted by bucket; one bucket is held at a time.
     """
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -253,11 +134,9 @@ def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(k)
         at = 0
         for chunk, k, _ in held:
-            rows.append((chunk, now, _narrow(total[:, back[at : at + len(k)]]), 0, 0, 0))
+            rows.append((chunk, now, _narrow(total[:, back[at : at + len(k)]])))
             at += len(k)
-        n = total[::2, (keys & np.uint64(1)) == SINGLE]
-        rows.append((NONE, now, b"", int((n[0] > 0).sum()), *map(int, n.sum(axis=1))))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ANSWER.types, strict=True)], schema=_ANSWER)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "counts"])
 
     for b in batches:
         for bucket, chunk, n, keys, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "n", "keys", "counts")), strict=True):
@@ -265,13 +144,41 @@ def _answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield done()
                 held = []
             now = bucket
-            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(keys), np.uint8).reshape(8, n).T).view(np.uint64)[:, 0]
-            held.append((chunk, np.cumsum(steps, dtype=np.uint64), _wide(counts, 4, n)))
+            held.append((chunk, _unplaned(keys, n), _wide(counts, 4, n)))
     if held:
         yield done()
 
 
-_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("words", pa.int64()), ("n_background", pa.int64()), ("n_target", pa.int64())])
+_WORDS = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("all", pa.int64()), ("good", pa.int64())])
+
+
+def _list_words(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, n, keys) of each chunk's different words, and a row with its tokens on either side."""
+    for b in batches:
+        for chunk, good, sizes, texts in zip(*(b.column(c).to_pylist() for c in ("chunk", "good", "sizes", "texts")), strict=True):
+            words = [_words(t) for t in _texts(sizes, texts)]
+            keys = np.unique(_key(mix(word_hashes().of(list({w for ws in words for w in ws}))), SINGLE))
+            edges = _edges(keys, buckets)
+            rows = [(k, z - a, _planes(keys[a:z]), 0, 0) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
+            rows.append((NONE - chunk, 0, b"", sum(map(len, words)), sum(len(w) for w, g in zip(words, good, strict=True) if g)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _WORDS.types, strict=True)], schema=_WORDS)
+
+
+def _count_listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (words, all, good) for each bucket; rows are sorted by bucket, and one bucket's different words are held."""
+    held, now = np.zeros(0, np.uint64), NONE
+    for b in batches:
+        out = []
+        for bucket, n, keys, whole, good in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if bucket != now:
+                out.append((len(held), 0, 0))
+                held, now = held[:0], bucket
+            if bucket <= NONE:
+                out.append((0, whole, good))
+            else:
+                held = np.union1d(held, _unplaned(keys, n))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["words", "all", "good"])
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (len(held), 0, 0)], ["words", "all", "good"])
 
 
 def _sides(batches: Iterable[pa.RecordBatch], buckets: int, totals: tuple[int, int, int], weight: float) -> Iterator[pa.RecordBatch]:
@@ -309,7 +216,7 @@ def _sides(batches: Iterable[pa.RecordBatch], buckets: int, totals: tuple[int, i
 
 def _marks(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A bit filter of fixed size that finds the rows (rid) of ``docs`` marked as good where they are, and ids that it takes wrongly."""
-    good = labels.filter("quality = 1").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid")).distinct()
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("rid")).distinct()
     blocks = filter_blocks(good, F.xxhash64("rid"))
     maybe = probe(docs.select("rid", F.xxhash64("rid").alias("h")), F.col("h"), blocks).select("rid").distinct()
     return blocks, checkpoint(maybe.join(good, "rid", "left_anti"))
@@ -324,95 +231,45 @@ def _flagged(docs: DataFrame, blocks: DataFrame, wrong: DataFrame) -> DataFrame:
     return join_sized(hit, wrong.withColumn("wrong", F.lit(True)), "rid", "left").withColumn("good", F.col("hit") & F.col("wrong").isNull())
 
 
-def score_whole(docs: DataFrame, labels: DataFrame, weight: float = WEIGHT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``score`` under models of all words and bigrams."""
+def score(docs: DataFrame, labels: DataFrame, weight: float = WEIGHT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (mean nats a token) and loss_difference; lower: closer to the target.
+
+    Tokens are what ASCII white space separates, A-Z in lower case. Texts without tokens have zero tokens and losses of
+    0. Repeated rows are counted and scored each; a repeated id is in the target if any of its labels says so. Labels of
+    null, or of a null id, mark nothing. With an empty target both sides back off to equal words. An empty table gives
+    an empty result.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks, wrong = _marks(rows, labels)
     # the ids of chunks hold for one run of the tasks that cut them, so what they cut is kept
     cut = checkpoint(_flagged(rows, blocks, wrong).select("doc_id", "good", "text").mapInArrow(_chunk, "chunk long, ids array<long>, good array<boolean>, sizes array<long>, texts binary"))
     buckets = max(BUCKETS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes)
-    asked = cut.mapInArrow(lambda it: _ask(it, buckets), "bucket long, chunk long, n long, keys binary, counts binary")
-    answers = checkpoint(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket long, counts binary, words long, n_background long, n_target long"))
-    words, *sums = (x or 0 for x in answers.filter(F.col("chunk") == NONE).agg(F.sum("words"), F.sum("n_background"), F.sum("n_target")).first())
+    listed = cut.select("chunk", "good", "sizes", "texts").mapInArrow(lambda it: _list_words(it, buckets), "bucket long, n long, keys binary, all long, good long")
+    listed = listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_listed, "words long, all long, good long")
+    words, *sums = (x or 0 for x in listed.agg(F.sum("words"), F.sum("all"), F.sum("good")).first())
     totals = (words + 1, *sums)  # one unknown word
-    both = cut.drop("good").withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers.filter(F.col("chunk") != NONE).select("chunk", "bucket", "counts"), allowMissingColumns=True)
+    asked = cut.mapInArrow(lambda it: _ask(it, buckets), "bucket long, chunk long, n long, keys binary, counts binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket long, counts binary")
+    both = cut.drop("good").withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
     met = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").select("bucket", "ids", "sizes", "texts", "counts")
     return met.mapInArrow(lambda it: _sides(it, buckets, totals, weight), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")
 
 
-def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS, weight: float = WEIGHT):
-    """The broadcast word ids and models. ``docs`` has (doc_id, text); ``labels`` (doc_id, quality): 1 is the target."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks, wrong = _marks(docs, labels)
-    target = join_sized(probe(docs.withColumn("h", F.xxhash64("rid")), F.col("h"), blocks), wrong, "rid", "left_anti")
-    listed = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toArrow()["word"].to_pylist()
-    ids = _Ids({w: i + 2 for i, w in enumerate(listed)})
-    size = len(ids) + 2
-    ids = spark.sparkContext.broadcast(ids)
-    counted = checkpoint(bigram_counts(docs, ids))
-    # the least count with which no more than ``bigrams`` bigrams stay; all of one count stay or go together
-    least, kept = 1, 0
-    for n, many in counted.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).toArrow().to_pandas().itertuples(index=False):
-        kept += many
-        if kept > bigrams:
-            least = n + 1
-            break
-    goal = checkpoint(bigram_counts(target, ids))
-    tables = []
-    for c in (goal, counted):
-        sides = []
-        for side in (F.shiftright("k", 32), F.col("k").bitwiseAND(F.lit(2**32 - 1))):
-            k, n = _arrays(c.groupBy(side.alias("id")).agg(F.sum("n").alias("n")))
-            total = np.zeros(size)
-            total[k] = n
-            sides.append(total)
-        tables.append(sides)
-    k, background, aim = _arrays(counted.filter(F.col("n") >= int(least)).join(goal.withColumnRenamed("n", "g"), "k", "left").select("k", "n", F.coalesce("g", F.lit(0)).alias("g")))
-    models = Models(k.copy(), aim, background, tables[0][1], tables[1][1], tables[0][0], tables[1][0], weight)
-    return ids, spark.sparkContext.broadcast(models)
-
-
-def score(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, bigrams: int | None = None, weight: float = WEIGHT) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (mean nats a token) and loss_difference; lower: closer to the target.
-
-    Tokens are what ASCII white space separates, A-Z in lower case. Texts without tokens have zero tokens and losses of
-    0. Repeated rows are counted and scored each; a repeated id is in the target if any of its labels says so. Null labels mark nothing. With an
-    empty target both sides back off to equal words. An empty table gives an empty result. With a ``vocabulary`` or
-    ``bigrams`` the models are of that size at most (of ``VOCABULARY`` or ``BIGRAMS`` where only one is given).
-    """
-    if vocabulary is None and bigrams is None:
-        return score_whole(docs, labels, weight)
-    vocabulary, bigrams = vocabulary or VOCABULARY, bigrams or BIGRAMS
-    ids, models = train(docs, labels, vocabulary, bigrams, weight)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, ids, models), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")
-
-
 SQL = f"""
-WITH toks AS (
-  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p
-  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents)
-), vocab AS (SELECT w FROM toks GROUP BY w ORDER BY count(*) DESC, w LIMIT {VOCABULARY}),
-ids AS (SELECT doc_id, p, coalesce(vocab.w, ' unknown') AS w FROM toks LEFT JOIN vocab USING (w)),
-pairs AS (SELECT doc_id, p, w, lag(w, 1, ' start') OVER (PARTITION BY doc_id ORDER BY p) AS u,
-  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM ids),
-both_ AS (SELECT u, w, count(*) AS b, count(*) FILTER (good) AS t FROM pairs GROUP BY u, w),
-levels AS (SELECT b, sum(count(*)) OVER (ORDER BY b DESC) AS kept FROM both_ GROUP BY b),
-listed AS (SELECT * FROM both_ WHERE b >= coalesce((SELECT max(b) + 1 FROM levels WHERE kept > {BIGRAMS}), 1)),
-ctx AS (SELECT u, sum(b) AS b, sum(t) AS t FROM both_ GROUP BY u),
-wrd AS (SELECT w, sum(b) AS b, sum(t) AS t FROM both_ GROUP BY w),
-tot AS (SELECT coalesce(sum(b), 0) AS b, coalesce(sum(t), 0) AS t, (SELECT count(*) FROM vocab) + 1 AS v FROM both_),
-back AS (SELECT ctx.u, 1 - {WEIGHT} * coalesce(sum(listed.b), 0)::DOUBLE / any_value(ctx.b) AS b,
-  CASE WHEN any_value(ctx.t) > 0 THEN 1 - {WEIGHT} * coalesce(sum(listed.t), 0)::DOUBLE / any_value(ctx.t) ELSE 1 END AS t
-  FROM ctx LEFT JOIN listed USING (u) GROUP BY ctx.u),
-loss AS (SELECT pairs.doc_id,
-  -ln(CASE WHEN ctx.t > 0 THEN {WEIGHT} * coalesce(listed.t, 0)::DOUBLE / ctx.t ELSE 0 END + back.t * (wrd.t + 1)::DOUBLE / (tot.t + tot.v)) AS t,
-  -ln({WEIGHT} * coalesce(listed.b, 0)::DOUBLE / ctx.b + back.b * (wrd.b + 1)::DOUBLE / (tot.b + tot.v)) AS b
-  FROM pairs JOIN ctx USING (u) JOIN back USING (u) JOIN wrd USING (w) LEFT JOIN listed ON listed.u = pairs.u AND listed.w = pairs.w, tot)
-SELECT doc_id, count(loss.doc_id) AS n_tokens, round(coalesce(avg(t), 0), 6) AS target_loss, round(coalesce(avg(b), 0), 6) AS background_loss,
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+toks AS (SELECT r, doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+pairs AS (SELECT r, w, lag(w, 1, ' start') OVER (PARTITION BY r ORDER BY p) AS u,
+  coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good FROM toks),
+two AS (SELECT u, w, count(*) AS b, count(*) FILTER (good) AS t FROM pairs GROUP BY u, w),
+ctx AS (SELECT u, sum(b) AS b, sum(t) AS t FROM two GROUP BY u),
+wrd AS (SELECT w, sum(b) AS b, sum(t) AS t FROM two GROUP BY w),
+tot AS (SELECT coalesce(sum(b), 0) AS b, coalesce(sum(t), 0) AS t, count(*) + 1 AS v FROM wrd),
+loss AS (SELECT r,
+  -ln(CASE WHEN ctx.t > 0 THEN {WEIGHT} * two.t::DOUBLE / ctx.t ELSE 0 END + CASE WHEN ctx.t > 0 THEN 1 - {WEIGHT} ELSE 1 END * (wrd.t + 1)::DOUBLE / (tot.t + tot.v)) AS t,
+  -ln({WEIGHT} * two.b::DOUBLE / ctx.b + (1 - {WEIGHT}) * (wrd.b + 1)::DOUBLE / (tot.b + tot.v)) AS b
+  FROM pairs JOIN two USING (u, w) JOIN ctx USING (u) JOIN wrd USING (w), tot)
+SELECT any_value(doc_id) AS doc_id, count(loss.r) AS n_tokens, round(coalesce(avg(t), 0), 6) AS target_loss, round(coalesce(avg(b), 0), 6) AS background_loss,
   round(coalesce(avg(t) - avg(b), 0), 6) AS loss_difference
-FROM (SELECT doc_id FROM documents) LEFT JOIN loss USING (doc_id) GROUP BY doc_id
+FROM docs LEFT JOIN loss USING (r) GROUP BY r
 """
