@@ -21,17 +21,18 @@ def sha256_hex(c: Column) -> Column:
 
 
 def base32(hex_digest: Column, keep: int = 52) -> Column:
-    """The first ``keep`` of 52 base-32 digits of a SHA-256, most significant first."""
+    """The first ``keep`` of 52 base-32 digits of a SHA-256, most significant first.
 
-    def byte(i: Column) -> Column:
-        return F.coalesce(F.conv(F.substring(hex_digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int"), F.lit(0))
-
-    def digit(n: Column) -> Column:
-        at = (n * 5 / 8).cast("int")
-        pair = byte(at) + byte(at + 1) * 256
-        return F.substring(F.lit(DIGITS), (F.floor(pair / F.pow(F.lit(2), n * 5 % 8)) % 32 + 1).cast("int"), F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(51), F.lit(52 - keep), F.lit(-1)), digit), "")
+    The digest is a number whose last byte is the highest: its bytes are reversed, and every ten hex digits of its 65
+    (the first is 0) are eight of base 32.
+    """
+    groups = -(-keep // 8)
+    need = min(64, 10 * groups - 1)  # hex digits behind the 0
+    nibbles = F.reverse(F.substring(hex_digest, 64 - 2 * (-(-need // 2)) + 1, 2 * (-(-need // 2))))
+    number = F.concat(F.lit("0"), F.regexp_replace(nibbles, "(.)(.)", "$2$1"))
+    size = [min(10, 65 - 10 * i) for i in range(groups)]
+    parts = [F.lpad(F.conv(F.substring(number, 10 * i + 1, k), 16, 32), 8 * k // 10, "0") for i, k in enumerate(size)]
+    return F.substring(F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", DIGITS), 1, keep)
 
 
 def content_id(*fields: Column) -> Column:
@@ -68,7 +69,12 @@ def mem_to_bytes(c: Column) -> Column:
 
 def get_path(json: Column, path: str) -> Column:
     """A dotted lookup in JSON text; null when absent or not an object."""
-    return F.get_json_object(json, "$." + path)
+    return F.get_json_object(json, "$" + "".join(f"['{p}']" for p in path.split(".")))
+
+
+def literal(text: str) -> str:
+    """A regular expression that matches just this text."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def glob_to_regex(pattern: Column) -> Column:

@@ -14,6 +14,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweave.shared import numbered, small
+
+#: Values of an axis up to which they are part of the plan; longer lists are joined.
+LISTED = 1000
+
 
 class GridError(ValueError):
     """A grid that cannot be expanded as it was written."""
@@ -24,19 +29,24 @@ class Axis:
     """Parameters that move together and their rows; a plain axis has one name."""
 
     names: tuple[str, ...]
-    rows: tuple[tuple, ...]
+    rows: Sequence[tuple]
 
     def __len__(self) -> int:
         return len(self.rows)
 
 
+@dataclass(frozen=True)
+class RangeAxis(Axis):
+    """Whole numbers, whose ``rows`` are a range."""
+
+
 def axis_list(name: str, values: Sequence[Any]) -> Axis:
     return Axis((name,), tuple((v,) for v in values))
 
 
 def axis_range(name: str, first: int, last: int) -> Axis:
-    """Whole numbers from ``first`` to ``last``, both included."""
-    return axis_list(name, range(first, last + 1))
+    """Whole numbers from ``first`` to ``last``, both included; they are counted out, never listed."""
+    return RangeAxis((name,), range(first, last + 1))
 
 
 def axis_zip(**lists: Sequence[Any]) -> Axis:
@@ -49,7 +59,7 @@ def axis_zip(**lists: Sequence[Any]) -> Axis:
 
 def axis_column(df: DataFrame, column: str) -> DataFrame:
     """The different values of a column as an axis: (ord, column), in value order."""
-    return df.select(column).distinct().withColumn("ord", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    return numbered(df.select(column).distinct(), [column])
 
 
 def build_axes(params: dict[str, Sequence[Any]], zips: Sequence[Axis] = ()) -> list[Axis]:
@@ -69,16 +79,25 @@ def grid_slice(spark: SparkSession, axes: Sequence[Axis], start: int = 0, end: i
     """The combinations at flat indexes start to end (cut at the grid's size); the last axis varies fastest."""
     size = grid_size(axes)
     out = spark.range(min(start, size), size if end is None else max(start, min(end, size))).withColumnRenamed("id", "combo_id")
-    stride, columns = size, {}
+    stride, columns, joined = size, {}, []
     for a in axes:
         stride = stride // max(1, len(a))
         if not len(a):
             columns |= {n: F.lit(None) for n in a.names}
             continue
-        at = (F.floor(F.col("combo_id") / stride) if stride < 2**52 else F.expr(f"combo_id div {stride}")) % len(a) + 1
-        for k, n in enumerate(a.names):
-            columns[n] = F.element_at(F.array(*[F.lit(r[k]) for r in a.rows]), at.cast("int"))
-    return out.withColumns(columns) if columns else out
+        at = F.expr(f"combo_id div {stride}") % len(a)
+        if isinstance(a, RangeAxis):
+            columns[a.names[0]] = at + a.rows[0]
+        elif len(a) <= LISTED:
+            for k, n in enumerate(a.names):
+                columns[n] = F.element_at(F.array(*[F.lit(r[k]) for r in a.rows]), (at + 1).cast("int"))
+        else:
+            columns[f"__at{len(joined)}"] = at
+            joined.append(spark.createDataFrame([(i, *r) for i, r in enumerate(a.rows)], [f"__at{len(joined)}", *a.names]))
+    out = out.withColumns(columns) if columns else out
+    for i, values in enumerate(joined):
+        out = out.join(small(values), f"__at{i}").drop(f"__at{i}")
+    return out.select("combo_id", *[n for a in axes for n in a.names])
 
 
 def expand_grid(spark: SparkSession, axes: Sequence[Axis | DataFrame]) -> DataFrame:
@@ -93,7 +112,7 @@ def expand_grid(spark: SparkSession, axes: Sequence[Axis | DataFrame]) -> DataFr
     for a in axes:
         df = grid_slice(spark, [a]).withColumnRenamed("combo_id", "ord") if isinstance(a, Axis) else a
         size = len(a) if isinstance(a, Axis) else a.count()
-        out = out.crossJoin(df).withColumn("combo_id", F.col("combo_id") * size + F.col("ord")).drop("ord")
+        out = out.crossJoin(small(df)).withColumn("combo_id", F.col("combo_id") * size + F.col("ord")).drop("ord")
     return out
 
 
@@ -132,8 +151,8 @@ def derive_params(grid: DataFrame, **columns: Column) -> DataFrame:
 
 
 def cross_pipelines(grid: DataFrame, stages: DataFrame) -> DataFrame:
-    """Combinations x (pipeline, pos, stage), the plan's rows; the stage list is written by hand, so it is small."""
-    return grid.crossJoin(F.broadcast(stages))
+    """Combinations x (pipeline, pos, stage), the plan's rows, which a plan has by definition."""
+    return grid.crossJoin(small(stages))
 
 
 def pick_representatives(jobs: DataFrame, group: str, prefer: Column, has_hints: Column, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.ids import stage_of
+from gridweave.shared import checkpoint
 
 _OPS = {"startswith": Column.startswith, "endswith": Column.endswith, "contains": Column.contains}
 
@@ -74,13 +75,19 @@ def where_stage(jobs: DataFrame, text: str) -> DataFrame:
 def lookup(ids: DataFrame, prefixes: DataFrame, at_least: int = 0) -> DataFrame:
     """(prefix, n, result, first, last) for a table of prefixes: not found, match or ambiguous.
 
-    With ``at_least`` > 0 all prefixes have that many characters and the join is an equi join on them.
+    Every join is on equal texts: prefixes of at least ``at_least`` characters meet ids by that many and are compared,
+    shorter ones meet the ids' beginnings of each length that a prefix has. A null prefix is not found.
     """
+    own = prefixes.select("prefix").distinct()
+    longer = F.length("prefix") >= at_least if at_least else F.lit(False)
+    short = own.filter(F.col("prefix").isNull() | ~longer)
+    lengths = [r.k for r in short.select(F.length("prefix").alias("k")).filter("k is not null").distinct().collect()]  # as many as prefixes have lengths
+    starts = ids.select("job_id", F.explode(F.array(*[F.lit(k) for k in lengths]).cast("array<int>")).alias("k")).filter(F.length("job_id") >= F.col("k"))
+    joined = short.join(starts.select("job_id", F.substring(F.col("job_id"), F.lit(1), F.col("k")).alias("prefix")), "prefix", "left").select("prefix", "job_id")
     if at_least:
         a = ids.select("job_id", F.substring("job_id", 1, at_least).alias("k"))
-        joined = prefixes.withColumn("k", F.substring("prefix", 1, at_least)).join(a, "k", "left").withColumn("job_id", F.when(F.col("job_id").startswith(F.col("prefix")), F.col("job_id")))
-    else:
-        joined = prefixes.join(ids.select("job_id"), F.col("job_id").startswith(F.col("prefix")), "left")
+        met = own.filter(longer).withColumn("k", F.substring("prefix", 1, at_least)).join(a, "k", "left")
+        joined = joined.union(met.select("prefix", F.when(F.col("job_id").startswith(F.col("prefix")), F.col("job_id"))))
     n = F.countDistinct("job_id")
     result = F.when(n == 0, "not found").when(n == 1, "match").otherwise("ambiguous")
     return joined.groupBy("prefix").agg(n.alias("n"), result.alias("result"), F.min("job_id").alias("first"), F.max("job_id").alias("last"))
@@ -96,8 +103,25 @@ def select_runs(runs: DataFrame, groups: DataFrame, spec: str) -> DataFrame:
     return runs.join(inside, "run", "left_semi")
 
 
-def to_table(jobs: DataFrame, eff: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """One row a job: job_id, name and effective parameters (job_id, k, v) as columns; without keys one query lists them."""
+def flattened(eff: DataFrame) -> DataFrame:
+    """Parameters (job_id, k, v) with JSON objects taken apart: ``k.inner`` for each of their fields, down to what is no object."""
+    done, left = eff.limit(0).select("job_id", "k", "v"), eff.select("job_id", "k", "v")
+    while True:
+        inner = F.from_json(F.when(F.ltrim("v").startswith("{"), F.col("v")), "map<string,string>")
+        split = checkpoint(left.withColumn("inner", inner))
+        done = done.union(split.filter("inner is null").select("job_id", "k", "v"))
+        left = split.filter("inner is not null").select("job_id", "k", F.explode("inner").alias("f", "x")).select("job_id", F.concat("k", F.lit("."), "f").alias("k"), F.col("x").alias("v"))
+        if left.isEmpty():
+            return done
+
+
+def to_table(jobs: DataFrame, eff: DataFrame, keys: Sequence[str] | None = None, flatten: bool = True) -> DataFrame:
+    """One row a job: job_id, name and effective parameters (job_id, k, v) as columns; without keys one query lists them.
+
+    Nested objects become dotted columns, as ``flattened`` gives them.
+    """
+    if flatten:
+        eff = flattened(eff)
     if keys is None:
         keys = [r.k for r in eff.select("k").distinct().orderBy("k").collect()]  # parameter names, as many as columns
     wide = eff.groupBy("job_id").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in keys]) if keys else eff.select("job_id").distinct()
@@ -109,8 +133,12 @@ def at_positions(df: DataFrame, order: Sequence[str], start: int, end: int) -> D
     return df.orderBy(*order).offset(start).limit(max(0, end - start))
 
 
-def run_of(jobs: DataFrame, run_jobs: DataFrame) -> DataFrame:
-    """(job_id, run): a job of several runs (run, job_id, ord) is in the last; without a run null, an error to report."""
+def run_of(jobs: DataFrame, run_jobs: DataFrame, missing: str = "null") -> DataFrame:
+    """(job_id, run): a job of several runs (run, job_id, ord) is in the last; one of no run has null or, with ``error``, raises."""
+    if missing == "error":
+        lost = jobs.select("job_id").join(run_jobs, "job_id", "left_anti").orderBy("job_id").limit(20).collect()
+        if lost:
+            raise KeyError(f"jobs of no run, the first: {[r.job_id for r in lost]}")
     return jobs.select("job_id").join(run_jobs.groupBy("job_id").agg(F.max_by("run", "ord").alias("run")), "job_id", "left")
 
 
@@ -123,11 +151,13 @@ def group_by_stage(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("stage", stage_of(F.col("job_id"))).groupBy("stage").agg(F.count("*").alias("n"), F.min("job_id").alias("first"))
 
 
-def job_profile(jobs: DataFrame, statuses: DataFrame, eff: DataFrame, edges: DataFrame, outputs: DataFrame) -> DataFrame:
-    """One wide row a job: run, status, parameters, different inputs and outputs, as sorted arrays."""
+def job_profile(jobs: DataFrame, statuses: DataFrame, eff: DataFrame, edges: DataFrame, outputs: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """One wide row a job: run, status, parameters, different inputs and outputs, and hints (job_id, exe, mem, cpus, time) of
+    its sub-stages, as sorted arrays."""
     listed = lambda df, c, name: df.groupBy("job_id").agg(F.array_sort(F.collect_set(c)).alias(name))
     out = jobs.join(statuses, "job_id", "left").join(listed(eff, F.struct("k", "v"), "params"), "job_id", "left")
-    return out.join(listed(edges, "dep_id", "inputs"), "job_id", "left").join(listed(outputs, "output", "outputs"), "job_id", "left")
+    out = out.join(listed(edges, "dep_id", "inputs"), "job_id", "left").join(listed(outputs, "output", "outputs"), "job_id", "left")
+    return out if hints is None else out.join(listed(hints, F.struct("exe", "mem", "cpus", "time"), "hints"), "job_id", "left")
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:

@@ -11,6 +11,34 @@ def live_set(roots: DataFrame, refs: DataFrame) -> DataFrame:
     return roots.join(refs, "target").select("artifact").union(roots.join(refs.select("target").distinct(), "target", "left_anti").select(F.col("target"))).distinct()
 
 
+# Fixed value: folders of the store that are compared one level down, entry by entry.
+COLLECTIONS = ("host-tools", "images", "image", "jobs", "lab", "revision", "readme", "store")
+
+
+def live_paths(roots: DataFrame, refs: DataFrame) -> DataFrame:
+    """As ``live_set`` for artifacts that are relative paths: the folder at the top of each is live too."""
+    live = live_set(roots, refs)
+    return live.union(live.select(F.substring_index("artifact", "/", 1))).distinct()
+
+
+def live_jobs(roots: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Different jobs (target, job_id) of what any root refers to."""
+    return roots.join(jobs, "target").select("job_id").distinct()
+
+
+def store_entries(files: DataFrame, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame:
+    """Files (path, size) of a store as the entries that live or go as one, (artifact, kind, size): what is directly in the
+    store, and in its collections what is directly in these. kind is the name at the top."""
+    top, inner = F.substring_index("path", "/", 1), F.substring_index("path", "/", 2)
+    return files.select(F.when(top.isin(*collections), inner).otherwise(top).alias("artifact"), top.alias("kind"), "size").groupBy("artifact", "kind").agg(F.sum("size").alias("size"))
+
+
+def outputs_report(outputs: DataFrame, live: DataFrame) -> DataFrame:
+    """(kind, dead, bytes) of job outputs (job_id, size) whose job is not live."""
+    dead = outputs.join(live, "job_id", "left_anti").groupBy("job_id").agg(F.sum("size").alias("size"))
+    return dead.agg(F.count("*").alias("dead"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).select(F.lit("outputs").alias("kind"), "dead", "bytes")
+
+
 def sweep_report(store: DataFrame, live: DataFrame, keep: tuple[str, ...] = ("bin",)) -> DataFrame:
     """(kind, dead, bytes) of store entries (artifact, kind, size) that nothing live uses; kept kinds are never dead."""
     dead = store.filter(~F.col("kind").isin(*keep)).join(live, "artifact", "left_anti")
@@ -20,7 +48,8 @@ def sweep_report(store: DataFrame, live: DataFrame, keep: tuple[str, ...] = ("bi
 def keep_last_n(roots: DataFrame, n: int = 5) -> DataFrame:
     """All pinned roots, and of each project's others the ``n`` newest by name."""
     rank = F.row_number().over(Window.partitionBy("project", "kind").orderBy(F.desc("name")))
-    return roots.withColumn("rank", rank).filter((F.col("kind") == "pinned") | (F.col("rank") <= n)).drop("rank")
+    others = roots.filter("kind <> 'pinned'").withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+    return roots.filter("kind = 'pinned'").union(others)
 
 
 def keep_n_and_max_age(logs: DataFrame, n: int, days: int, today: Column) -> DataFrame:
@@ -36,6 +65,12 @@ def list_roots(roots: DataFrame, kind: str | None = None, project: str | None =
     return (out if project is None else out.filter(F.col("project").contains(project))).orderBy("name")
 
 
+def roots_with_size(roots: DataFrame, refs: DataFrame, sizes: DataFrame, kind: str | None = None, project: str | None = None) -> DataFrame:
+    """``list_roots`` with ``bytes``, and a row with a null name for the total, which counts each root in full."""
+    each = list_roots(roots, kind, project).select("name", "target")
+    return root_size(each, refs, sizes).rollup("name").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
 def root_size(roots: DataFrame, refs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(name, bytes): what each root refers to; shared artifacts count for each."""
     return roots.select("name", "target").join(refs, "target", "left").join(sizes, "artifact", "left").groupBy("name").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
@@ -47,9 +82,17 @@ def pinned_only(roots: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def pin_status(roots: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, pins, autos): names of pinned roots and number of automatic ones with the id in name or target."""
-    target = F.col("target").cast("string")
-    joined = ids.join(roots, F.col("name").contains(F.col("id")) | target.contains(F.col("id")), "left")
+    """(id, pins, autos): names of pinned roots and number of automatic ones with the id in name or target.
+
+    Roots meet ids by their parts of each length that an id has, so no side is multiplied by the other. Empty and null
+    ids are in nothing.
+    """
+    ids = ids.select("id").distinct()
+    lengths = [r.k for r in ids.select(F.length("id").alias("k")).filter("k > 0").distinct().collect()]  # as many as ids have lengths
+    cut = lambda c: F.flatten(F.array(*[F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i, k=k: F.substring(F.col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in lengths]))
+    texts = roots.select("name", "kind", F.coalesce(F.col("target").cast("string"), F.lit("")).alias("__target"))
+    parts = texts.select("name", "kind", F.explode(F.array_union(cut("name"), cut("__target"))).alias("id")) if lengths else texts.limit(0).select("name", "kind", F.lit("").alias("id"))
+    joined = ids.join(parts, "id", "left")
     return joined.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "pinned", F.col("name")))), ",").alias("pins"), F.count_if(F.col("kind") == "auto").alias("autos"))
 
 
@@ -66,8 +109,9 @@ def filter_missing(wanted: DataFrame, present: DataFrame, on: str = "id") -> Dat
 
 
 def cache_stats(entries: DataFrame) -> DataFrame:
-    """(key_type, entries, bytes, oldest, newest) with a total in the null type; absent sizes add nothing."""
-    return entries.rollup("key_type").agg(F.count("*").alias("entries"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
+    """(key_type, total, entries, bytes, oldest, newest): the row with ``total`` is that of all types; absent sizes add nothing."""
+    rolled = entries.rollup("key_type").agg(F.count("*").alias("entries"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"), F.grouping("key_type").alias("g"))
+    return rolled.select("key_type", (F.col("g") == 1).alias("total"), "entries", "bytes", "oldest", "newest")
 
 
 def verify_manifest(manifest: DataFrame, store: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.ids import glob_to_regex
+from gridweave.shared import small
 
 
 def _matches(entity_name: str, entity_target: str) -> Column:
@@ -19,7 +20,7 @@ def resolve_rules(entities: DataFrame, rules: DataFrame, key: str, name: str, ta
     A rule matches if its target is absent or equal and its glob is absent or matches the whole name. An entity's own
     columns of a field's name are its hints. A list field is replaced only by one that has entries.
     """
-    r = F.broadcast(rules.select("ord", "glob", "target", *[F.col(f).alias(f"rule_{f}") for f in [*fields, *lists]]))
+    r = small(rules.select("ord", "glob", "target", *[F.col(f).alias(f"rule_{f}") for f in [*fields, *lists]]))
     own = entities.withColumnRenamed(target, "__target") if target == "target" else entities.withColumn("__target", F.col(target))
     hits = own.select(key, F.col(name).alias("__name"), "__target").join(r, _matches("__name", "__target"))
     last = [F.max_by(f"rule_{f}", F.when(F.col(f"rule_{f}").isNotNull(), F.col("ord"))).alias(f"rule_{f}") for f in fields]
@@ -33,7 +34,7 @@ def resolve_rules(entities: DataFrame, rules: DataFrame, key: str, name: str, ta
 def resolve_worker_rules(entities: DataFrame, rules: DataFrame, key: str, name: str, target: str, fields: list[str], defaults: dict | None = None) -> DataFrame:
     """As ``resolve_rules``, then worker hints (columns worker_<field>), then the struct ``worker`` of the last matching rule only."""
     base = resolve_rules(entities, rules, key, name, target, fields, defaults=defaults)
-    r = F.broadcast(rules.select("ord", "glob", "target", "worker"))
+    r = small(rules.select("ord", "glob", "target", "worker"))
     hits = entities.select(key, F.col(name).alias("__name"), F.col(target).alias("__target")).join(r, _matches("__name", "__target"))
     last = hits.groupBy(key).agg(F.max_by("worker", "ord").alias("worker"))
     hints = [f"worker_{f}" for f in fields if f"worker_{f}" in entities.columns]

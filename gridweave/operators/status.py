@@ -42,11 +42,10 @@ def run_status(runs: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:
-    """(run, status, n) with totals: a null run is all runs, a null status all states; submit failures count as failed."""
+    """(run, status, n, all_runs, all_states) with totals, which the flags tell; submit failures count as failed."""
     jobs = jobs.withColumn("status", F.when(F.col("status") == "SubmitFailed", "Failed").otherwise(F.col("status")))
-    rolled = jobs.rollup("run", "status").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
-    every = jobs.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("run"), "status", "n")
-    return rolled.select("run", "status", "n").unionByName(every)
+    cubed = jobs.cube("run", "status").agg(F.count("*").alias("n"), F.grouping("run").alias("a"), F.grouping("status").alias("b"))
+    return cubed.select("run", "status", "n", (F.col("a") == 1).alias("all_runs"), (F.col("b") == 1).alias("all_states"))
 
 
 def completion_rate(events: DataFrame, ts: str, done, width: str, keep: int = 500) -> DataFrame:

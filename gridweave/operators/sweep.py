@@ -6,6 +6,7 @@ A stage is a function of (inputs, params): ``inputs`` maps upstream stages to th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators.identity import Stage, dedup_jobs, propagate_keys
+from gridweave.shared import checkpoint
 
 StageFunction = Callable[[dict[str, DataFrame], DataFrame], DataFrame]
 
@@ -36,8 +38,13 @@ class Sweep:
 
 
 def run_sweep(grid: DataFrame, stages: list[SweepStage], done: dict[str, DataFrame] | None = None) -> Sweep:
-    """All stages. ``done`` holds earlier results by stage: keys found there are not computed again."""
-    keyed = propagate_keys(grid, [s.stage for s in stages])
+    """All stages. ``done`` holds earlier results by stage: keys found there are not computed again.
+
+    The keys are computed once, and so is every result that more than one stage reads: both are kept in the shared folder.
+    Results that one stage reads, and final ones, stay lazy.
+    """
+    keyed = checkpoint(propagate_keys(grid, [s.stage for s in stages]))
+    readers = Counter(d for s in stages for d in dict.fromkeys(s.stage.deps))
     results: dict[str, DataFrame] = {}
     for s in stages:
         jobs = dedup_jobs(keyed, s.stage)
@@ -49,7 +56,8 @@ def run_sweep(grid: DataFrame, stages: list[SweepStage], done: dict[str, DataFra
             links = jobs.select(F.col("job_key").alias("to"), F.col(f"key_{d}").alias("job_key"))
             inputs[d] = results[d].join(links, "job_key").drop("job_key").withColumnRenamed("to", "job_key")
         out = s.run(inputs, jobs.drop(*[f"key_{d}" for d in s.stage.deps]))
-        results[s.stage.name] = out if before is None else before.unionByName(out)
+        out = out if before is None else before.unionByName(out)
+        results[s.stage.name] = checkpoint(out) if readers[s.stage.name] > 1 else out
     return Sweep(keyed, results)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridweave.operators.fanout import Step, sink_of
 from gridweave.operators.lineage import levels
+from gridweave.shared import small
 
 
 def wire_implicit(deps: DataFrame, outputs: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +41,7 @@ def wire_inter_run(stages: DataFrame, deps: DataFrame, inputs: DataFrame, run_de
     """Edges (stage, dep_run, name) for stages without dependencies; others that declare the reserved inputs."""
     asked = inputs.filter(F.col("name").isin(*reserved))
     first = stages.join(deps.select("stage").distinct(), "stage", "left_anti").select("stage")
-    edges = asked.join(first, "stage", "left_semi").crossJoin(F.broadcast(run_deps.select("dep_run").distinct())).select("stage", "dep_run", "name").distinct()
+    edges = asked.join(first, "stage", "left_semi").crossJoin(small(run_deps.select("dep_run").distinct())).select("stage", "dep_run", "name").distinct()
     return edges, asked.join(first, "stage", "left_anti").select("stage", "name")
 
 
@@ -80,7 +81,7 @@ def run_graph(runs: DataFrame, run_deps: DataFrame, groups: DataFrame) -> tuple[
     edges = run_deps.select("run", "dep_run", F.coalesce("dep_type", F.lit("hard")).alias("dep_type"))
     twice = runs.groupBy("run").count().filter("count > 1").select(F.lit("duplicate run").alias("what"), F.col("run").alias("name"))
     clash = groups.select(F.col("group").alias("run")).distinct().join(runs.select("run"), "run", "left_semi").select(F.lit("group named like a run"), "run")
-    _, left, unknown = levels(runs.select(F.col("run").alias("job_id")), edges.select(F.col("run").alias("job_id"), F.col("dep_run").alias("dep_id")))
+    _, left, unknown = levels(runs.select(F.col("run").alias("job_id")), edges.select(F.col("run").alias("job_id"), F.col("dep_run").alias("dep_id")), unknown="ignore")
     return edges, twice.union(clash).union(left.select(F.lit("in or behind a cycle"), "job_id")).union(unknown.select(F.lit("unknown run"), "dep_id"))
 
 

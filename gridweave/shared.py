@@ -1,18 +1,49 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, joins with counted sides, and row numbers without a single task."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+#: A side of a join is broadcast up to so many (narrow) rows.
+BROADCAST_ROWS = 200_000
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in ``spark.checkpoint.dir`` (a temporary folder in local runs without one)."""
-    spark: SparkSession = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a temporary folder in local runs without one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
     context = spark.sparkContext._jsc.sc()
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir().isEmpty():
+    if context.getCheckpointDir().isEmpty():
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir().get().rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows; it should be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(df: DataFrame, by: list[str | Column], name: str = "ord") -> DataFrame:
+    """``df`` with row numbers from 0 in the order of ``by``: ranges are sorted and counted, and numbered from where the last one ended."""
+    local = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    local = checkpoint(local.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit(2**33 - 1))}).drop("__id"))
+    counts = local.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each partition
+    starts = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
+    return local.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")

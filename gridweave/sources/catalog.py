@@ -7,9 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_INPUT = "struct<job_id:string,source_output:string,target_input:string,source:string,source_key:string,type:string,dependency_type:string,source_run:string>"
-_EXE = f"struct<path:string,inputs:array<{_INPUT}>,outputs:map<string,string>,deps:array<string>>"
-_JOB = f"struct<name:string,stage_type:string,params:map<string,string>,executables:map<string,{_EXE}>>"
+from gridweave.functions.ids import literal
+from gridweave.sources.files import exists
+from gridweave.shared import checkpoint
+
+#: Jobs whose result files are named one by one.
+NAMED = 1000
+_INPUT = "struct<job_id:string,source_output:string,target_input:string,source:string,source_key:string,type:string,dependency_type:string,source_run:string,source_stage_filter:string>"
+_HINTS = "struct<mem:string,cpus:int,time:string,partition:string,sbatch_opts:array<string>>"
+_EXE = f"struct<path:string,inputs:array<{_INPUT}>,outputs:map<string,string>,deps:array<string>,resource_hints:{_HINTS}>"
+_JOB = f"struct<name:string,stage_type:string,params:map<string,string>,executables:map<string,{_EXE}>,resource_hints:{_HINTS}>"
 RUN = f"name string, type string, image string, gitHash string, dependencies map<string,string>, jobs map<string,{_JOB}>"
 ROOT = "runs array<string>, groups map<string,array<string>>, gitHash string"
 
@@ -26,41 +33,39 @@ class Catalog:
     groups: DataFrame | None = None
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _tables(files: DataFrame) -> Catalog:
     """``files``: one row a run file, with ``ord``, its place in load order."""
     run = F.coalesce("name", F.lit("unknown_run"))
     files = files.withColumn("run", run)
     each = files.select("ord", "run", F.explode("jobs").alias("job_id", "job"))
     last = each.groupBy("job_id").agg(F.max_by(F.struct("run", "job"), "ord").alias("r")).select("job_id", "r.*")  # the later run wins
-    jobs = last.select("job_id", "run", "job.name", "job.stage_type", "job.params", F.to_json("job.params").alias("params_json"))
+    jobs = last.select("job_id", "run", "job.name", "job.stage_type", "job.params", F.to_json("job.params").alias("params_json"), F.col("job.resource_hints").alias("hints"))
     exes = last.select("job_id", F.explode("job.executables").alias("exe", "e"))
-    edges = exes.select("job_id", "exe", F.posexplode("e.inputs").alias("pos", "i")).select("job_id", "exe", "pos", F.col("i.job_id").alias("dep_id"), "i.source_output", "i.target_input", "i.source", "i.source_key", F.col("i.type").alias("mapping_type"), F.col("i.dependency_type").alias("dep_type"), "i.source_run")
+    edges = exes.select("job_id", "exe", F.posexplode("e.inputs").alias("pos", "i")).select("job_id", "exe", "pos", F.col("i.job_id").alias("dep_id"), "i.source_output", "i.target_input", "i.source", "i.source_key", F.col("i.type").alias("mapping_type"), F.col("i.dependency_type").alias("dep_type"), "i.source_run", F.col("i.source_stage_filter").alias("source_stage"))
     return Catalog(
         files.select("run", "image", F.col("gitHash").alias("git_hash")),
         files.select("run", F.explode("dependencies").alias("dep_run", "dep_type")),
         each.select("run", "job_id", "ord"),
         jobs,
-        exes.select("job_id", "exe", "e.path", "e.deps"),
+        exes.select("job_id", "exe", "e.path", "e.deps", F.col("e.resource_hints").alias("hints")),
         edges,
         exes.select("job_id", "exe", F.explode("e.outputs").alias("output", "template")),
     )
 
 
 def read_catalog(spark: SparkSession, folder: str, root: str = "root.json", on_missing: str = "skip") -> Catalog:
-    """The root file's runs (paths relative to the folder), in order. Missing run files are skipped or, with ``error``, raise."""
+    """The root file's runs (paths relative to the folder), in order. Missing run files are skipped or, with ``error``, raise.
+
+    The root and a run may each be a folder that holds one file, as Spark writes them.
+    """
     top = spark.read.schema(ROOT).json(f"{folder}/{root}", multiLine=True)
     listed = top.first().runs or []
-    there = [r for r in listed if _exists(spark, f"{folder}/{r}")]
+    there = [r for r in listed if exists(spark, f"{folder}/{r}")]
     if on_missing == "error" and len(there) < len(listed):
         raise FileNotFoundError(f"missing run files: {sorted(set(listed) - set(there))}")
     order = spark.createDataFrame(list(enumerate(there)), "ord int, file string")
     files = spark.read.schema(RUN).json([f"{folder}/{r}" for r in there], multiLine=True).withColumn("at", F.col("_metadata.file_path")) if there else spark.createDataFrame([], RUN + ", at string")
-    out = _tables(files.join(F.broadcast(order), F.col("at").endswith(F.concat(F.lit("/"), "file"))))
+    out = _tables(files.join(F.broadcast(order), F.contains(F.concat("at", F.lit("/")), F.concat(F.lit("/"), "file", F.lit("/")))))
     out.groups = top.select(F.explode("groups").alias("group", "r")).select("group", F.explode_outer("r").alias("run"))
     return out
 
@@ -74,32 +79,67 @@ def read_run(spark: SparkSession, path: str) -> Catalog:
     return _tables(files.withColumn("ord", F.lit(0)))
 
 
-def write_catalog(jobs: DataFrame, path: str) -> None:
-    """Jobs by run, one row for each id of a run (the first by name)."""
+def write_catalog(jobs: DataFrame, path: str, run_deps: DataFrame | None = None) -> None:
+    """Jobs by run, one row for each id of a run (the first by name), under ``jobs``; with ``run_deps`` (run, dep_run,
+    dep_type) also ``run_deps`` with dep_file, where the jobs of the run depended on are. An unknown one raises."""
     first = F.row_number().over(Window.partitionBy("run", "job_id").orderBy("name"))
-    jobs.withColumn("rank", first).filter("rank = 1").drop("rank").write.mode("overwrite").partitionBy("run").parquet(path)
+    jobs.withColumn("rank", first).filter("rank = 1").drop("rank").write.mode("overwrite").partitionBy("run").parquet(f"{path}/jobs")
+    if run_deps is None:
+        return
+    known = jobs.select(F.col("run").alias("dep_run")).distinct()
+    if lost := run_deps.join(known, "dep_run", "left_anti").orderBy("run", "dep_run").limit(20).collect():
+        raise ValueError(f"runs that depend on unknown ones: {[(r.run, r.dep_run) for r in lost]}")
+    run_deps.select("run", "dep_run", F.coalesce("dep_type", F.lit("hard")).alias("dep_type"), F.concat(F.lit("jobs/run="), "dep_run").alias("dep_file")).write.mode("overwrite").json(f"{path}/run_deps")
+
+
+def _folders(jobs: DataFrame, base: str | DataFrame) -> DataFrame:
+    """(job_id, folder): ``<base>/<job_id>/out``, or what a manifest (job_id, dir) says; a job that it lacks raises."""
+    if isinstance(base, str):
+        return jobs.select("job_id", F.concat(F.lit(base.rstrip("/") + "/"), "job_id", F.lit("/out")).alias("folder"))
+    if lost := jobs.select("job_id").join(base, "job_id", "left_anti").orderBy("job_id").limit(20).collect():
+        raise FileNotFoundError(f"no output folder recorded for jobs {[r.job_id for r in lost]}")
+    return jobs.select("job_id").join(base.select("job_id", F.rtrim("dir", F.lit("/")).alias("folder")), "job_id")
+
+
+def output_templates(jobs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """(job_id, template) of the jobs that have the output, in ``gather`` for fan-outs, else in ``main``."""
+    exe = F.when(F.col("stage_type") == "scatter-gather", "gather").otherwise("main")
+    named = outputs.filter(F.col("output") == key).select("job_id", "exe", F.regexp_replace("template", r"^\$out/", "").alias("template"))
+    return jobs.select("job_id", exe.alias("exe")).join(named, ["job_id", "exe"]).select("job_id", "template")
 
 
-def output_paths(jobs: DataFrame, outputs: DataFrame, key: str, base: str) -> DataFrame:
-    """(job_id, path) of a named output, of ``gather`` for fan-outs, else ``main``; null where the job has no such output."""
-    exe = F.when(F.col("stage_type") == "scatter-gather", "gather").otherwise("main")
-    named = outputs.filter(F.col("output") == key).select("job_id", "exe", "template")
-    rest = F.regexp_replace("template", r"^\$out/", "")
-    return jobs.select("job_id", exe.alias("exe")).join(named, ["job_id", "exe"], "left").select("job_id", F.concat(F.lit(base.rstrip("/") + "/"), "job_id", F.lit("/out/"), rest).alias("path"))
+def output_paths(jobs: DataFrame, outputs: DataFrame, key: str, base: str | DataFrame, missing: str = "error") -> DataFrame:
+    """(job_id, path) of a named output under ``base``, a folder or a manifest (job_id, dir).
+
+    Jobs without this output raise an error that lists the keys they have or, with ``missing="null"``, have a null path.
+    """
+    found = output_templates(jobs, outputs, key)
+    if missing == "error" and (lost := jobs.select("job_id").join(found, "job_id", "left_anti").orderBy("job_id").first()):
+        have = outputs.filter(F.col("job_id") == lost.job_id).select("output").distinct().orderBy("output").limit(100)
+        raise KeyError(f"output {key!r} not found in job {lost.job_id!r}; its keys: {[r.output for r in have.collect()]}")
+    return _folders(jobs, base).join(found, "job_id", "left").select("job_id", F.concat("folder", F.lit("/"), "template").alias("path"))
 
 
 def load_results(spark: SparkSession, jobs: DataFrame, outputs: DataFrame, key: str, base: str, eff: DataFrame | None = None, format: str = "csv", schema: str | None = None) -> DataFrame:
     """Rows of the same output of all jobs with job_id and, with ``eff`` (job_id, k, v), the parameter map ``params``.
 
-    An unknown key is taken as a file name. The files are read as one scan and joined back by their paths.
+    Each job's own template says where its file is. For jobs without such a key it is taken as a file name. Files are
+    read as one scan for each different template: up to ``NAMED`` jobs by their paths, more by a pattern over all jobs.
     """
-    paths = output_paths(jobs, outputs, key, base)
-    known = not outputs.filter(F.col("output") == key).isEmpty()
-    glob = f"{base.rstrip('/')}/*/out/{outputs.filter(F.col('output') == key).first().template.removeprefix('$out/') if known else key}"
-    paths = paths.filter("path is not null") if known else jobs.select("job_id", F.concat(F.lit(base.rstrip("/") + "/"), "job_id", F.lit(f"/out/{key}")).alias("path"))
-    reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", "true")
-    rows = (reader.option("header", "true") if format == "csv" else reader).format(format).load(glob)
-    rows = rows.withColumn("job_id", F.regexp_extract("_metadata.file_path", r".*/([^/]+)/out/", 1)).join(paths.select("job_id"), "job_id")
+    template = F.coalesce("template", F.lit(key))
+    wanted = checkpoint(jobs.select("job_id").distinct().join(output_templates(jobs, outputs, key), "job_id", "left").select("job_id", template.alias("template")))
+    folder, out = base.rstrip("/"), None
+    for (name,) in wanted.select("template").distinct().orderBy("template").collect():  # as many as ways to name the output
+        own = wanted.filter(F.col("template") == name).select("job_id")
+        ids = [r.job_id for r in own.limit(NAMED + 1).collect()]
+        paths = [f"{folder}/{i}/out/{name}" for i in ids] if len(ids) <= NAMED else f"{folder}/*/out/{name}"
+        reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", "true")
+        rows = (reader.option("header", "true") if format == "csv" else reader).format(format).load(paths)
+        rows = rows.withColumn("job_id", F.regexp_extract(F.url_decode("_metadata.file_path"), "^.*?" + literal(folder) + "/([^/]+)/out/", 1))
+        rows = rows.join(own, "job_id")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no jobs to load results of")
     if eff is None:
-        return rows
-    return rows.join(eff.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("params")), "job_id", "left")
+        return out
+    return out.join(eff.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("params")), "job_id", "left")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "id string, s string"
+from gridweave.sources.files import exists
+
+RECORD = "id string, s string, at long"
 
 
 def parsed_records(line: Column) -> Column:
@@ -14,31 +18,42 @@ def parsed_records(line: Column) -> Column:
 
 def split_records(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
     """Good records (job_id, s, ...) and lines that are none (blank ones are neither)."""
-    read = lines.withColumn("r", parsed_records(F.col(line)))
-    good = F.coalesce(F.col("r.id").isNotNull() & F.col("r.s").isin("ok", "fail"), F.lit(False))
+    read = lines.withColumn("__r", parsed_records(F.col(line)))
+    good = F.coalesce(F.col("__r.id").isNotNull() & F.col("__r.s").isin("ok", "fail"), F.lit(False))
     others = [c for c in lines.columns if c != line]
-    return read.filter(good).select(*others, F.col("r.id").alias("job_id"), F.col("r.s").alias("s")), lines.filter(F.trim(line) != "").join(read.filter(good).select(line).distinct(), line, "left_anti")
+    return read.filter(good).select(*others, F.col("__r.id").alias("job_id"), F.col("__r.s").alias("s")), read.filter(~good & (F.trim(line) != "")).select(lines.columns)
 
 
 def read_completions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(seq, job_id, s) and broken lines of a log; None where there is no log, which is not an empty log.
+    """(seq, job_id, s) and broken lines of a log, a file or a folder of appended files; None where there is no log, which
+    is not an empty log.
 
-    seq follows the file's bytes: Spark splits a text file in order, so its row ids grow with the position.
+    seq orders records by the time of their append, which ``append_completions`` writes into them and which is the
+    file's own where it is missing; then by file, by the split of the file, and by the row in the split.
     """
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return None
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    return split_records(lines)
+    time = F.coalesce(parsed_records(F.col("value"))["at"], F.unix_micros("_metadata.file_modification_time"))
+    seq = F.struct(time.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return split_records(spark.read.text(path).select("value", seq.alias("seq")))
 
 
 def append_completions(df: DataFrame, path: str) -> None:
-    """One JSON line for each (job_id, s)."""
-    df.select(F.col("job_id").alias("id"), "s").write.mode("append").json(path)
+    """One JSON line for each (job_id, s), with the time of the append in microseconds, later than any before it here.
+
+    Records of one append that concern one job should be one record, as nothing orders them.
+    """
+    before = read_completions(df.sparkSession, path)
+    last = before[0].agg(F.max("seq.at")).first()[0] if before else None
+    now = max(time.time_ns() // 1000, (last or 0) + 1)
+    df.select(F.col("job_id").alias("id"), "s", F.lit(now).alias("at")).write.mode("append").json(path)
 
 
 def scan_markers(spark: SparkSession, outputs: str) -> DataFrame:
-    """(job_id, status) from ``<job>/<folder>/SUCCESS`` and ``FAIL`` files; with both, success wins."""
+    """(job_id, status) from ``<job>/<folder>/SUCCESS`` and ``FAIL`` files; with both, success wins.
+
+    Markers are empty files, which Spark's scans leave out, so the file system lists them, as it does for any scan.
+    """
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{outputs.rstrip('/')}/*/*/{{SUCCESS,FAIL}}")
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)  # scans leave empty files out, and markers are empty
     files = spark.createDataFrame([(f.getPath().toString(),) for f in found or []], "path string")

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.functions.ids import sha256_hex
+from gridweave.functions.ids import literal, sha256_hex
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
@@ -13,10 +18,10 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_paths(spark: SparkSession, folder: str, kind: str = "any", match: str = ".*") -> DataFrame:
-    """(path, kind) directly inside a folder, by path; ``match`` covers the whole name. Empty folders are invisible."""
-    rest = F.regexp_replace("path", r"^.*?" + folder.rstrip("/").replace(".", r"\.") + "/+", "")
-    parts = F.split(rest, "/")
-    found = _listed(spark, folder).select(parts[0].alias("name"), F.when(F.size(parts) > 1, "directory").otherwise("file").alias("kind")).distinct()
+    """(path, kind) directly inside a folder, by path; ``match`` covers the whole name. Only this level is listed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    found = spark.createDataFrame([(f.getPath().getName(), "directory" if f.isDirectory() else "file") for f in listed], "name string, kind string")
     found = found.filter(F.col("name").rlike(f"^(?:{match})$"))
     if kind != "any":
         found = found.filter(F.col("kind") == kind)
@@ -32,7 +37,7 @@ def tail_lines(files: DataFrame, n: int, key: str = "job_id", text: str = "value
 
 def list_outputs(spark: SparkSession, jobs: DataFrame, outputs: str) -> DataFrame:
     """(job_id, file, bytes, state) of files under ``<outputs>/<job_id>/``; jobs without any are not executed."""
-    at = r"^.*?" + outputs.rstrip("/").replace(".", r"\.") + "/([^/]+)/(.+)$"
+    at = "^.*?" + literal(outputs.rstrip("/")) + "/([^/]+)/(.+)$"
     files = _listed(spark, outputs).select(F.regexp_extract("path", at, 1).alias("job_id"), F.regexp_extract("path", at, 2).alias("file"), F.col("length").alias("bytes"))
     return jobs.select("job_id").join(files, "job_id", "left").withColumn("state", F.when(F.col("file").isNull(), "not executed").otherwise("executed"))
 
@@ -40,4 +45,4 @@ def list_outputs(spark: SparkSession, jobs: DataFrame, outputs: str) -> DataFram
 def hashed_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, sha256) of all files below a folder, paths relative to it."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.select(F.regexp_replace("path", r"^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "").alias("path"), sha256_hex(F.col("content")).alias("sha256"))
+    return rows.select(F.regexp_replace("path", "^.*?" + literal(folder.rstrip("/")) + "/", "").alias("path"), sha256_hex(F.col("content")).alias("sha256"))

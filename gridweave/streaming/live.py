@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gridweave import shared
 from gridweave.operators.status import latest_outcome, run_status
+from gridweave.sources.files import exists
 
 
 def stream_latest(log: DataFrame) -> DataFrame:
@@ -17,30 +19,41 @@ def stream_latest(log: DataFrame) -> DataFrame:
     return latest_outcome(log)
 
 
-def stream_run_status(log: DataFrame, jobs: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
+def stream_run_status(log: DataFrame, jobs: DataFrame, checkpoint: str, table: str, buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
     """Keeps ``table`` (run, status) current: each batch's outcomes are merged and the runs they touch are computed again.
 
-    jobs: (run, job_id). The outcomes so far are the table ``<table>_jobs``, written anew version by version.
+    jobs: (run, job_id). ``table`` is a view of files in the shared folder, where the outcomes so far are kept as well. Both
+    lie in ``buckets`` parts by hash of run or job, and a batch writes anew only the parts that it touches. A batch that
+    is run twice changes nothing.
+    ``trigger`` is that of ``writeStream.trigger``: by default what is there is read and the query ends.
     """
     spark: SparkSession = log.sparkSession
+    outcomes, states = (f"{shared.shared_dir(spark)}/{table}-{kind}" for kind in ("outcomes", "states"))
+
+    def replace(rows: DataFrame, at: str) -> None:
+        """Puts the rows' parts in place of those of the files; they are kept first, as they are made from these."""
+        shared.checkpoint(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
+
+    def touched(at: str, rows: DataFrame) -> DataFrame | None:
+        if not exists(spark, at):
+            return None
+        return spark.read.parquet(at).filter(F.col("bucket").isin([r.bucket for r in rows.select("bucket").distinct().collect()]))  # at most ``buckets``
+
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        before = f"{table}_jobs_{(epoch + 1) % 2}"
-        rows = batch.select("seq", "job_id", "s")
-        if spark.catalog.tableExists(before):
-            rows = rows.unionByName(spark.table(before))
-        last = rows.groupBy("job_id").agg(F.max("seq").alias("seq"), F.max_by("s", "seq").alias("s"))
-        last.write.mode("overwrite").saveAsTable(f"{table}_jobs_{epoch % 2}")
-        known = latest_outcome(spark.table(f"{table}_jobs_{epoch % 2}"))
-        touched = jobs.join(batch.select("job_id").distinct(), "job_id", "left_semi").select("run").distinct()
-        now = run_status(touched, jobs.join(touched, "run", "left_semi").join(known, "job_id", "left"))
-        old = f"{table}_{(epoch + 1) % 2}"
-        if spark.catalog.tableExists(old):
-            now = now.unionByName(spark.table(old).join(touched, "run", "left_anti"))
-        now.write.mode("overwrite").saveAsTable(f"{table}_{epoch % 2}")
-        spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {table}_{epoch % 2}")
-
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        fresh = shared.checkpoint(batch.select("seq", "job_id", "s", bucket("job_id")))
+        before = touched(outcomes, fresh)
+        rows = fresh if before is None else fresh.unionByName(before.select(fresh.columns))
+        replace(rows.groupBy("job_id", "bucket").agg(F.max("seq").alias("seq"), F.max_by("s", "seq").alias("s")), outcomes)
+        runs = shared.checkpoint(jobs.join(fresh.select("job_id").distinct(), "job_id", "left_semi").select("run", bucket("run")).distinct())
+        known = latest_outcome(spark.read.parquet(outcomes))
+        now = run_status(runs, jobs.join(runs, "run", "left_semi").join(known, "job_id", "left")).select("run", "status", bucket("run"))
+        old = touched(states, runs)
+        replace(now if old is None else now.unionByName(old.select(now.columns).join(runs.select("run"), "run", "left_anti").select(now.columns)), states)
+        spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT run, status FROM parquet.`{states}`")
+
+    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_completion_rate(events: DataFrame, ts: str, done: Column, width: str, late: str) -> DataFrame:

@@ -103,8 +103,14 @@ def nodes(spark, ids="abcde"):
 
 
 def test_levels_cycles_and_unknown(spark):
-    done, left, unknown = lineage.levels(nodes(spark), graph(spark))
+    done, left, unknown = lineage.levels(nodes(spark), graph(spark), unknown="ignore")
     assert rows(done) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 0)] and left.count() == 0 and rows(unknown) == [("e", "x")]
+    done, left, unknown = lineage.levels(nodes(spark), graph(spark))  # what needs something unknown never runs
+    assert rows(done) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)] and rows(left) == [("e",)] and rows(unknown) == [("e", "x")]
+    with pytest.raises(ValueError, match="'e'"):
+        lineage.topo_order(nodes(spark), graph(spark))
+    order = {r.job_id: r.ord for r in lineage.topo_order(nodes(spark, "abcd"), graph(spark, EDGES[:4])).collect()}
+    assert order == {"a": 0, "b": 1, "c": 2, "d": 3}
     with pytest.raises(ValueError, match="cycle"):
         lineage.topo_order(nodes(spark, "ab"), graph(spark, [("a", "b"), ("b", "a")]))
 
@@ -116,6 +122,25 @@ def test_closure_and_tree(spark):
     assert [tuple(r)[1:] for r in lineage.dep_tree(graph(spark), "d").orderBy("ord").collect()] == [("d", 0, False), ("b", 1, False), ("a", 2, False), ("c", 1, False), ("a", 2, True)]
 
 
+def test_deep_trees_are_whole(spark):
+    """Diamonds one below the other: many paths, each node expanded once."""
+    edges = [e for i in range(12) for e in ((f"n{i}", f"a{i}"), (f"n{i}", f"b{i}"), (f"a{i}", f"n{i + 1}"), (f"b{i}", f"n{i + 1}"))]
+    got = lineage.dep_tree(graph(spark, edges), "n0").orderBy("ord").collect()
+    want, seen = [], set()
+
+    def visit(node, depth):
+        want.append((node, depth, node in seen))
+        if node not in seen:
+            seen.add(node)
+            for d in sorted(d for j, d in edges if j == node):
+                visit(d, depth + 1)
+
+    visit("n0", 0)
+    assert [(r.job_id, r.depth, r.seen) for r in got] == want
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(3)]
+    assert lineage.dep_tree(graph(spark, [*chain, ("c002", "c000")]), "c000").count() == 5
+
+
 def test_inherited_attributes(spark):
     own = spark.createDataFrame([("a", "k", "1"), ("b", "k", "2"), ("c", "m", "3"), ("d", "m", None), ("c", "k", None)], "job_id string, k string, v string")
     got = {(r.job_id, r.k): r.v for r in lineage.inherit_attributes(nodes(spark), graph(spark), own).collect()}
@@ -162,6 +187,16 @@ def test_lookups(spark):
     assert lookup.where(df, param_k="v").count() == 1 and lookup.search(df, "%params k=v").count() == 1
     got = {r.prefix: r.result for r in lookup.lookup(df, spark.createDataFrame([("12",), ("123",), ("9",)], "prefix string")).collect()}
     assert got == {"12": "ambiguous", "123": "match", "9": "not found"}
+    ids = [("12",), ("123",), ("9",), ("12345-a-1.0",), (None,)]
+    for k in (0, 3, 5):
+        got = {r.prefix: (r.result, r.n) for r in lookup.lookup(df, spark.createDataFrame(ids, "prefix string"), k).collect()}
+        assert got == {"12": ("ambiguous", 2), "123": ("match", 1), "9": ("not found", 0), "12345-a-1.0": ("match", 1), None: ("not found", 0)}, k
+    eff = spark.createDataFrame([("j", "a", '{"b": {"c": 1}, "d": "x"}'), ("j", "e", "{no json"), ("k", "a", "7")], "job_id string, k string, v string")
+    jobs = spark.createDataFrame([("j", "n"), ("k", "n")], "job_id string, name string")
+    wide = lookup.to_table(jobs, eff)
+    assert wide.columns == ["job_id", "name", "a", "a.b.c", "a.d", "e"] and rows(wide) == [("j", "n", None, "1", "x", "{no json"), ("k", "n", "7", None, None, None)]
+    with pytest.raises(KeyError, match="no run"):
+        lookup.run_of(jobs, spark.createDataFrame([("j", "r", 1)], "job_id string, run string, ord int"), missing="error")
     with pytest.raises(ValueError, match="unknown or empty"):
         lookup.select_runs(df, spark.createDataFrame([("g", None)], "group string, run string"), "@g")
 
@@ -206,10 +241,26 @@ def test_catalog_and_results(spark, tmp_path):
     assert {(r.job_id, r.y, r.params["n"]) for r in got.collect()} == {("j1", "j1", "1"), ("j2", "j2", "2")} and got.count() == 4
     assert catalog.load_results(spark, c.jobs, c.outputs, "d.csv", str(tmp_path / "out")).count() == 4
     catalog.write_catalog(c.jobs.union(c.jobs), str(tmp_path / "written"))
-    assert spark.read.parquet(str(tmp_path / "written")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "written/jobs")).count() == 2
+    catalog.write_catalog(c.jobs, str(tmp_path / "written2"), spark.createDataFrame([("r1", "unknown_run", None)], "run string, dep_run string, dep_type string").filter("false"))
+    with pytest.raises(ValueError, match="unknown"):
+        catalog.write_catalog(c.jobs, str(tmp_path / "written3"), spark.createDataFrame([("r1", "zz", None)], "run string, dep_run string, dep_type string"))
+    with pytest.raises(KeyError, match="its keys: .'data'"):
+        catalog.output_paths(c.jobs, c.outputs, "nothing", "/x")
+    moved = spark.createDataFrame([("j1", "/m/1/"), ("j2", "/m/2")], "job_id string, dir string")
+    assert rows(catalog.output_paths(c.jobs, c.outputs, "data", moved)) == [("j1", "/m/1/d.csv"), ("j2", "/m/2/d.csv")]
+    with pytest.raises(FileNotFoundError, match="j2"):
+        catalog.output_paths(c.jobs, c.outputs, "data", moved.limit(1))
+    assert catalog.read_run(spark, str(tmp_path / "runs/r1.json")).jobs.count() == 2
+    with pytest.raises(ValueError, match="no run"):
+        catalog.read_run(spark, str(tmp_path / "root.json"))
     listed = files.list_outputs(spark, c.jobs.select("job_id").union(spark.sql("SELECT 'j9'")), str(tmp_path / "out"))
     assert {(r.job_id, r.file, r.state) for r in listed.collect()} == {("j1", "out/d.csv", "executed"), ("j2", "out/d.csv", "executed"), ("j9", None, "not executed")}
     assert [r.path.rsplit("/", 1)[1] for r in files.scan_paths(spark, str(tmp_path), "directory", "r.*").collect()] == ["runs"]
+    (tmp_path / "odd (1)+/empty").mkdir(parents=True)
+    write(tmp_path / "odd (1)+/f.txt", "x")
+    assert [(r.path.rsplit("/", 1)[1], r.kind) for r in files.scan_paths(spark, str(tmp_path / "odd (1)+")).collect()] == [("empty", "directory"), ("f.txt", "file")]
+    assert rows(files.hashed_files(spark, str(tmp_path / "odd (1)+")).select("path")) == [("f.txt",)]
 
 
 def test_completion_logs(spark, tmp_path):
@@ -223,6 +274,13 @@ def test_completion_logs(spark, tmp_path):
     assert rows(completions.scan_markers(spark, str(tmp_path / "o"))) == [("a", "Succeeded"), ("b", "Failed")]
     completions.append_completions(good, str(tmp_path / "again"))
     assert completions.read_completions(spark, str(tmp_path / "again"))[0].count() == 2
+    outcome = lambda *r: spark.createDataFrame(r, "job_id string, s string").coalesce(1)
+    path = str(tmp_path / "a (log)+")
+    completions.append_completions(outcome(("a", "fail")), path)
+    completions.append_completions(outcome(("a", "ok"), *((f"j{i}", "ok") for i in range(500))), path)
+    assert rows(status.latest_outcome(completions.read_completions(spark, path)[0]).filter("job_id = 'a'")) == [("a", "Succeeded")]
+    completions.append_completions(outcome(("a", "fail")), path)
+    assert rows(status.latest_outcome(completions.read_completions(spark, path)[0]).filter("job_id = 'a'")) == [("a", "Failed")]
 
 
 def test_streams_equal_batches(spark, tmp_path):
