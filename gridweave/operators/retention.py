@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def live_set(roots: DataFrame, refs: DataFrame) -> DataFrame:
     """Different artifacts that a root (name, target) reaches over refs (target, artifact); a root that nothing is known of keeps itself."""
-    return roots.join(refs, "target").select("artifact").union(roots.join(refs.select("target").distinct(), "target", "left_anti").select(F.col("target"))).distinct()
+    return roots.join(refs, "target").select("artifact").union(roots.join(refs.select("target").distinct(), "target", "left_anti").select(F.col("target").cast(refs.schema["artifact"].dataType))).distinct()
 
 
 # Fixed value: folders of the store that are compared one level down, entry by entry.
@@ -89,7 +89,12 @@ def pin_status(roots: DataFrame, ids: DataFrame) -> DataFrame:
     """
     ids = ids.select("id").distinct()
     lengths = [r.k for r in ids.select(F.length("id").alias("k")).filter("k > 0").distinct().collect()]  # as many as ids have lengths
-    cut = lambda c: F.flatten(F.array(*[F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i, k=k: F.substring(F.col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in lengths]))
+
+    def parts_of(c: str, k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, F.lit(k)))
+        return F.when(F.length(c) >= k, each).otherwise(F.array().cast("array<string>"))
+
+    cut = lambda c: F.flatten(F.array(*[parts_of(c, k) for k in lengths]))
     texts = roots.select("name", "kind", F.coalesce(F.col("target").cast("string"), F.lit("")).alias("__target"))
     parts = texts.select("name", "kind", F.explode(F.array_union(cut("name"), cut("__target"))).alias("id")) if lengths else texts.limit(0).select("name", "kind", F.lit("").alias("id"))
     joined = ids.join(parts, "id", "left")

@@ -33,12 +33,12 @@ UNION ALL SELECT 'o:' || o_orderkey, 'order', 'o' FROM orders
 UNION ALL SELECT DISTINCT 'l:' || l_orderkey || ':' || l_suppkey, 'line', 'l' FROM lineitem""",
     "turn_nodes": "SELECT DISTINCT 'k' || conv_id || ':' || turn AS job_id, 'run' || (conv_id % 10) AS run FROM conversations",
     "turn_edges": "SELECT DISTINCT 'k' || conv_id || ':' || turn AS job_id, 'k' || conv_id || ':' || (turn - 1) AS dep_id FROM conversations WHERE turn > 0",
-    "completions_fx": """SELECT event_id AS seq, 'k' || (user_id % 100) || ':' || (event_id % 8) AS job_id,
+    "completions_fx": """SELECT event_id AS seq, 'k' || (event_id % (SELECT max(conv_id) + 1 FROM conversations)) || ':' || ((user_id * 3 + event_id) % (SELECT max(turn) + 1 FROM conversations)) AS job_id,
 CASE WHEN event_type = 'error' THEN 'fail' ELSE 'ok' END AS s
-FROM events WHERE event_id % 13 = 0 AND event_type IN ('error', 'purchase', 'signup')""",
-    "live_fx": """SELECT event_id AS seq, 'k' || (user_id % 100) || ':' || (event_id % 8) AS job_id,
+FROM events WHERE event_type IN ('error', 'purchase', 'signup')""",
+    "live_fx": """SELECT event_id AS seq, 'k' || (event_id % (SELECT max(conv_id) + 1 FROM conversations)) || ':' || ((user_id * 3 + event_id) % (SELECT max(turn) + 1 FROM conversations)) AS job_id,
 CASE WHEN event_type = 'click' THEN 'Running' ELSE 'Queued' END AS state
-FROM events WHERE event_id % 17 = 0 AND event_type IN ('click', 'view')""",
+FROM events WHERE event_type IN ('click', 'view')""",
     "branches_fx": """SELECT l_orderkey AS job_id,
 CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS BIGINT) AS branch_idx,
 CAST(l_quantity AS BIGINT) AS x, l_partkey FROM lineitem""",
@@ -46,7 +46,7 @@ CAST(l_quantity AS BIGINT) AS x, l_partkey FROM lineitem""",
 CASE WHEN o_orderkey % 200 = 0 THEN 'pinned' ELSE 'auto' END AS kind,
 CAST(o_custkey % 25 AS STRING) AS project, o_orderkey AS target FROM orders""",
     "refs_fx": "SELECT DISTINCT l_orderkey AS target, l_partkey AS artifact FROM lineitem",
-    "manifest_fx": "SELECT doc_id AS path, CASE WHEN doc_id % 97 = 0 THEN 'bad' ELSE sha256(text) END AS sha256 FROM documents WHERE doc_id % 89 <> 0",
+    "manifest_fx": "SELECT d.doc_id AS path, CASE WHEN toxic = 1 THEN 'bad' ELSE sha256(text) END AS sha256 FROM documents AS d JOIN labels ON d.doc_id = labels.doc_id UNION ALL SELECT -1 - item_id, sha256(text) FROM benchmark",
     "rules_fx": """SELECT * FROM (VALUES (0, CAST(NULL AS STRING), CAST(NULL AS STRING), '1G', CAST(1 AS INT)), (1, 'PROMO*', NULL, '4G', NULL),
 (2, '*M*', 'Brand#13', NULL, 8), (3, 'S?ALL', NULL, '2G', 2)) AS r(ord, pat, target, mem, cpus)""",
 }
@@ -59,7 +59,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def bound(spark: SparkSession, sf_dir: str, name_or_sql: str) -> DataFrame:
     """A binding's rows, or those of a SQL text, over the Parquet tables."""
     text = BINDINGS.get(name_or_sql, name_or_sql).replace("sha256(text)", "sha2(text, 256)")
-    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` AS {m[2]}", text))
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b( AS \w+)?", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` {m[3] or f'AS {m[2]}'}", text))
 
 
 def query(sql: str | None = None, using: str = ""):

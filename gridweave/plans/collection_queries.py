@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from gridweave.functions.ids import get_path
@@ -13,7 +15,7 @@ from gridweave.sources.files import tail_lines
 
 
 def _parts(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("-"), "p_name").alias("job_id"), F.col("p_type").alias("name"), F.col("p_brand").alias("run"), F.col("p_size").alias("size"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), F.col("p_type")).alias("eff"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("-"), "p_name").alias("job_id"), F.col("p_type").alias("name"), F.col("p_brand").alias("run"), F.col("p_size").alias("size"), F.col("p_name").alias("title"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), F.col("p_type")).alias("eff"))
 
 
 PARTS = "parts AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '-' || p_name AS job_id, p_type AS name, p_brand AS run, p_size AS size FROM part)"
@@ -22,7 +24,7 @@ PARTS = "parts AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 6, '0') ||
 @query("SELECT seq, job_id, s FROM completions_fx", "completions_fx")
 def a7_read_completions(spark, sf_dir):
     lines = bound(spark, sf_dir, "completions_fx").select("seq", F.to_json(F.struct(F.col("job_id").alias("id"), "s")).alias("value"))
-    broken = read(spark, sf_dir, "events").filter("event_id % 100 = 0").select(F.col("event_id").alias("seq"), F.concat(F.lit('{"id": "x", '), "props").alias("value"))
+    broken = read(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("event_id").alias("seq"), F.concat(F.lit('{"id": "x", '), "props").alias("value"))
     good, _ = split_records(lines.union(broken).union(broken.withColumn("value", F.lit(" "))))
     return good.select("seq", "job_id", "s")
 
@@ -42,7 +44,7 @@ def e1_e4_where(spark, sf_dir):
 
 @query("SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') AND contains(p_name, 'a') AND ends_with(CAST(p_size AS VARCHAR), '5')")
 def e2_where_text(spark, sf_dir):
-    return lookup.where(_parts(spark, sf_dir), name__startswith="S", size__endswith="5").filter(F.col("job_id").contains("a")).filter(F.expr("substring(job_id, 8) like '%a%'")).select("p_partkey")
+    return lookup.where(_parts(spark, sf_dir), name__startswith="S", size__endswith="5", title__contains="a").select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size = 7 AND contains(p_type, 'O')")
@@ -82,9 +84,10 @@ def e10_select_runs(spark, sf_dir):
     return lookup.select_runs(runs, groups, "@some")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS missing FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS missing, CASE WHEN event_type <> 'view' THEN value::BIGINT::VARCHAR END AS inner_ FROM events")
 def e11_get_path(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", get_path(F.col("props"), "k").alias("k"), get_path(F.col("props"), "k.inner").alias("missing"))
+    nested = F.to_json(F.struct(F.struct(F.when(F.col("event_type") != "view", F.rint("value").cast("long")).alias("x y")).alias("a")))
+    return read(spark, sf_dir, "events").select("event_id", get_path(F.col("props"), "k").alias("k"), get_path(F.col("props"), "k.inner").alias("missing"), get_path(nested, "a.x y").alias("inner_"))
 
 
 @query("SELECT o.job_id, o.name, max(v) FILTER (k = 'prio') AS prio, max(v) FILTER (k = 'tag') AS tag FROM dag_nodes o LEFT JOIN dag_params p USING (job_id) GROUP BY o.job_id, o.name", "dag_nodes dag_params")
@@ -114,12 +117,16 @@ def e16_group_by_stage(spark, sf_dir):
 
 
 @query("""SELECT n.job_id, n.run, (SELECT string_agg(k || '=' || v, ',' ORDER BY k) FROM dag_params p WHERE p.job_id = n.job_id) AS params,
-(SELECT string_agg(DISTINCT dep_id, ',' ORDER BY dep_id) FROM dag_edges e WHERE e.job_id = n.job_id) AS inputs FROM dag_nodes n""", "dag_nodes dag_params dag_edges")
+(SELECT string_agg(DISTINCT dep_id, ',' ORDER BY dep_id) FROM dag_edges e WHERE e.job_id = n.job_id) AS inputs, CASE name WHEN 'line' THEN 'Failed' ELSE 'Pending' END AS status, 'data,log' AS outputs,
+CASE name WHEN 'supplier' THEN 'gather:4G,main:1G' WHEN 'order' THEN 'main:1G' END AS hints FROM dag_nodes n""", "dag_nodes dag_params dag_edges")
 def e18_job_profile(spark, sf_dir):
     nodes = bound(spark, sf_dir, "dag_nodes")
-    states, outputs = nodes.select("job_id", F.lit("Pending").alias("status")), nodes.select("job_id", F.lit("data").alias("output"))
-    wide = lookup.job_profile(nodes, states, bound(spark, sf_dir, "dag_params"), bound(spark, sf_dir, "dag_edges"), outputs)
-    return wide.select("job_id", "run", F.array_join(F.transform("params", lambda p: F.concat(p["k"], F.lit("="), p["v"])), ",").alias("params"), F.array_join("inputs", ",").alias("inputs"))
+    states, outputs = nodes.select("job_id", F.when(F.col("name") == "line", "Failed").otherwise("Pending").alias("status")), nodes.select("job_id", F.explode(F.array(F.lit("log"), F.lit("data"))).alias("output"))
+    own = nodes.filter("name in ('supplier', 'order')").select("job_id", F.lit("main").alias("exe"), F.lit("1G").alias("mem")).union(nodes.filter("name = 'supplier'").select("job_id", F.lit("gather"), F.lit("4G")))
+    hints = own.withColumns({"cpus": F.lit(None).cast("int"), "time": F.lit(None).cast("string")})
+    wide = lookup.job_profile(nodes, states, bound(spark, sf_dir, "dag_params"), bound(spark, sf_dir, "dag_edges"), outputs, hints)
+    given = F.array_join(F.transform("hints", lambda h: F.concat(h["exe"], F.lit(":"), h["mem"])), ",").alias("hints")
+    return wide.select("job_id", "run", "status", F.array_join("outputs", ",").alias("outputs"), given, F.array_join(F.transform("params", lambda p: F.concat(p["k"], F.lit("="), p["v"])), ",").alias("params"), F.array_join("inputs", ",").alias("inputs"))
 
 
 @query("""SELECT p_type AS "group", count(DISTINCT p_brand) AS runs FROM part GROUP BY 1""")
@@ -130,3 +137,10 @@ def e19_group_sizes(spark, sf_dir):
 @query("SELECT job_id, count(*) AS n FROM (SELECT DISTINCT job_id, dep_id FROM dag_edges) GROUP BY job_id", "dag_edges")
 def f1_parent_counts(spark, sf_dir):
     return lineage.parents(bound(spark, sf_dir, "dag_edges")).groupBy("job_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_type = 'SMALL'")
+def e3_unknown_operator(spark, sf_dir):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return lookup.where(_parts(spark, sf_dir), name__near="SMALL").select("p_partkey")

@@ -8,7 +8,8 @@ from gridweave.operators import lineage, status, wiring
 from gridweave.plans.base import BINDINGS, bound, query, read
 
 UP = "up AS (SELECT DISTINCT job_id, dep_id FROM dag_edges)"
-SEEDS = "seeds AS (SELECT job_id FROM dag_nodes WHERE name = 'line' AND CAST(split_part(job_id, ':', 2) AS BIGINT) % 97 = 0)"
+SEEDS = "seeds AS (SELECT job_id FROM dag_nodes WHERE name = 'line')"
+LEVELS = "WITH RECURSIVE p(job_id, level) AS (SELECT job_id, 0 FROM dag_nodes WHERE job_id NOT IN (SELECT job_id FROM dag_edges) UNION SELECT e.job_id, level + 1 FROM p JOIN dag_edges e ON e.dep_id = p.job_id), l AS (SELECT job_id, max(level) AS level FROM p GROUP BY job_id)"
 
 
 def _edges(spark, sf_dir):
@@ -16,7 +17,7 @@ def _edges(spark, sf_dir):
 
 
 def _seeds(spark, sf_dir):
-    return bound(spark, sf_dir, "dag_nodes").filter("name = 'line' and cast(split_part(job_id, ':', 2) as bigint) % 97 = 0").select("job_id")
+    return bound(spark, sf_dir, "dag_nodes").filter("name = 'line'").select("job_id")
 
 
 @query("SELECT DISTINCT job_id, dep_id FROM dag_edges", "dag_edges")
@@ -34,28 +35,29 @@ def f3_ancestors(spark, sf_dir):
     return lineage.ancestors(_edges(spark, sf_dir), _seeds(spark, sf_dir)).select("job_id")
 
 
-@query(f"WITH RECURSIVE {UP}, a(job_id) AS (SELECT job_id FROM dag_nodes WHERE job_id LIKE 'c:%0' UNION SELECT up.job_id FROM a JOIN up ON up.dep_id = a.job_id) SELECT job_id FROM a", "dag_edges dag_nodes")
+@query(f"WITH RECURSIVE {UP}, a(job_id) AS (SELECT job_id FROM dag_nodes WHERE name = 'customer' UNION SELECT up.job_id FROM a JOIN up ON up.dep_id = a.job_id) SELECT job_id FROM a", "dag_edges dag_nodes")
 def f4_descendants(spark, sf_dir):
-    seeds = bound(spark, sf_dir, "dag_nodes").filter("job_id like 'c:%0'")
+    seeds = bound(spark, sf_dir, "dag_nodes").filter("name = 'customer'")
     return lineage.descendants(_edges(spark, sf_dir), seeds).select("job_id")
 
 
-@query("""SELECT n.job_id, n.run, 'sink' AS kind FROM dag_nodes n WHERE NOT EXISTS (SELECT 1 FROM dag_edges e JOIN dag_nodes c ON c.job_id = e.job_id WHERE e.dep_id = n.job_id AND c.run = n.run)
+@query("""WITH used AS (SELECT DISTINCT e.dep_id AS job_id, c.run FROM dag_edges e JOIN dag_nodes c ON c.job_id = e.job_id)
+SELECT job_id, run, 'sink' AS kind FROM dag_nodes ANTI JOIN used USING (job_id, run)
 UNION ALL SELECT job_id, run, 'root' FROM dag_nodes WHERE job_id NOT IN (SELECT job_id FROM dag_edges)""", "dag_edges dag_nodes")
 def f5_sinks_roots(spark, sf_dir):
     nodes, edges = bound(spark, sf_dir, "dag_nodes").select("job_id", "run"), _edges(spark, sf_dir)
     return lineage.sinks(nodes, edges).withColumn("kind", F.lit("sink")).union(lineage.roots(nodes, edges).withColumn("kind", F.lit("root")))
 
 
-@query("SELECT job_id, CAST(split_part(job_id, ':', 2) AS INT) AS level FROM turn_nodes", "turn_nodes")
+@query(f"{LEVELS} SELECT job_id, level FROM l", "dag_nodes dag_edges")
 def f6_levels(spark, sf_dir):
-    done, _, _ = lineage.levels(bound(spark, sf_dir, "turn_nodes"), bound(spark, sf_dir, "turn_edges"))
+    done, _, _ = lineage.levels(bound(spark, sf_dir, "dag_nodes"), _edges(spark, sf_dir))
     return done
 
 
-@query("SELECT job_id, row_number() OVER (ORDER BY CAST(split_part(job_id, ':', 2) AS INT), job_id) - 1 AS ord FROM turn_nodes", "turn_nodes")
+@query(f"{LEVELS} SELECT job_id, row_number() OVER (ORDER BY level, job_id) - 1 AS ord FROM l", "dag_nodes dag_edges")
 def f7_topo_order(spark, sf_dir):
-    return lineage.topo_order(bound(spark, sf_dir, "turn_nodes"), bound(spark, sf_dir, "turn_edges")).select("job_id", F.col("ord").cast("long").alias("ord"))
+    return lineage.topo_order(bound(spark, sf_dir, "dag_nodes"), _edges(spark, sf_dir)).select("job_id", F.col("ord").cast("long").alias("ord"))
 
 
 _TREE_SEED = "SELECT min(job_id) FROM dag_nodes WHERE name = 'line'"
@@ -85,10 +87,12 @@ def f10_quotient_edges(spark, sf_dir):
     return edges.join(counts.withColumnRenamed("name", "src"), "src").select("src", "dst", "n")
 
 
-@query("SELECT DISTINCT a.run AS src_run, b.run AS dst_run, 'hard' AS type FROM dag_edges e JOIN dag_nodes a ON a.job_id = e.dep_id JOIN dag_nodes b ON b.job_id = e.job_id WHERE a.run <> b.run UNION SELECT 'l', 'r', 'soft'", "dag_edges dag_nodes")
+@query("SELECT DISTINCT a.name AS src, b.name AS dst, 'hard' AS type FROM dag_edges e JOIN dag_nodes a ON a.job_id = e.dep_id JOIN dag_nodes b ON b.job_id = e.job_id WHERE a.run <> b.run AND a.name <> b.name UNION SELECT * FROM (VALUES ('customer', 'region', 'soft'), ('supplier', 'nation', 'hard')) UNION SELECT * FROM (VALUES ('order', 'nation', 'hard'), ('customer', 'nation', 'hard'))", "dag_edges dag_nodes")
 def f11_inter_run_edges(spark, sf_dir):
-    declared = spark.createDataFrame([("r", "l", "soft"), ("l", "s", None)], "run string, source_run string, type string")
-    return lineage.inter_run_edges(_edges(spark, sf_dir), bound(spark, sf_dir, "dag_nodes"), declared)
+    nodes = bound(spark, sf_dir, "dag_nodes")
+    region = nodes.filter("name = 'region'").select("job_id", F.lit("o").alias("source_run"), F.lit("soft").alias("type"), F.lit("customer").alias("stage"))
+    nation = nodes.filter("name = 'nation'").select("job_id", F.explode(F.array(F.lit("o"), F.lit("s"))).alias("source_run"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("stage"))
+    return lineage.inter_run_edges(_edges(spark, sf_dir), nodes, region.union(nation))
 
 
 @query("""SELECT run, string_agg(DISTINCT name, ',' ORDER BY name) AS names, CASE run WHEN 'o' THEN 'sales' WHEN 'l' THEN 'sales' ELSE 'detached' END AS "group" FROM dag_nodes GROUP BY run""", "dag_nodes")
@@ -148,7 +152,7 @@ def g4_run_status(spark, sf_dir):
     return status.run_status(runs, _derived(spark, sf_dir))
 
 
-@query(f"WITH {DERIVED} SELECT run, status, count(*) AS n FROM derived GROUP BY GROUPING SETS ((run, status), (run), (status), ())", ALL)
+@query(f"WITH {DERIVED} SELECT run, status, count(*) AS n, grouping(run) = 1 AS all_runs, grouping(status) = 1 AS all_states FROM derived GROUP BY CUBE (run, status)", ALL)
 def g5_status_counts(spark, sf_dir):
     return status.status_counts(_derived(spark, sf_dir))
 
@@ -160,12 +164,12 @@ def g6_completion_rate(spark, sf_dir):
     return out.select(F.date_format("tick", "yyyy-MM-dd HH:mm").alias("tick"), "rate")
 
 
-TODO = f"{DERIVED}, seeds AS (SELECT job_id FROM turn_nodes WHERE run IN ('run1', 'run4') AND job_id NOT IN (SELECT dep_id FROM turn_edges)), a(job_id) AS (SELECT job_id FROM seeds UNION SELECT dep_id FROM a JOIN turn_edges USING (job_id)), todo AS (SELECT job_id FROM a WHERE job_id NOT IN (SELECT job_id FROM known WHERE status = 'Succeeded'))"
+TODO = f"{DERIVED}, seeds AS (SELECT job_id FROM turn_nodes WHERE job_id NOT IN (SELECT dep_id FROM turn_edges)), a(job_id) AS (SELECT job_id FROM seeds UNION SELECT dep_id FROM a JOIN turn_edges USING (job_id)), todo AS (SELECT job_id FROM a WHERE job_id NOT IN (SELECT job_id FROM known WHERE status = 'Succeeded'))"
 
 
 def _todo(spark, sf_dir):
     nodes, edges = _turns(spark, sf_dir)
-    seeds = lineage.sinks(nodes, edges).filter("run in ('run1', 'run4')")
+    seeds = lineage.sinks(nodes, edges)
     return status.todo(edges, seeds, _known(spark, sf_dir))
 
 
@@ -228,9 +232,75 @@ def d5_check_unresolved(spark, sf_dir):
 
 
 @query("""SELECT job_id, CAST(pos AS VARCHAR) AS target_input, CASE WHEN dep_id LIKE 's:%' THEN '/store/' || dep_id || '/out/all.csv' ELSE '/store/' || dep_id || '/out/main.csv' END AS path
-FROM dag_edges WHERE NOT dep_id LIKE 'o:%7'""", "dag_edges")
+FROM dag_edges WHERE dep_id NOT LIKE 'r:%' UNION ALL SELECT job_id, dep_id, NULL FROM dag_edges WHERE dep_id LIKE 'r:%'
+UNION ALL SELECT job_id, 'store', '/store' FROM dag_nodes WHERE name = 'customer' UNION ALL SELECT job_id, 'meta', '/store/runs/s.json' FROM dag_nodes WHERE name = 'order'""", "dag_edges dag_nodes")
 def d9_resolve_inputs(spark, sf_dir):
     nodes = bound(spark, sf_dir, "dag_nodes").withColumn("stage_type", F.when(F.col("name") == "supplier", "scatter-gather").otherwise("simple"))
-    outputs = nodes.filter("job_id not like 'o:%7'").select("job_id", F.when(F.col("name") == "supplier", "gather").otherwise("main").alias("exe"), F.lit("data").alias("output"), F.when(F.col("name") == "supplier", "$out/all.csv").otherwise("$out/main.csv").alias("template"))
+    outputs = nodes.filter("name <> 'region'").select("job_id", F.when(F.col("name") == "supplier", "gather").otherwise("main").alias("exe"), F.lit("data").alias("output"), F.when(F.col("name") == "supplier", "$out/all.csv").otherwise("$out/main.csv").alias("template"))
     edges = _edges(spark, sf_dir).select("job_id", "dep_id", F.lit("data").alias("source_output"), F.col("pos").cast("string").alias("target_input"), F.lit("job").alias("mapping_type"), F.lit(None).cast("string").alias("source_run"))
-    return wiring.resolve_inputs(edges, outputs, nodes, "/store")[0]
+    none, text = F.lit(None).cast("string"), lambda x: F.lit(x)
+    store = nodes.filter("name = 'customer'").select("job_id", none, none, text("store"), text("global"), none)
+    meta = nodes.filter("name = 'order'").select("job_id", none, none, text("meta"), text("inter-run"), text("s"))
+    good, bad = wiring.resolve_inputs(edges.union(store).union(meta), outputs, nodes, "/store")
+    return good.union(bad.select("job_id", "dep_id", none))
+
+
+@query("SELECT job_id, CASE arg_max(s, seq) WHEN 'ok' THEN 'Succeeded' ELSE 'Failed' END AS status FROM completions_fx GROUP BY job_id", "completions_fx")
+def k1_stream_latest_batch(spark, sf_dir):
+    from gridweave.streaming.live import stream_latest
+
+    return stream_latest(bound(spark, sf_dir, "completions_fx"))
+
+
+_MAPPED = "m AS (SELECT DISTINCT p_brand AS stage, 'Brand#1' || (p_size % 5 + 1) AS dep, p_type AS source, CASE WHEN p_size > 10 THEN p_type || '/in' END AS target FROM part), o AS (SELECT DISTINCT p_brand AS stage, p_type AS name FROM part WHERE p_size < 30), i AS (SELECT DISTINCT p_brand AS stage, name FROM part, (VALUES (p_type), (p_type || '/in')) AS x(name) WHERE p_size > 20)"
+
+
+def _mapped(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    m = part.select(F.col("p_brand").alias("stage"), F.concat(F.lit("Brand#1"), (F.col("p_size") % 5 + 1).cast("string")).alias("dep"), F.col("p_type").alias("source"), F.when(F.col("p_size") > 10, F.concat("p_type", F.lit("/in"))).alias("target")).distinct()
+    o = part.filter("p_size < 30").select(F.col("p_brand").alias("stage"), F.col("p_type").alias("name")).distinct()
+    i = part.filter("p_size > 20").select(F.col("p_brand").alias("stage"), F.explode(F.array("p_type", F.concat("p_type", F.lit("/in")))).alias("name")).distinct()
+    return wiring.wire_explicit(m, o, i)
+
+
+@query(f"""WITH {_MAPPED}, t AS (SELECT stage, dep, source, coalesce(target, source) AS target FROM m), a AS (SELECT *, (dep, source) IN (SELECT (stage, name) FROM o) AS have, (stage, target) IN (SELECT (stage, name) FROM i) AS want FROM t)
+SELECT stage, dep, source, target, 'edge' AS what FROM a WHERE have AND want UNION ALL SELECT stage, dep, source, target, 'no such output' FROM a WHERE NOT have UNION ALL SELECT stage, dep, source, target, 'no such input' FROM a WHERE NOT want""")
+def d2_wire_explicit(spark, sf_dir):
+    good, bad = _mapped(spark, sf_dir)
+    return good.withColumn("what", F.lit("edge")).union(bad)
+
+
+@query(f"WITH {_MAPPED}, t AS (SELECT stage, dep, source, coalesce(target, source) AS target FROM m) SELECT stage, target, count(*) AS n FROM t WHERE (dep, source) IN (SELECT (stage, name) FROM o) AND (stage, target) IN (SELECT (stage, name) FROM i) GROUP BY ALL HAVING count(*) > 1")
+def d3_check_disjoint(spark, sf_dir):
+    return wiring.check_disjoint(_mapped(spark, sf_dir)[0])
+
+
+@query("""WITH s AS (SELECT p_type AS stage, bool_or(p_size > 45) AS has FROM part GROUP BY 1), i AS (SELECT DISTINCT p_type AS stage, CASE WHEN p_size < 10 THEN 'run__metadata' WHEN p_size < 20 THEN 'store__base' ELSE 'x' END AS name FROM part), asked AS (SELECT * FROM i WHERE name <> 'x')
+SELECT stage, dep_run, name FROM asked JOIN s USING (stage), (SELECT DISTINCT r_name AS dep_run FROM region) WHERE NOT has UNION ALL SELECT stage, NULL, name FROM asked JOIN s USING (stage) WHERE has""")
+def d4_wire_inter_run(spark, sf_dir):
+    part = read(spark, sf_dir, "part").withColumnRenamed("p_type", "stage")
+    inputs = part.select("stage", F.when(F.col("p_size") < 10, "run__metadata").when(F.col("p_size") < 20, "store__base").otherwise("x").alias("name")).distinct()
+    good, bad = wiring.wire_inter_run(part.select("stage").distinct(), part.filter("p_size > 45").select("stage"), inputs, read(spark, sf_dir, "region").select(F.col("r_name").alias("dep_run")))
+    return good.union(bad.select("stage", F.lit(None).cast("string"), "name"))
+
+
+@query("""WITH i AS (SELECT DISTINCT p_brand AS step, CASE WHEN p_size = 1 THEN 'worker__item' ELSE p_type END AS name FROM part), d AS (SELECT DISTINCT p_brand AS step, 'Brand#1' || (p_size % 5 + 1) AS dep FROM part WHERE p_retailprice > 1000), o AS (SELECT DISTINCT p_brand AS step, p_type AS name FROM part WHERE p_size > 40), x AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size = 50)
+SELECT step, name, coalesce((SELECT min(dep) FROM d JOIN o ON o.step = d.dep WHERE d.step = i.step AND o.name = i.name), CASE WHEN name = 'worker__item' THEN 'item' END, CASE WHEN name IN (SELECT name FROM x) THEN 'scatter' END) AS source FROM i""")
+def d6_wire_steps(spark, sf_dir):
+    part = read(spark, sf_dir, "part").withColumnRenamed("p_brand", "step")
+    inputs = part.select("step", F.when(F.col("p_size") == 1, "worker__item").otherwise(F.col("p_type")).alias("name")).distinct()
+    deps = part.filter("p_retailprice > 1000").select("step", F.concat(F.lit("Brand#1"), (F.col("p_size") % 5 + 1).cast("string")).alias("dep")).distinct()
+    outs = part.filter("p_size > 40").select("step", F.col("p_type").alias("name")).distinct()
+    return wiring.wire_steps(inputs, deps, outs, part.filter("p_size = 50").select(F.col("p_type").alias("name")))
+
+
+@query("""WITH e AS (SELECT n_name AS run, r_name AS dep_run, CASE WHEN n_nationkey > 12 THEN 'soft' ELSE 'hard' END AS dep_type FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, 'nowhere', 'hard' FROM supplier)
+SELECT run, dep_run, dep_type FROM e UNION ALL SELECT 'unknown run', 'nowhere', s_name FROM supplier UNION ALL SELECT 'group named like a run', r_name, NULL FROM region""")
+def d8_run_graph(spark, sf_dir):
+    nation, region, supplier = (read(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    runs = nation.select(F.col("n_name").alias("run")).union(region.select("r_name")).union(supplier.select("s_name"))
+    deps = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("run"), F.col("r_name").alias("dep_run"), F.when(F.col("n_nationkey") > 12, "soft").alias("dep_type"))
+    lost = supplier.select("s_name", F.lit("nowhere"), F.lit(None).cast("string"))
+    edges, problems = wiring.run_graph(runs, deps.union(lost), region.select(F.col("r_name").alias("group")))
+    who = supplier.select(F.lit("nowhere").alias("name"), F.col("s_name").alias("by"))
+    return edges.union(problems.distinct().join(who, "name", "left").select("what", "name", "by"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.plans import collection_queries, graph_queries, retention_queries, sweep_queries  # noqa: F401  they register
+from gridweave.plans import collection_queries, graph_queries, retention_queries, source_queries, sweep_queries  # noqa: F401  they register
 from gridweave.plans.base import QUERIES, SQL
 
 

@@ -69,11 +69,11 @@ def j9_root_hash(spark, sf_dir):
 
 
 @query("""SELECT k.doc_id AS id, CASE WHEN d.doc_id IS NULL OR l.doc_id IS NULL THEN 'miss' WHEN k.lang = 'en' AND l.quality <> l.toxic THEN 'stale' ELSE 'hit' END AS state
-FROM documents k LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 101 <> 0) d USING (doc_id) LEFT JOIN labels l ON l.doc_id = k.doc_id""")
+FROM documents k LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 200) d USING (doc_id) LEFT JOIN labels l ON l.doc_id = k.doc_id""")
 def j10_freshness(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     keys = docs.select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("kind_checked")).join(labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("expected")), "id", "left")
-    return retention.freshness(keys, docs.filter("doc_id % 101 <> 0").select(F.col("doc_id").alias("id")), labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("stored")))
+    return retention.freshness(keys, docs.filter("n_chars > 200").select(F.col("doc_id").alias("id")), labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("stored")))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -81,16 +81,16 @@ def j11_filter_missing(spark, sf_dir):
     return retention.filter_missing(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query("SELECT event_type AS key_type, count(*) AS entries, coalesce(sum(CASE WHEN user_id % 3 > 0 THEN event_id END), 0)::BIGINT AS bytes, min(event_id) AS oldest, max(event_id) AS newest FROM events GROUP BY ROLLUP (event_type)")
+@query("SELECT event_type AS key_type, grouping(event_type) = 1 AS total, count(*) AS entries, coalesce(sum(CASE WHEN user_id % 3 > 0 THEN event_id END), 0)::BIGINT AS bytes, min(event_id) AS oldest, max(event_id) AS newest FROM events GROUP BY ROLLUP (event_type)")
 def j12_cache_stats(spark, sf_dir):
     entries = read(spark, sf_dir, "events").select(F.col("event_type").alias("key_type"), F.when(F.col("user_id") % 3 > 0, F.col("event_id")).alias("size_bytes"), F.col("event_id").alias("created_at"))
     return retention.cache_stats(entries)
 
 
 @query("""SELECT path, CASE WHEN m.sha256 IS NULL THEN 'extra' WHEN s.sha256 IS NULL THEN 'missing' WHEN m.sha256 = s.sha256 THEN 'ok' ELSE 'mismatch' END AS state
-FROM manifest_fx m FULL JOIN (SELECT doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 101 <> 0) s USING (path)""", "manifest_fx")
+FROM manifest_fx m FULL JOIN (SELECT doc_id AS path, sha256(text) AS sha256 FROM documents) s USING (path)""", "manifest_fx")
 def j13_verify_manifest(spark, sf_dir):
-    store = read(spark, sf_dir, "documents").filter("doc_id % 101 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    store = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
     return retention.verify_manifest(bound(spark, sf_dir, "manifest_fx"), store).select("path", "state")
 
 
@@ -113,8 +113,53 @@ def j17_mem_to_bytes(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", mem_to_bytes(text).alias("bytes"))
 
 
-@query("""SELECT name, kind FROM roots_fx WHERE NOT (kind = 'pinned' AND target % 400 = 0)""", "roots_fx")
+@query("""SELECT name, kind FROM roots_fx WHERE NOT (kind = 'pinned' AND project = '0')""", "roots_fx")
 def j18_unpin(spark, sf_dir):
     roots = _roots(spark, sf_dir)
-    left, _ = retention.unpin(roots, roots.filter("target % 400 = 0").select("name").union(spark.sql("SELECT 'no such root'")))
+    left, _ = retention.unpin(roots, roots.filter("project = '0'").select("name").union(spark.sql("SELECT 'no such root'")))
     return left.select("name", "kind")
+
+
+@query("""WITH new AS (SELECT name, target + 1 AS target, project FROM roots_fx WHERE kind = 'pinned' UNION ALL SELECT 'new' || target, target, project FROM roots_fx WHERE project = '3'), good AS (SELECT * FROM new WHERE target IN (SELECT target FROM refs_fx))
+SELECT name, 'pinned' AS kind, project, target FROM good UNION ALL SELECT name, kind, project, target FROM roots_fx WHERE name NOT IN (SELECT name FROM good)
+UNION ALL SELECT name, 'no target', project, target FROM new WHERE target NOT IN (SELECT target FROM refs_fx)""", "roots_fx refs_fx")
+def j18_pin(spark, sf_dir):
+    roots = _roots(spark, sf_dir)
+    new = roots.filter("kind = 'pinned'").select("name", (F.col("target") + 1).alias("target"), "project").union(roots.filter("project = '3'").select(F.concat(F.lit("new"), F.col("target").cast("string")), "target", "project"))
+    after, missing = retention.pin(roots, new, _refs(spark, sf_dir))
+    return after.union(missing.select("name", F.lit("no target"), "project", "target"))
+
+
+@query("""WITH m AS (SELECT p_partkey, r.* FROM part JOIN rules_fx r ON (r.target IS NULL OR r.target = p_brand) AND (r.pat IS NULL OR p_type GLOB r.pat)),
+b AS (SELECT p_partkey, arg_max(mem, ord) FILTER (mem IS NOT NULL) AS mem, arg_max(cpus, ord) FILTER (cpus IS NOT NULL) AS cpus, max(ord) AS last FROM m GROUP BY p_partkey)
+SELECT p_partkey, CASE WHEN last = 1 THEN '9G' ELSE mem END AS mem, CASE WHEN last = 3 THEN 16 WHEN p_size > 40 THEN p_size ELSE cpus END AS cpus FROM b JOIN part USING (p_partkey)""", "rules_fx")
+def j16_resolve_worker_rules(spark, sf_dir):
+    table = bound(spark, sf_dir, "rules_fx").withColumnRenamed("pat", "glob")
+    table = table.withColumn("worker", F.struct(F.when(F.col("ord") == 1, "9G").alias("mem"), F.when(F.col("ord") == 3, 16).alias("cpus")))
+    part = read(spark, sf_dir, "part").withColumn("worker_cpus", F.when(F.col("p_size") > 40, F.col("p_size")))
+    return rules.resolve_worker_rules(part, table, "p_partkey", "p_type", "p_brand", ["mem", "cpus"])
+
+
+_FILES = "files AS (SELECT CASE p_size % 3 WHEN 0 THEN 'store/' || p_brand || '/' || p_partkey WHEN 1 THEN p_type || '/' || p_partkey ELSE 'bin/' || p_partkey END AS path, p_size AS size, p_brand, p_type FROM part)"
+
+
+@query(f"""WITH {_FILES}, live AS (SELECT 'store/' || p_brand AS a FROM part JOIN refs_fx ON artifact = p_partkey JOIN roots_fx USING (target) WHERE kind = 'pinned' UNION SELECT p_type FROM part JOIN refs_fx ON artifact = p_partkey JOIN roots_fx USING (target) WHERE kind = 'pinned'),
+e AS (SELECT CASE WHEN path LIKE 'store/%' THEN 'store/' || p_brand ELSE split_part(path, '/', 1) END AS a, split_part(path, '/', 1) AS kind, sum(size) AS size FROM files GROUP BY ALL)
+SELECT kind, count(*) AS dead, sum(size)::BIGINT AS bytes FROM e WHERE kind <> 'bin' AND a NOT IN (SELECT a FROM live) GROUP BY kind
+UNION ALL SELECT 'outputs', count(*), coalesce(sum(p_size), 0)::BIGINT FROM part WHERE p_partkey NOT IN (SELECT artifact FROM refs_fx JOIN roots_fx USING (target) WHERE kind = 'pinned')""", "roots_fx refs_fx")
+def j2_store_report(spark, sf_dir):
+    """Collections one level down, top folders of live artifacts, and outputs of jobs that no pinned root has."""
+    part, pinned = read(spark, sf_dir, "part"), _roots(spark, sf_dir).filter("kind = 'pinned'")
+    refs = _refs(spark, sf_dir).join(part, F.col("artifact") == F.col("p_partkey"))
+    paths = refs.select("target", F.explode(F.array(F.concat(F.lit("store/"), "p_brand"), F.concat("p_type", F.lit("/"), F.col("p_partkey").cast("string")))).alias("artifact"))
+    key = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("store/"), "p_brand", F.lit("/"), key)).when(F.col("p_size") % 3 == 1, F.concat("p_type", F.lit("/"), key)).otherwise(F.concat(F.lit("bin/"), key))
+    store = retention.store_entries(part.select(path.alias("path"), F.col("p_size").alias("size")))
+    dead = retention.sweep_report(store, retention.live_paths(pinned, paths))
+    outputs = part.select(F.col("p_partkey").alias("job_id"), F.col("p_size").alias("size"))
+    return dead.union(retention.outputs_report(outputs, retention.live_jobs(pinned, refs.select("target", F.col("p_partkey").alias("job_id")))))
+
+
+@query("WITH r AS (SELECT name, coalesce(sum(p_size), 0)::BIGINT AS bytes FROM roots_fx LEFT JOIN refs_fx USING (target) LEFT JOIN part ON p_partkey = artifact WHERE kind = 'pinned' GROUP BY name) SELECT name, bytes FROM r UNION ALL SELECT NULL, sum(bytes)::BIGINT FROM r", "roots_fx refs_fx")
+def j5_roots_with_size(spark, sf_dir):
+    return retention.roots_with_size(_roots(spark, sf_dir), _refs(spark, sf_dir), _store(spark, sf_dir).select("artifact", "size"), "pinned")

@@ -9,6 +9,7 @@ from gridweave.operators import fanout, grid, identity, sweep
 from gridweave.operators.identity import Stage
 from gridweave.operators.sweep import SweepStage
 from gridweave.plans.base import bound, query, read
+from gridweave.shared import numbered, small
 
 
 def base32_sql(digest: str, keep: int = 32) -> str:
@@ -46,7 +47,7 @@ def b2_axis_column(spark, sf_dir):
 
 @query("SELECT z.flag, z.min_qty, count(l_orderkey) AS lines FROM (VALUES ('A', 10.0), ('R', 25.0)) AS z(flag, min_qty) LEFT JOIN lineitem ON l_returnflag = z.flag AND l_quantity >= z.min_qty GROUP BY ALL")
 def b3_axis_zip(spark, sf_dir):
-    axis = F.broadcast(grid.expand_grid(spark, [FLAGS]))
+    axis = small(grid.expand_grid(spark, [FLAGS]))
     return read(spark, sf_dir, "lineitem").join(axis, (F.col("l_returnflag") == F.col("flag")) & (F.col("l_quantity") >= F.col("min_qty"))).groupBy("flag", "min_qty").agg(F.count("*").alias("lines"))
 
 
@@ -54,7 +55,7 @@ def b3_axis_zip(spark, sf_dir):
 def b5_expand_grid(spark, sf_dir):
     combos = grid.expand_grid(spark, [DISCOUNTS, FLAGS])
     hit = (F.col("l_returnflag") == F.col("flag")) & (F.col("l_quantity") >= F.col("min_qty")) & (F.col("l_discount") <= F.col("max_discount"))
-    counts = read(spark, sf_dir, "lineitem").join(F.broadcast(combos), hit).groupBy("combo_id").agg(F.count("*").alias("lines"))
+    counts = read(spark, sf_dir, "lineitem").join(small(combos), hit).groupBy("combo_id").agg(F.count("*").alias("lines"))
     return combos.join(counts, "combo_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
@@ -78,10 +79,10 @@ def b10_derive_params(spark, sf_dir):
     return rows.select("p_partkey", "class", "label")
 
 
-@query("SELECT p_brand, stage, count(*) AS n FROM part, (VALUES ('pa', 0, 'clean'), ('pa', 1, 'sum'), ('pb', 0, 'sum')) AS s(pipeline, pos, stage) GROUP BY ALL")
+@query("SELECT p_partkey, pipeline, pos, stage, row_number() OVER (ORDER BY p_partkey, pipeline, pos) - 1 AS ord FROM part, (VALUES ('pa', 0, 'clean'), ('pa', 1, 'sum'), ('pb', 0, 'sum')) AS s(pipeline, pos, stage)")
 def b11_cross_pipelines(spark, sf_dir):
     stages = spark.createDataFrame([("pa", 0, "clean"), ("pa", 1, "sum"), ("pb", 0, "sum")], "pipeline string, pos int, stage string")
-    return grid.cross_pipelines(read(spark, sf_dir, "part"), stages).groupBy("p_brand", "stage").agg(F.count("*").alias("n"))
+    return numbered(grid.cross_pipelines(read(spark, sf_dir, "part").select("p_partkey"), stages), ["p_partkey", "pipeline", "pos"])
 
 
 @query("SELECT p_type, p_brand, p_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY CASE WHEN p_size > 45 THEN 0 ELSE 1 END, CASE WHEN p_brand = 'Brand#13' THEN 0 ELSE 1 END, p_partkey) AS k FROM part) WHERE k = 1")
@@ -124,23 +125,23 @@ def c6_dedup_jobs(spark, sf_dir):
 
 
 @query("""SELECT stage, status, count(*) AS n FROM (
-SELECT s.stage, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'added' WHEN p_partkey % 11 = 0 THEN 'removed' WHEN s.stage = 'load' THEN 'same' ELSE 'changed' END AS status
+SELECT s.stage, CASE WHEN p_size < 8 AND p_retailprice > 1500 THEN NULL WHEN p_size < 8 THEN 'added' WHEN p_retailprice > 1500 THEN 'removed' WHEN s.stage = 'load' THEN 'same' ELSE 'changed' END AS status
 FROM part, (VALUES ('load'), ('cut'), ('report')) AS s(stage)) WHERE status IS NOT NULL GROUP BY ALL""")
 def c7_plan_diff(spark, sf_dir):
     def plan(rows, stages):
         keyed = identity.propagate_keys(rows, stages)
         return keyed.select("combo_id", F.explode(F.create_map(*[x for s in stages for x in (F.lit(s.name), F.col(f"key_{s.name}"))])).alias("stage", "key"))
 
-    parts = _parts(spark, sf_dir)
-    old = plan(parts.filter("combo_id % 7 <> 0"), [LOAD, CUT, REPORT])
-    new = plan(parts.filter("combo_id % 11 <> 0"), [LOAD, Stage("cut", "2.2", {"size": 1}, ("load",)), REPORT])
+    parts = _parts(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("combo_id"), "p_retailprice"), "combo_id")
+    old = plan(parts.filter("size >= 8"), [LOAD, CUT, REPORT])
+    new = plan(parts.filter("p_retailprice <= 1500"), [LOAD, Stage("cut", "2.2", {"size": 1}, ("load",)), REPORT])
     return identity.plan_diff(old, new).groupBy("stage", "status").agg(F.count("*").alias("n"))
 
 
 def revenue_stages(lineitem):
     def select(inputs, params):
         hit = (F.col("l_returnflag") == F.col("flag")) & (F.col("l_quantity") >= F.col("min_qty")) & (F.col("l_discount") <= F.col("max_discount"))
-        return lineitem.select("l_returnflag", "l_quantity", "l_discount", "l_extendedprice").join(F.broadcast(params), hit).select("job_key", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
+        return lineitem.select("l_returnflag", "l_quantity", "l_discount", "l_extendedprice").join(small(params), hit).select("job_key", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
 
     def revenue(inputs, params):
         return sweep.stage_sum(inputs["select"], "value")
@@ -240,15 +241,15 @@ def h3_gather(spark, sf_dir):
     return fanout.gather(done, "combine").select("job_id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), total.alias("total"))
 
 
-@query("SELECT job_id, count(*) AS branches, count(*) FILTER (l_partkey % 23 <> 0) AS done, min(branch_idx) FILTER (l_partkey % 23 = 0) AS first_missing, bool_and(l_partkey % 23 <> 0) AS complete FROM branches_fx GROUP BY job_id", "branches_fx")
+@query("SELECT job_id, count(*) AS branches, count(*) FILTER (x < 48) AS done, min(branch_idx) FILTER (x >= 48) AS first_missing, bool_and(x < 48) AS complete FROM branches_fx GROUP BY job_id", "branches_fx")
 def h4_completeness_gate(spark, sf_dir):
-    return fanout.completeness_gate(bound(spark, sf_dir, "branches_fx"), F.col("l_partkey") % 23 != 0)
+    return fanout.completeness_gate(bound(spark, sf_dir, "branches_fx"), F.col("x") < 48)
 
 
-@query("SELECT job_id, branch_idx, CASE WHEN l_partkey % 17 = 0 THEN 'new' WHEN l_partkey % 10 = 0 THEN 'changed' ELSE 'same' END AS state FROM branches_fx", "branches_fx")
+@query("SELECT job_id, branch_idx, CASE WHEN x > 45 THEN 'new' WHEN x < 5 THEN 'changed' ELSE 'same' END AS state FROM branches_fx", "branches_fx")
 def h5_stale_branches(spark, sf_dir):
     now = bound(spark, sf_dir, "branches_fx").withColumnRenamed("x", "item")
-    before = now.filter("l_partkey % 17 <> 0").withColumn("item", F.when(F.col("l_partkey") % 10 == 0, F.col("item") + 1).otherwise(F.col("item")))
+    before = now.filter("item <= 45").withColumn("item", F.when(F.col("item") < 5, F.col("item") + 1).otherwise(F.col("item")))
     return fanout.stale_branches(before, now)
 
 
@@ -258,12 +259,12 @@ def h6_side_outputs(spark, sf_dir):
     return fanout.side_outputs(gathered, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("prio")))
 
 
-@query("SELECT job_id, 2 + 3 * count(*) AS units, 1 + count(*) FILTER (l_partkey % 23 <> 0) AS finished FROM branches_fx GROUP BY job_id", "branches_fx")
+@query("SELECT job_id, 2 + 3 * count(*) AS units, 1 + count(*) FILTER (x < 48) AS finished FROM branches_fx GROUP BY job_id", "branches_fx")
 def h7_expected_units(spark, sf_dir):
     rows = bound(spark, sf_dir, "branches_fx")
     steps = spark.createDataFrame([(s.name,) for s in diamond()], "step string")
     expected = fanout.expected_units(rows.groupBy("job_id").agg(F.count("*").alias("branches")), steps)
-    done = rows.filter("l_partkey % 23 <> 0").select("job_id", F.concat(F.lit("square:"), F.col("branch_idx").cast("string")).alias("unit")).union(rows.select("job_id", F.lit("scatter")))
+    done = rows.filter("x < 48").select("job_id", F.concat(F.lit("square:"), F.col("branch_idx").cast("string")).alias("unit")).union(rows.select("job_id", F.lit("scatter")))
     return fanout.unit_progress(expected, done)
 
 
@@ -274,3 +275,40 @@ _ID = "lpad(CAST(p_partkey AS VARCHAR), 14, '0') || '-' || replace(lower(p_type)
 def e16_e17_ids(spark, sf_dir):
     id_ = F.concat(F.lpad(F.col("p_partkey").cast("string"), 14, "0"), F.lit("-"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit("-1."), F.col("p_size").cast("string"))
     return read(spark, sf_dir, "part").select(id_.alias("job_id")).select("job_id", short_id(F.col("job_id")).alias("short"), stage_of(F.col("job_id")).alias("stage"))
+
+
+_AXES = {"quantity": range(1, 51), "mode": ["fast", "slow"], "flag": ["A"]}
+
+
+@query("""WITH g AS (SELECT (m.o * 50 + q.v - 1) * 2 + z.o AS combo_id, m.v AS mode, q.v::INT AS quantity, z.flag, z.min FROM (VALUES (0, 'fast'), (1, 'slow')) AS m(o, v), range(1, 51) AS q(v), (VALUES (0, 'A', 0.02), (1, 'R', 0.05)) AS z(o, flag, min))
+SELECT combo_id, mode, quantity, flag, count(l_orderkey) AS lines FROM g LEFT JOIN lineitem ON l_quantity = quantity AND l_returnflag = flag AND l_discount >= min GROUP BY ALL""")
+def b4_build_axes(spark, sf_dir):
+    axes = grid.build_axes(_AXES, [grid.axis_zip(flag=["A", "R"], min=[0.02, 0.05])])
+    combos = grid.expand_grid(spark, axes)
+    lines = read(spark, sf_dir, "lineitem").join(small(combos), (F.col("l_quantity") == F.col("quantity")) & (F.col("l_returnflag") == F.col("flag")) & (F.col("l_discount") >= F.col("min")))
+    counts = lines.groupBy("combo_id").agg(F.count("*").alias("lines"))
+    return combos.join(counts, "combo_id", "left").select("combo_id", "mode", F.col("quantity").cast("int").alias("quantity"), "flag", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+@query("SELECT p_brand, 100 * count(DISTINCT p_type) AS size FROM part GROUP BY 1")
+def b7_grid_size(spark, sf_dir):
+    listed = grid.grid_size(grid.build_axes({k: v for k, v in _AXES.items() if k != "flag"}))
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg((F.countDistinct("p_type") * listed).alias("size"))
+
+
+@query("SELECT stage, param FROM (SELECT DISTINCT p_brand AS stage, p_type || p_size AS param FROM part) WHERE param NOT IN (SELECT p_type || p_size FROM part WHERE p_retailprice > 1500)")
+def b8_missing_params(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("stage"), F.concat("p_type", F.col("p_size").cast("string")).alias("param"), "p_retailprice")
+    return grid.missing_params(rows.select("stage", "param").distinct(), rows.filter("p_retailprice > 1500"))
+
+
+_CODED = "c0ffee"
+_PARTS_ID = "x00".join(["s1", "a1", "b1", "g1"])
+
+
+@query(f"""WITH g AS (SELECT p_partkey AS combo_id, p_brand AS brand FROM part),
+k1 AS (SELECT *, {key_sql(_CODED, "'{\"brand\":\"' || brand || '\"}'", [], 'load')} AS key_load FROM g)
+SELECT combo_id, key_load, {key_sql(_PARTS_ID, "'{}'", ['key_load'], 'fan')} AS key_fan FROM k1""")
+def c3_identity_mode(spark, sf_dir):
+    fan = Stage("fan", deps=("load",), parts={"gather": "g1", "b": "b1", "scatter": "s1", "a": "a1"})
+    return identity.propagate_keys(_parts(spark, sf_dir), [Stage("load", params={"brand": "none"}, code=_CODED), fan]).select("combo_id", "key_load", "key_fan")
