@@ -37,15 +37,20 @@ def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Index:
     """Items and their seeds: for pairs and for single words, sorted hashes and the items of each."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray], threshold: float):
+    def __init__(self, ids: list[int], items: list[np.ndarray], threshold: float, shortest: int):
         self.ids, self.items = np.array(ids, np.int64), items
+        self.short: dict[bytes, list[int]] = {}
+        for i, x in enumerate(items):
+            if len(x) < shortest:
+                self.short.setdefault(x.tobytes(), []).append(i)
+        self.shortest = shortest
         size = np.array([len(x) for x in items], np.int64)
         least = np.array([math.ceil(MATCH * threshold * k - 1e-9) for k in size], np.int64)
         pairs = least - size - 1
         self.need = np.where(pairs > 0, pairs, np.maximum(1, -(-least // 2)))
         self.span = np.maximum(1, 3 * size - least)
         self.tables = []
-        for n, own in ((1, np.flatnonzero(pairs <= 0)), (2, np.flatnonzero(pairs > 0))):
+        for n, own in ((1, np.flatnonzero((pairs <= 0) & (size >= shortest))), (2, np.flatnonzero((pairs > 0) & (size >= shortest)))):
             grams = [np.unique(rolling(items[i], n)) for i in own]
             if grams:
                 g, owner = np.concatenate(grams), np.repeat(own, [len(x) for x in grams])
@@ -63,6 +68,12 @@ def _found(batches: Iterable[pa.RecordBatch], index, threshold: float, many: int
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         h = np.concatenate([word_hashes().of(w) for w in words])
         rids, ths = (part.column(c).to_numpy() for c in ("rid", "th"))
+        if x.short:
+            few = [k for k, w in enumerate(words) if 0 < len(w) < x.shortest]
+            whole = [(k, i) for k in few for i in x.short.get(h[begins[k] : ends[k]].tobytes(), ())]
+            if whole:
+                k, i = np.array(whole).T
+                yield pa.RecordBatch.from_arrays([pa.array(rids[k]), pa.array(ths[k]), pa.array(x.ids[i]), pa.array(np.ones(len(k)))], ["rid", "th", "item_id", "score"])
         for n, seeds, starts, owners in x.tables:
             g = rolling(h, n)
             spot = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
@@ -151,14 +162,14 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, n: int = 3, threshold:
     ship(spark)
     docs = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = checkpoint(items.mapInArrow(_item_words, "item_id long, item binary, n_item long").filter(F.col("n_item") >= n).withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key"]))
+    words = checkpoint(items.mapInArrow(_item_words, "item_id long, item binary, n_item long").filter("n_item > 0").withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key"]))
     # the items go in passes of so many words, each pass over all texts, so what is broadcast has a bound
     passes = max(1, math.ceil((words.agg(F.sum("n_item")).first()[0] or 0) / max(500, 10 * broadcast_rows)))
     out = None
     for k in range(passes):
         table = words.filter(F.pmod("item_key", F.lit(passes)) == k).select("item_id", "item").toArrow()
         values, sizes = unpacked(table["item"], np.uint64)
-        index = spark.sparkContext.broadcast(Index(table["item_id"].to_pylist(), [values[e - m : e] for e, m in zip(np.cumsum(sizes), sizes, strict=True)], threshold))
+        index = spark.sparkContext.broadcast(Index(table["item_id"].to_pylist(), [values[e - m : e] for e, m in zip(np.cumsum(sizes), sizes, strict=True)], threshold, n))
         found = docs.mapInArrow(lambda it, index=index: _found(it, index, threshold), "rid long, th long, item_id long, score double")
         out = found if out is None else out.union(found)
     return out
@@ -168,8 +179,10 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float
     """doc_id, item_id, score of every document that holds an item, verbatim or edited, up to a score of ``threshold``.
 
     ``docs`` has (doc_id, text), ``items`` (item_id, text). Words are compared in lower case without ASCII punctuation.
-    Items shorter than ``n`` words are never found; of all others every alignment with the score is. Rows that repeat a doc_id give one result; a null doc_id gives null. Null and empty texts hold
-    nothing. Repeated items give a row each. An empty table on either side gives an empty result.
+    Every alignment with the score is found. Items shorter than ``n`` words, which most texts hold by chance, are found
+    where they are all of a text; items without words never are. Rows that repeat a doc_id give one result; a null
+    doc_id gives null. Null and empty texts hold nothing. Items that repeat an id and text count once. An empty table on
+    either side gives an empty result.
     """
     best = contaminated_rows(docs, items, n, threshold, broadcast_rows).groupBy("rid", "item_id").agg(F.max("score").alias("score"))
     plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -17,9 +17,10 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,10 @@ from gridweave.llm._text import chunks
 SAMPLE = 300
 # Fixed values of the HTML standard: void elements, raw-text elements, block-level elements, what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math select object canvas audio video".split())
+RAW = frozenset("script style title textarea iframe".split())
+IN_HEAD = RAW | frozenset("base basefont bgsound link meta noscript template noframes".split())
+#: Drawings, inert parts and the options of forms: gone with all inside, if they are closed.
+SKIPPED = frozenset("svg template select datalist".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label".split())
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _CLOSE_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "label", "button", "legend", "html", "body"}
@@ -65,12 +69,39 @@ def _tokens(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(t.lower() for m in _ATTRIBUTE.finditer(attributes) for t in _TOKEN.findall(m[2] or m[3] or m[4] or ""))) if "=" in attributes else ()
 
 
+@lru_cache(16)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
+
+
+@lru_cache(16)
+def _either(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){tag}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I)
+
+
+def _behind(html: str, tag: str, at: int) -> int:
+    """Where the element that was opened before ``at`` ends, with others of its name inside it; ``at`` if it never does."""
+    depth = 1
+    for m in _either(tag).finditer(html, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    return at
+
+
 def parse(html: str) -> Page:
-    """The page's nodes and blocks. Scripts, styles, comments, markup and the head are gone; unclosed tags are closed."""
+    """The page's nodes and blocks. Scripts, styles, comments, markup and the head are gone; unclosed tags are closed.
+
+    A head ends at the first tag or text that cannot stand in it. Raw text (script, style, ...) without an end tag goes to
+    the page's end, as browsers read it; a drawing or a select without one hides nothing. What other elements hold for
+    readers without them (math, object, audio, video, canvas, noscript) is text.
+    """
     nodes, blocks = [Node("html", -1, 0, ())], []
     stack = [("html", 0)]  # open elements: tag, block-level node it belongs to
     text: list[str] = []
     linked = links = 0
+    head = False
+    opened: Counter = Counter()  # open elements by tag, so that no end tag without a start tag searches the stack
 
     def flush() -> None:
         nonlocal linked
@@ -81,8 +112,10 @@ def parse(html: str) -> Page:
         linked = 0
 
     def say(raw: str) -> None:
-        nonlocal linked
-        if raw:
+        nonlocal linked, head
+        if head:
+            head = not raw.strip()
+        if raw and not head:
             plain = entities.unescape(raw)
             text.append(plain)
             if links:
@@ -96,9 +129,11 @@ def parse(html: str) -> Page:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
+            opened[tag] -= 1
             stack.pop()
 
     at, end = 0, len(html)
+    unclosed: set[str] = set()
     while at < end:
         m = _TAG.search(html, at)
         if m is None:
@@ -111,8 +146,12 @@ def parse(html: str) -> Page:
             continue
         tag = name.lower()
         if m[1]:  # an end tag closes the nearest open element of its name
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag in ("head", "body"):
+                head = False
+            if tag == "p" and not opened["p"]:
                 flush()
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     pop(i)
@@ -120,23 +159,34 @@ def parse(html: str) -> Page:
                 if stack[i][0] in _WALLS and tag not in BLOCKS:
                     break
             continue
-        if tag in RAW or tag == "head":
-            close = re.compile(rf"</{tag}\b[^>]*>|<body\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end if close is None else close.start() if close[0][1] != "/" else close.end()
+        if tag == "head":
+            head = True
+            continue
+        head = head and tag in IN_HEAD
+        if tag in RAW:
+            close = _closing(tag).search(html, at)
+            at = end if close is None else close.end()
+            continue
+        if tag in SKIPPED:
+            if not m[3].endswith("/") and tag not in unclosed:
+                behind = _behind(html, tag, at)
+                if behind == at:  # nor does any of its name behind it, at this depth
+                    unclosed.add(tag)
+                at = behind
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in VOID and tag != "hr":
             continue
-        if tag in _CLOSE_P:
+        if tag in _CLOSE_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     pop(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and any(opened[t] for t in CLOSED_BY[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in CLOSED_BY[tag]:
                     pop(i)
@@ -151,9 +201,11 @@ def parse(html: str) -> Page:
             nodes[parent].children.append(len(nodes))
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, _tokens(m[3])))
             stack.append((tag, len(nodes) - 1))
-        else:
+            opened[tag] += 1
+        elif not (m[3].endswith("/") and opened["math"]):  # an empty element of a formula
             links += tag == "a"
             stack.append((tag, stack[-1][1]))
+            opened[tag] += 1
     flush()
     return Page(nodes, blocks)
 

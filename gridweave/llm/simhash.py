@@ -127,15 +127,20 @@ def links(fps: DataFrame, limit: int = 2048) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:
-    """doc_id, th, fp, component_id for every row; ``near_duplicates`` tells how."""
+    """doc_id, th, fp, component_id, stays for every row; ``near_duplicates`` tells how.
+
+    Of a component the rows with the smallest doc_id, and of these with the smallest th, stay; nulls come last.
+    """
     each = checkpoint(fingerprints(docs, shingle))
-    folded = checkpoint(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    folded = checkpoint(each.groupBy("fp").agg(least, F.count("*").alias("n")))
     joined = connected_components(links(folded.select("fp"), limit)).withColumnsRenamed({"node": "fp"})
     linked = checkpoint(folded.join(joined, "fp").select("fp", "first", "component"))
-    of = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = checkpoint(folded.join(linked.join(of, "component").select("fp", "component_id"), "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    of = linked.groupBy("component").agg(F.min("first").alias("least"))
+    named = checkpoint(folded.join(linked.join(of, "component").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("least")))
     total = each.count()
-    return join_skewed(each, named, "fp", total).select("doc_id", "th", "fp", "component_id")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    return join_skewed(each, named, "fp", total).select("doc_id", "th", "fp", F.col("least.doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:

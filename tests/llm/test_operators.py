@@ -403,6 +403,21 @@ def test_decoding_is_hierarchical():
     assert all(open_[x.parent] or not open_[i] for i, x in enumerate(page.nodes) if x.parent >= 0)
 
 
+def test_parsing_of_unclosed_and_foreign_elements():
+    import time
+
+    text = lambda html: "\n".join(t for _, t, _ in html_extract.parse(html).blocks)
+    assert text("<head><title>t</title><meta a=b><p>one<p>two") == "one\ntwo"
+    assert text("<html><head>  said at once <p>b") == "said at once\nb"
+    assert text("<p>Here <math><mi>x</mi><mspace/></math> is <svg/> all <svg viewBox='0'><g><svg></svg></g><text>no</text></svg> of it") == "Here x is all of it"
+    assert text("<p>a<select><option>b</option><p>c<object>d</object><video>e</video><noscript>f</noscript>") == "ab\ncdef"
+    assert text("<p>a<select><option>b</option></select><template><p>n</template><iframe>x</iframe>c") == "ac"
+    assert text("<p>a<script>var x = '<p>no</p>'") == "a"
+    began = time.time()
+    assert text("<div>" * 8000 + "</x>" * 8000 + "end") == "end" and text("<svg>" * 20_000 + "end") == "end"
+    assert time.time() - began < 3
+
+
 def test_main_text_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>a"), (3, "u", "no markup & more &amp; &#233;"), (4, "u", "<div " * 2000), (5, "u", "<p>" * 3000 + "x"), (5, "u", "<script>var a='<p>no</p>'")]
     got = html_extract.main_text(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
@@ -565,6 +580,20 @@ def test_edited_and_partial_copies_beside_verbatim_ones(spark, broadcast_rows):
     assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 45
 
 
+def test_tiny_items_and_items_without_id(spark):
+    items = spark.createDataFrame([(1, "two words"), (2, "One"), (3, "?!"), (4, "two words"), *((None, f"item number {k} " + " ".join(f"w{k}x{j}" for j in range(10))) for k in range(30))], "item_id long, text string")
+    rows = [(1, "Two, words!"), (2, "one"), (3, "two words more"), (4, "one two"), *((100 + k, f"so item number {k} " + " ".join(f"w{k}x{j}" for j in range(10)) + " it is") for k in range(30))]
+    got = decontam.contaminated(documents(spark, rows), items).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(1, 1, 1.0), (1, 4, 1.0), (2, 2, 1.0), *((100 + k, None, 1.0) for k in range(30))}
+
+
+def test_few_edited_copies_beside_a_verbatim_one(spark):
+    item = [f"w{j}" for j in range(60)]
+    rows = [(0, " ".join(item))] + [(1 + k, " ".join([f"x{k}y{j}" for j in range(20)] + item[20:])) for k in range(50)]
+    got = decontam.contaminated(documents(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert len(got) == 51
+
+
 # helpers
 
 
