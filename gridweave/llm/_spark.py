@@ -19,6 +19,8 @@ BLOCK_BITS = 32_768
 #: A side of a join is broadcast below so many (narrow) rows, and shuffled above.
 BROADCAST_ROWS = 200_000
 NULL_ID = -(2**63)
+#: Bytes of a batch that goes to Python, but for longer single rows.
+BATCH_BYTES = 16_777_216
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,13 +46,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _bytes(text: str) -> int:
+    digits = "".join(c for c in text if c.isdigit() or c == "-")
+    return int(digits or 0) * {"k": 2**10, "m": 2**20, "g": 2**30}.get(text.strip().lower().removesuffix("b")[-1:], 1)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on executors whose PYTHONPATH lacks it, and batches for Python fit for whole texts.
 
-    Spark's default of 10,000 rows a batch is for short rows; a session that sets its own number keeps it.
+    Spark's defaults, 10,000 rows and any number of bytes a batch, are for short rows; a session that sets its own
+    numbers keeps them.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for key, default, own in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(BATCH_BYTES))):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now == default or default is None and (now is None or not 0 < _bytes(now) < 2**31):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
     root = Path(__file__).resolve().parents[2]
     context = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_gridweave_shipped", False):

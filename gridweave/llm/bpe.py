@@ -42,8 +42,17 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+#: What this encoder does before and after merging, as tokenizer files write it; a file that says otherwise is refused.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
 class Vocabulary:
-    """What a tokenizer file says: token ids, merge ranks, the split pattern, special tokens and the word-end mark."""
+    """What a tokenizer file says: token ids, merge ranks, the split pattern, special tokens and the word-end mark.
+
+    ``load`` refuses files that ask for another normal form, split, decoder or kind of model than this encoder has.
+    """
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -55,10 +64,29 @@ class Vocabulary:
         self.pattern = regex.compile(splits[0])
 
 
+    @staticmethod
+    def check(spec: dict) -> None:
+        def same(part: str, have, want) -> None:
+            if have != want:
+                raise ValueError(f"the tokenizer file's {part} is {have}, which is not what this encoder does: {want}")
+
+        several = lambda x, key: x[key] if x and x.get("type") == "Sequence" else [x] if x else []
+        same("normalizer", several(spec.get("normalizer"), "normalizers"), NORMALIZERS)
+        parts = several(spec.get("pre_tokenizer"), "pretokenizers")
+        same("pre_tokenizer", [{k: p.get(k) for k in want} for p, want in zip(parts, (SPLIT, BYTES), strict=False)], [SPLIT, BYTES])
+        same("decoder", spec.get("decoder"), None)
+        off = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+        same("model", (spec["model"]["type"], [k for k in off if spec["model"].get(k)]), ("BPE", []))
+        odd = ("single_word", "lstrip", "rstrip", "normalized")
+        same("added_tokens", [t["content"] for t in spec["added_tokens"] if any(t.get(k) for k in odd)], [])
+
+
 @lru_cache(4)
 def load(path: str) -> str:
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        text = f.read()
+    Vocabulary.check(json.loads(text))
+    return text
 
 
 class PrefixEncoder:
@@ -289,6 +317,26 @@ def _encoded(batches: Iterable[pa.RecordBatch], encoder: TextEncoder, text: str,
         yield pa.RecordBatch.from_arrays(out, names)
 
 
+def _decode(batches: Iterable[pa.RecordBatch], spec, ids: str) -> Iterator[pa.RecordBatch]:
+    text = _encoder(spec.value).words.text
+    special = {i: t for t, i in _encoder(spec.value).vocabulary.special.items()}
+    token = lambda i: text.get(i) or special.get(i)
+    for b in batches:
+        out = [" ".join([t for i in row or () if (t := token(i)) is not None]) for row in b.column(ids).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``rows`` with ``decoded``, the text of an array of ids: their tokens, special ones too, joined by one space.
+
+    Ids that the vocabulary lacks and nulls are passed over; a null or empty array is the empty text.
+    """
+    ship(rows.sparkSession)
+    spec = rows.sparkSession.sparkContext.broadcast(load(path))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", decoded string"
+    return rows.mapInArrow(lambda it: _decode(it, spec, ids), schema)
+
+
 def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with ``ids`` also ids (array) and decoded (text).
 

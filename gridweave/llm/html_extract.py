@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from gridweave.llm._spark import ship
 from gridweave.llm._text import chunks
 
-#: Pages that a model is trained from at most.
+#: Pages that a model is trained from at most, and their characters together; words of a text that made pages hold.
 SAMPLE = 300
+SAMPLE_CHARS = 32_000_000
+PIECE = 400
 # Fixed values of the HTML standard: void elements, raw-text elements, block-level elements, what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea iframe".split())
@@ -456,11 +458,16 @@ def _known(page: Page) -> np.ndarray | None:
     return y
 
 
+def _pieces(text: str) -> list[str]:
+    words = text.split(" ")
+    return [" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
+
+
 def fit(sample: list[str], made: int = 700, seed: int = 7) -> Extractor:
     """An extractor from sample pages; an empty sample gives one that was trained on pages of a few stock words."""
     rng = np.random.default_rng(seed)
     real = [parse(h) for h in sample]
-    texts = [t.replace("", "") for p in real for _, t, _ in p.blocks if " " in t] or ["one text of a few plain words, set into pages.", "another one. it has more words, and commas, than the first one."]
+    texts = [x for p in real for _, t, _ in p.blocks if " " in t for x in _pieces(t.replace("", ""))] or ["one text of a few plain words, set into pages.", "another one. it has more words, and commas, than the first one."]
     pages: list[Page] = []
     labels: list[np.ndarray] = []
     for _ in range(made):
@@ -487,9 +494,19 @@ def fit(sample: list[str], made: int = 700, seed: int = 7) -> Extractor:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Extractor:
-    """Fits on at most ``sample`` pages, by hash order of page_id; ids are chosen first, so only these pages move."""
+    """Fits on at most ``sample`` pages, by hash order of page_id, and of these on as many as have ``SAMPLE_CHARS`` together.
+
+    Ids are chosen first, so only these pages move.
+    """
     ids = pages.filter("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     rows = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    sizes = rows.select("page_id", F.length("html").alias("n"), F.xxhash64("page_id").alias("h")).collect()  # ``sample`` rows at most
+    fits, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.h, r.page_id)):
+        total += r.n
+        if total <= SAMPLE_CHARS:
+            fits.append(r.page_id)
+    rows = rows.filter(F.col("page_id").isin(fits))
     return fit([r.html for r in sorted(rows.collect(), key=lambda r: r.page_id)])
 
 

@@ -27,7 +27,8 @@ BLANKS = " \t\n\x0b\f\r"
 
 def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """(h1, h2, rid, pos, th): a 128-bit hash of every line's key that has at least ``min_chars`` code points."""
-    lines = docs.select(*row_key(), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("pos", "line"))
+    texts = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))  # a text is hashed once, not for each line
+    lines = texts.select("rid", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     key = F.translate(F.btrim("line", F.lit(BLANKS)), UPPER, LOWER)
     return lines.withColumn("key", key).filter(F.length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "rid", "pos", "th")
 

@@ -495,6 +495,21 @@ def test_tokens_match_the_library(spark, real):
     assert bpe.encode(documents(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_ids_decode_to_the_text_of_the_library(spark, real):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    rows = [(1, [320, 49406, 5, 49407], "x"), (2, [], "x"), (3, None, "x"), (4, [10**6, 7, None], "x")]
+    rows += [(100 + r.doc_id, r.ids, "x") for r in bpe.encode(real.limit(50), queries.tokenizer_path(), ids=True).collect()]
+    got = {r.doc_id: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>, text string"), queries.tokenizer_path()).collect()}
+    assert got == {i: library.decode([x for x in ids or [] if x is not None], skip_special_tokens=False) for i, ids, _ in rows}
+
+
+def test_other_tokenizer_files_are_refused(spark):
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.encode(documents(spark, [(1, "a")]), queries.tokenizer_path("byte_bpe_50k.json")).collect()
+
+
 def test_pair_compatibility_is_that_of_merging():
     import json
 
@@ -594,6 +609,34 @@ def test_few_edited_copies_beside_a_verbatim_one(spark):
     assert len(got) == 51
 
 
+# what every operator must bear
+
+LONG = "Lorem ipsum dolor sit amet, line\n" * 60_000  # 2 MB
+HARD = [*ODD, (11, LONG), (12, LONG), (12, LONG), (None, None), (None, "a b c"), (13, "a" * 100_000)]
+
+
+def test_every_operator_bears_long_texts_and_odd_rows(spark):
+    docs = documents(spark, HARD)
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "same"), (None, "lorem ipsum dolor sit amet"), (3, None)], "item_id long, text string")
+    n = len(HARD)
+    assert lm_scoring.score(docs, labels).count() == n
+    assert quality.classify(docs, labels).count() == n
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert len(got) == n and {(r.keep_id, r.group_size) for r in got if r.doc_id in (11, 12)} == {(11, 3)}
+    lines = {(r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_bitmaps(docs, 2).collect()}
+    assert {(11, 60_001, 60_000), (12, 60_001, 60_000)} <= lines
+    words = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.drop_repeats(docs).collect()}
+    assert {(12, 360_000, 360_000), (11, 360_000, 360_000 - 6)} <= words
+    near = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert {(11, 11), (12, 11)} <= near
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(9, 1), (11, None), (12, None)}
+    tokens = bpe.encode(docs, queries.tokenizer_path()).filter("doc_id in (11, 12)").select("n_tokens", "ids_sha256").distinct().collect()
+    assert len(tokens) == 1 and tokens[0].n_tokens > 1_000_000
+    pages = documents(spark, HARD).selectExpr("doc_id AS page_id", "cast(null as string) AS url", "concat('<p>', text) AS html", "text")
+    assert html_extract.main_text(pages).count() == n
+
+
 # helpers
 
 

@@ -1,6 +1,7 @@
 """Each stage of the pipeline on its own input against brute force, and on odd tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridweave.llm import bpe, queries
@@ -55,6 +56,14 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark, sf_dir):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (5, a), (5, b), (None, a), (None, c), (6, c), (7, b + " soon")], key=str)
 
 
+def test_one_of_repeated_rows_stays(spark, sf_dir):
+    a, b = "the river froze over early that year", "a new bridge opens to walkers in spring"
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, b + " "), (3, None), (3, None), (3, "")]
+    df = documents(spark, rows).withColumn("lang", F.when(F.rand(1) < 0.5, "en"))
+    left = [(r.doc_id, r.text or "") for r in stages["near_dedup"](spark, df, sf_dir).collect()]
+    assert len(left) == 3 and (1, a) in left and (3, "") in left and sum(i is None for i, _ in left) == 1
+
+
 def test_the_whole_pipeline(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
