@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm._spark import checkpoint, complete_runs, connected_components, join_skewed, row_key, ship
@@ -126,21 +126,29 @@ def links(fps: DataFrame, limit: int = 2048) -> DataFrame:
             return out.distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:
-    """doc_id, th, fp, component_id, stays for every row; ``near_duplicates`` tells how.
+def _of_components(each: DataFrame, folded: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``each`` with component_id and stays; ``folded`` has ``first`` and n for every ``key``, ``edges`` link keys.
 
     Of a component the rows with the smallest doc_id, and of these with the smallest th, stay; nulls come last.
     """
-    each = checkpoint(fingerprints(docs, shingle))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    folded = checkpoint(each.groupBy("fp").agg(least, F.count("*").alias("n")))
-    joined = connected_components(links(folded.select("fp"), limit)).withColumnsRenamed({"node": "fp"})
-    linked = checkpoint(folded.join(joined, "fp").select("fp", "first", "component"))
+    joined = connected_components(edges).withColumnsRenamed({"node": key})
+    linked = checkpoint(folded.select(key, "first").join(joined, key).select(key, "first", "component"))
     of = linked.groupBy("component").agg(F.min("first").alias("least"))
-    named = checkpoint(folded.join(linked.join(of, "component").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("least")))
+    named = checkpoint(folded.select(key, "first", "n").join(linked.join(of, "component").select(key, "least"), key, "left").select(key, "n", F.coalesce("least", "first").alias("least")))
     total = each.count()
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
-    return join_skewed(each, named, "fp", total).select("doc_id", "th", "fp", F.col("least.doc_id").alias("component_id"), stays.alias("stays"))
+    return join_skewed(each, named, key, total).select("doc_id", "th", key, F.col("least.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+
+
+def groups(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:
+    """doc_id, th, fp, component_id, stays for every row; ``near_duplicates`` tells how."""
+    each = checkpoint(fingerprints(docs, shingle))
+    folded = checkpoint(each.groupBy("fp").agg(_first(), F.count("*").alias("n")))
+    return _of_components(each, folded, links(folded.select("fp"), limit), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2048) -> DataFrame:
