@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, chat, decontam, exact_dedup, html_extract, line_dedup, lm_scoring, quality, simhash, substring_dedup
+from gridweave.llm import bpe, chat, decontam, divergence, exact_dedup, html_extract, line_dedup, lm_scoring, merkle, packing, quality, simhash, substring_dedup
 from gridweave.llm._text import SPACE
 
 #: The tokenizer files' folder.
@@ -69,8 +69,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_quality, op3_html_extraction, op4_chat_formatting, op5_bpe, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_simhash, op10_decontamination)
+    found = (op1_lm_scoring, op2_quality, op3_html_extraction, op4_chat_formatting, op5_bpe, op6_exact_dedup, op7_line_dedup, op8_substring_dedup, op9_simhash, op10_decontamination, op11_packing, op12_divergence, op13_merkle)
     return {f.__name__: f for f in found}
 
 
@@ -82,4 +94,4 @@ FROM t WINDOW w AS (PARTITION BY s)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": lm_scoring.SQL, "op4_chat_formatting": chat.SQL, "op6_exact_dedup": EXACT_SQL, "op7_line_dedup": line_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
+    return {"op1_lm_scoring": lm_scoring.SQL, "op4_chat_formatting": chat.SQL, "op6_exact_dedup": EXACT_SQL, "op7_line_dedup": line_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL, "op12_divergence": divergence.SQL, "op13_merkle": merkle.SQL}
