@@ -16,9 +16,11 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+import os
 import re
 import unicodedata
 import zlib
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -39,6 +41,8 @@ END = 2
 GROUP_TOKENS, GROUP_PIECES = 1 << 22, 50_000
 #: Entries and characters of a worker's store of encoded parts; clearing it costs time only.
 STORE, STORE_CHARS = 800_000, 10_000_000
+#: Parts that go to the library in one text.
+TOGETHER = 200
 #: The split pattern of word_bpe_49k.json, and what it says about lower-case ASCII texts (fixed values).
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 ASCII_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")
@@ -48,6 +52,7 @@ class TextIds:
     """Ids of texts as arrays; words and their parts seen lately are kept, as bytes, four for an id."""
 
     def __init__(self, spec: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         said = json.loads(spec)
@@ -80,10 +85,13 @@ class TextIds:
         known, parts, symbols = self.words, self.parts, self.symbols
         split = {w: self._parts(w) for w in words if w not in known}
         if new := list({p for ps in split.values() for p in ps if p not in parts}):
-            encoded = self.model.encode(" ".join([p if p.isascii() and p.isprintable() else "".join([symbols[b] for b in p.encode()]) for p in new]), add_special_tokens=False)
-            raw = np.array(encoded.ids, np.uint32).tobytes()
-            cut = (np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(new) + 1)) * 4).tolist()
-            parts.update({p: raw[i:j] for p, i, j in zip(new, cut, cut[1:], strict=False)})
+            written = [p if p.isascii() and p.isprintable() else "".join([symbols[b] for b in p.encode()]) for p in new]
+            texts = [" ".join(written[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+            for i, encoded in zip(range(0, len(new), TOGETHER), self.model.encode_batch(texts, add_special_tokens=False), strict=True):
+                raw = np.array(encoded.ids, np.uint32).tobytes()
+                some = new[i : i + TOGETHER]
+                cut = (np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(some) + 1)) * 4).tolist()
+                parts.update({p: raw[i:j] for p, i, j in zip(some, cut, cut[1:], strict=False)})
         for w, ps in split.items():
             known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
         self.chars += sum(map(len, split))
@@ -147,44 +155,63 @@ PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
-    """The window, from 0 to k - 1, of each of the sizes: partial partitions merged by largest imbalance first."""
+    """The window, from 0 to k - 1, of each of the sizes: partial partitions merged by largest imbalance first.
+
+    A partial partition is its windows that hold something, fullest first. One that meets a single piece while it has an
+    empty window gets it there, which needs no sorting; so only merges of larger ones cost their length.
+    """
     n = len(sizes)
     if k == 1:
         return np.zeros(n, np.int64)
-    heap = [(-int(s), i, np.array([s], np.int64), np.array([i], np.int64)) for i, s in enumerate(sizes)]
+    heap = [(-int(s), i, [int(s)], [i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     left, right, turn = [], [], n  # a node joins two; the first n are the pieces
     while len(heap) > 1:
         _, _, a, at_a = heapq.heappop(heap)
         _, _, b, at_b = heapq.heappop(heap)
-        b, at_b = b[::-1], at_b[::-1]
-        alone = min(len(a), k - len(b))  # windows of a that meet empty ones
-        both = len(a) - alone
-        joined = np.arange(n + len(left), n + len(left) + both)
-        left += at_a[alone:].tolist()
-        right += at_b[:both].tolist()
-        sums = np.concatenate([a[:alone], a[alone:] + b[:both], b[both:]])
-        nodes = np.concatenate([at_a[:alone], joined, at_b[both:]])
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
+        if len(a) == 1:
+            a, at_a, b, at_b = b, at_b, a, at_a
+        if len(b) == 1 and len(a) < k:
+            at = len(a) if b[0] <= a[-1] else bisect(a, -b[0], key=lambda x: -x)
+            a.insert(at, b[0])
+            at_a.insert(at, at_b[0])
+            sums, nodes = a, at_a
+        else:
+            alone = min(len(a), k - len(b))  # windows of a that meet empty ones
+            both = len(a) - alone
+            b, at_b = b[::-1], at_b[::-1]
+            joined = list(range(n + len(left), n + len(left) + both))
+            left += at_a[alone:]
+            right += at_b[:both]
+            sums = np.array([*a[:alone], *(x + y for x, y in zip(a[alone:], b, strict=False)), *b[both:]], np.int64)
+            order = np.argsort(-sums, kind="stable")
+            nodes = np.array([*at_a[:alone], *joined, *at_b[both:]], np.int64)[order].tolist()
+            sums = sums[order].tolist()
         turn += 1
-        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), turn, sums, nodes))
-    window = np.zeros(n + len(left), np.int64)
-    window[heap[0][3]] = np.arange(len(heap[0][3]))
-    where = window.tolist()
+        heapq.heappush(heap, (-(sums[0] - (sums[-1] if len(sums) == k else 0)), turn, sums, nodes))
+    where = [0] * (n + len(left))
+    for window, node in enumerate(heap[0][3]):
+        where[node] = window
     for node in range(len(left) - 1, -1, -1):
         where[left[node]] = where[right[node]] = where[n + node]
     return np.array(where[:n], np.int64)
 
 
 def near_equal(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Windows of at most ``capacity`` for all sizes, and how many there are."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    """Windows of at most ``capacity`` for all sizes, and how many there are.
+
+    While a window is over the capacity, the number rises: by half of what the fullest window's distance from the mean
+    asks for, by one at least.
+    """
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
     while True:
         window = differencing(sizes, k)
-        if np.bincount(window, sizes, k).max(initial=0) <= capacity:
+        most = int(np.bincount(window, sizes, k).max(initial=0))
+        if most <= capacity:
             return window, k
-        k += 1
+        room = max(1, capacity - (most - total // k))
+        k += max(1, (-(-total // room) - k) // 2) if room > capacity // 2 else 1
 
 
 def _pack(group: pa.Table, capacity: int) -> pa.Table:
