@@ -194,7 +194,7 @@ def forest(leaves: DataFrame, part: int = PART) -> Forest:
     nodes = levels[0]
     for x in levels[1:]:
         nodes = nodes.unionByName(x)
-    reach = F.shiftleft(F.lit(1).cast("long"), F.col("level") * (FANIN.bit_length() - 1))  # leaves below a node
+    reach = F.expr(f"shiftleft(1L, level * {FANIN.bit_length() - 1})")  # leaves below a node
     roots = checkpoint(nodes.filter((reach >= F.col("n")) & ((F.col("level") == 0) | (reach / FANIN < F.col("n")))).select("tree", "n", "digest"))
     return Forest(leaves, nodes.filter(F.col("level") >= stored).select("tree", "level", "idx", "digest"), roots, part)
 
