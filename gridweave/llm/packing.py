@@ -157,8 +157,8 @@ PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window, from 0 to k - 1, of each of the sizes: partial partitions merged by largest imbalance first.
 
-    A partial partition is its windows that hold something, fullest first. One that meets a single piece while it has an
-    empty window gets it there, which needs no sorting; so only merges of larger ones cost their length.
+    A partial partition is its windows that hold something, fullest first. One that meets a single piece gets it in an
+    empty window or in its emptiest one, which needs no sorting; so only merges of larger ones cost their length.
     """
     n = len(sizes)
     if k == 1:
@@ -176,6 +176,14 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
             a.insert(at, b[0])
             at_a.insert(at, at_b[0])
             sums, nodes = a, at_a
+        elif len(b) == 1:
+            x, joined = a.pop() + b[0], n + len(left)
+            left.append(at_a.pop())
+            right.append(at_b[0])
+            at = bisect(a, -x, key=lambda y: -y)
+            a.insert(at, x)
+            at_a.insert(at, joined)
+            sums, nodes = a, at_a
         else:
             alone = min(len(a), k - len(b))  # windows of a that meet empty ones
             both = len(a) - alone
