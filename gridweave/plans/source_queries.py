@@ -87,12 +87,19 @@ def _results(spark, sf_dir):
     return base, regions, outputs
 
 
-@query("SELECT 'r:' || n_regionkey AS job_id, c_custkey, c_acctbal, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey")
+@query("SELECT 'c:' || c_custkey AS job_id, o_orderkey, o_totalprice, c_mktsegment AS segment, o_orderkey IS NULL AS missing FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def a6_load_results(spark, sf_dir):
-    base, jobs, outputs = _results(spark, sf_dir)
-    eff = jobs.select("job_id", F.lit("name").alias("k"), F.col("r_name").alias("v"))
-    got = catalog.load_results(spark, jobs, outputs, "data", base, eff, schema="c_custkey long, c_acctbal double")
-    return got.select("job_id", "c_custkey", "c_acctbal", F.col("params")["name"].alias("region"))
+    """A job for each customer, whose result is its orders; customers without orders are jobs without a file."""
+    base = shared_path(spark, "results")
+    orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("c:"), "o_custkey").alias("job"), "o_orderkey", "o_totalprice")
+    orders.repartition("job").withColumn("name", F.lit("d.csv")).write.partitionBy("job", "name").csv(base, header=True)
+    jobs = read(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("job_id"), F.lit("simple").alias("stage_type"), "c_mktsegment")
+    outputs = jobs.select("job_id", F.lit("main").alias("exe"), F.lit("data").alias("output"), F.lit("$out/name=d.csv").alias("template"))
+    at = jobs.select("job_id", F.concat(F.lit(f"{base}/job="), F.replace("job_id", F.lit(":"), F.lit("%3A"))).alias("dir"))
+    eff = jobs.select("job_id", F.lit("segment").alias("k"), F.col("c_mktsegment").alias("v"))
+    got, missing = catalog.load_results(jobs, outputs, "data", at, eff, schema="o_orderkey long, o_totalprice double")
+    none = jobs.join(missing, "job_id").select("job_id", F.lit(None).cast("long").alias("o_orderkey"), F.lit(None).cast("double").alias("o_totalprice"), F.col("c_mktsegment").alias("segment"), F.lit(True).alias("missing"))
+    return got.select("job_id", "o_orderkey", "o_totalprice", F.col("params")["segment"].alias("segment"), F.lit(False).alias("missing")).union(none)
 
 
 @query("SELECT 'r:' || r_regionkey AS job_id, 'executed' AS state, CASE WHEN r_regionkey % 2 = 1 THEN 'd.csv' ELSE 'e.csv' END AS name FROM region UNION ALL SELECT 'n:' || n_nationkey, 'not executed', NULL FROM nation")

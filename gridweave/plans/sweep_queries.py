@@ -241,6 +241,45 @@ def h3_gather(spark, sf_dir):
     return fanout.gather(done, "combine").select("job_id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), total.alias("total"))
 
 
+def _opaque(branch):
+    """Python code of a step: fails for one part in 97."""
+    if branch["l_partkey"] % 97 == 0:
+        raise ValueError(f"part {branch['l_partkey']}")
+    return branch["square"] + branch["item"] % 7 + len(branch["rows"])
+
+
+def _rolling(items):
+    """A digest that depends on the order of its branches."""
+    at = 0
+    for _, x in items:
+        at = (at * 31 + x) % 1_000_003
+    return at
+
+
+def _branches(spark, sf_dir):
+    return bound(spark, sf_dir, "branches_fx").withColumnRenamed("x", "item")
+
+
+def _coded_steps(spark, sf_dir):
+    """A column step, and code that also reads a row for each branch of a large item."""
+    more = _branches(spark, sf_dir).filter("item > 25").select("job_id", "branch_idx", "l_partkey")
+    return (fanout.Step("square", value=F.col("item") * F.col("item")), fanout.Step("out", ("square",), code=_opaque, returns="long", reads=more))
+
+
+@query("SELECT job_id, branch_idx, CASE WHEN l_partkey % 97 > 0 THEN x * x + x % 7 + CASE WHEN x > 25 THEN 1 ELSE 0 END END AS out, CASE WHEN l_partkey % 97 = 0 THEN 'ValueError: part ' || l_partkey END AS out_error FROM branches_fx", "branches_fx")
+def h2_python_step(spark, sf_dir):
+    return fanout.run_steps(_branches(spark, sf_dir), _coded_steps(spark, sf_dir)).select("job_id", "branch_idx", "out", "out_error")
+
+
+@query("""WITH g AS (SELECT job_id, count(*) AS branches, count(*) FILTER (l_partkey % 97 > 0) AS done, min(branch_idx) FILTER (l_partkey % 97 = 0) AS first_missing, list(x * x + x % 7 + CASE WHEN x > 25 THEN 1 ELSE 0 END ORDER BY branch_idx) AS v FROM branches_fx GROUP BY job_id)
+SELECT o_orderkey AS job_id, coalesce(branches, 0) AS branches, coalesce(done, 0) AS done, first_missing, first_missing IS NULL AS complete, CASE WHEN first_missing IS NULL THEN coalesce(list_reduce(v, lambda a, x: (a * 31 + x) % 1000003, 0::BIGINT), 0) END AS gathered FROM orders LEFT JOIN g ON job_id = o_orderkey""", "branches_fx")
+def h3_fan_out(spark, sf_dir):
+    """Orders scattered to their lines, code for each line, an ordered gather; orders without lines are gathered from none."""
+    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"))
+    made = fanout.FanOut(lambda _: _branches(spark, sf_dir), _coded_steps(spark, sf_dir), _rolling, "long")
+    return made.run(jobs).select("job_id", "branches", "done", "first_missing", "complete", "gathered")
+
+
 @query("SELECT job_id, count(*) AS branches, count(*) FILTER (x < 48) AS done, min(branch_idx) FILTER (x >= 48) AS first_missing, bool_and(x < 48) AS complete FROM branches_fx GROUP BY job_id", "branches_fx")
 def h4_completeness_gate(spark, sf_dir):
     return fanout.completeness_gate(bound(spark, sf_dir, "branches_fx"), F.col("x") < 48)

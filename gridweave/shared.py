@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many (narrow) rows.
 BROADCAST_ROWS = 200_000
+#: Bytes of a batch that goes to Python, but for longer single rows.
+BATCH_BYTES = 16_777_216
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,11 +40,47 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _bytes(text: str) -> int:
+    digits = "".join(c for c in text if c.isdigit() or c == "-")
+    return int(digits or 0) * {"k": 2**10, "m": 2**20, "g": 2**30}.get(text.strip().lower().removesuffix("b")[-1:], 1)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on executors whose PYTHONPATH lacks it, and batches for Python fit for whole texts.
+
+    Spark's defaults, 10,000 rows and any number of bytes a batch, are for short rows; a session that sets its own
+    numbers keeps them.
+    """
+    for key, default, own in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(BATCH_BYTES))):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now == default or default is None and (now is None or not 0 < _bytes(now) < 2**31):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_gridweave_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-package-")) / "gridweave.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "gridweave").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    context._gridweave_shipped = True
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows; it should be cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with all rows of equal keys in one partition, for code that works on whole partitions.
+
+    A plain repartition is left out where joins or aggregates below have dealt by the same keys; these may be changed
+    while they run, as nothing above them asks for their partitioning any more. A hash of the keys is always dealt anew.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def numbered(df: DataFrame, by: list[str | Column], name: str = "ord") -> DataFrame:
     """``df`` with row numbers from 0 in the order of ``by``: ranges are sorted and counted, and numbered from where the last one ended."""
     local = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())

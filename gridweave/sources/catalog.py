@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions.ids import literal
-from gridweave.sources.files import exists
 from gridweave.shared import checkpoint
+from gridweave.sources.files import find_files, read_files
 
-#: Jobs whose result files are named one by one.
-NAMED = 1000
 _INPUT = "struct<job_id:string,source_output:string,target_input:string,source:string,source_key:string,type:string,dependency_type:string,source_run:string,source_stage_filter:string>"
 _HINTS = "struct<mem:string,cpus:int,time:string,partition:string,sbatch_opts:array<string>>"
 _EXE = f"struct<path:string,inputs:array<{_INPUT}>,outputs:map<string,string>,deps:array<string>,resource_hints:{_HINTS}>"
@@ -56,16 +53,16 @@ def _tables(files: DataFrame) -> Catalog:
 def read_catalog(spark: SparkSession, folder: str, root: str = "root.json", on_missing: str = "skip") -> Catalog:
     """The root file's runs (paths relative to the folder), in order. Missing run files are skipped or, with ``error``, raise.
 
-    The root and a run may each be a folder that holds one file, as Spark writes them.
+    The root and a run may each be a folder that holds one file, as Spark writes them. Each listed path is opened as it
+    is, by tasks; so files of one name in different folders stay apart. A path listed twice counts where it comes last.
     """
     top = spark.read.schema(ROOT).json(f"{folder}/{root}", multiLine=True)
-    listed = top.first().runs or []
-    there = [r for r in listed if exists(spark, f"{folder}/{r}")]
-    if on_missing == "error" and len(there) < len(listed):
-        raise FileNotFoundError(f"missing run files: {sorted(set(listed) - set(there))}")
-    order = spark.createDataFrame(list(enumerate(there)), "ord int, file string")
-    files = spark.read.schema(RUN).json([f"{folder}/{r}" for r in there], multiLine=True).withColumn("at", F.col("_metadata.file_path")) if there else spark.createDataFrame([], RUN + ", at string")
-    out = _tables(files.join(F.broadcast(order), F.contains(F.concat("at", F.lit("/")), F.concat(F.lit("/"), "file", F.lit("/")))))
+    listed = top.select(F.posexplode("runs").alias("ord", "run_file")).groupBy("run_file").agg(F.max("ord").alias("ord"))
+    found = checkpoint(find_files(listed.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "run_file"))))
+    if on_missing == "error" and (lost := found.filter("file is null").orderBy("run_file").limit(20).collect()):
+        raise FileNotFoundError(f"missing run files: {[r.run_file for r in lost]}")
+    files = read_files(found, whole=True).select("ord", F.from_json("value", RUN).alias("r")).select("ord", "r.*")
+    out = _tables(checkpoint(files))
     out.groups = top.select(F.explode("groups").alias("group", "r")).select("group", F.explode_outer("r").alias("run"))
     return out
 
@@ -120,26 +117,50 @@ def output_paths(jobs: DataFrame, outputs: DataFrame, key: str, base: str | Data
     return _folders(jobs, base).join(found, "job_id", "left").select("job_id", F.concat("folder", F.lit("/"), "template").alias("path"))
 
 
-def load_results(spark: SparkSession, jobs: DataFrame, outputs: DataFrame, key: str, base: str, eff: DataFrame | None = None, format: str = "csv", schema: str | None = None) -> DataFrame:
-    """Rows of the same output of all jobs with job_id and, with ``eff`` (job_id, k, v), the parameter map ``params``.
+def result_files(jobs: DataFrame, outputs: DataFrame, key: str, base: str | DataFrame) -> DataFrame:
+    """(job_id, path, file, bytes) of each job's output ``key``; ``file`` and ``bytes`` are null where there is none.
 
-    Each job's own template says where its file is. For jobs without such a key it is taken as a file name. Files are
-    read as one scan for each different template: up to ``NAMED`` jobs by their paths, more by a pattern over all jobs.
+    Each job's own template says where its file is, below ``base``, a folder or a manifest (job_id, dir). For jobs without
+    such a key it is taken as a file name. A path may be a folder that holds files.
     """
-    template = F.coalesce("template", F.lit(key))
-    wanted = checkpoint(jobs.select("job_id").distinct().join(output_templates(jobs, outputs, key), "job_id", "left").select("job_id", template.alias("template")))
-    folder, out = base.rstrip("/"), None
-    for (name,) in wanted.select("template").distinct().orderBy("template").collect():  # as many as ways to name the output
-        own = wanted.filter(F.col("template") == name).select("job_id")
-        ids = [r.job_id for r in own.limit(NAMED + 1).collect()]
-        paths = [f"{folder}/{i}/out/{name}" for i in ids] if len(ids) <= NAMED else f"{folder}/*/out/{name}"
-        reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", "true")
-        rows = (reader.option("header", "true") if format == "csv" else reader).format(format).load(paths)
-        rows = rows.withColumn("job_id", F.regexp_extract(F.url_decode("_metadata.file_path"), "^.*?" + literal(folder) + "/([^/]+)/out/", 1))
-        rows = rows.join(own, "job_id")
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("no jobs to load results of")
-    if eff is None:
-        return out
-    return out.join(eff.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("params")), "job_id", "left")
+    ids = jobs.select("job_id").distinct()
+    named = ids.join(output_templates(jobs, outputs, key).dropDuplicates(["job_id"]), "job_id", "left")
+    path = F.concat("folder", F.lit("/"), F.coalesce("template", F.lit(key)))
+    return find_files(named.join(_folders(ids, base), "job_id").select("job_id", path.alias("path")))
+
+
+def load_results(jobs: DataFrame, outputs: DataFrame, key: str, base: str | DataFrame, eff: DataFrame | None = None, format: str = "csv", schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the same output of all jobs, and the jobs (job_id, path) whose file is missing.
+
+    Rows have job_id, the file's columns and, with ``eff`` (job_id, k, v), the parameter map ``params``. Tasks open the
+    files, however many jobs there are, so one job and a million give the same rows and the same missing ones.
+
+    ``format`` is csv with a header line, json (an object a line) or text. csv and json take a ``schema``; csv columns are in
+    its order. Without one, each row has ``row``, a map of column names (csv: of the file's own header) to texts, so
+    that jobs with different columns need no common schema. A record is a line. Text has ``value``.
+    """
+    if format not in ("csv", "json", "text"):
+        raise ValueError(f"results are csv, json or text, not {format}")
+    found = checkpoint(result_files(jobs, outputs, key, base))
+    lines = read_files(found).filter(F.trim("value") != "") if format != "text" else read_files(found)
+    if format == "csv" and schema:
+        parsed = lines.filter("offset > 0").select("job_id", F.from_csv("value", schema).alias("r")).select("job_id", "r.*")
+    elif format == "csv":
+        lines = checkpoint(lines.select("job_id", "file", "offset", _cells(F.col("value")).alias("cells")))
+        heads = lines.filter("offset = 0").select("file", F.col("cells").alias("names"))
+        parsed = lines.filter("offset > 0").join(heads, "file").select("job_id", F.map_from_arrays(F.slice("names", 1, F.least(F.size("names"), F.size("cells"))), F.slice("cells", 1, F.least(F.size("names"), F.size("cells")))).alias("row"))
+    elif format == "json":
+        kind = schema or "map<string,string>"
+        parsed = lines.select("job_id", F.from_json("value", kind).alias("row"))
+        parsed = parsed.select("job_id", "row.*") if schema else parsed
+    else:
+        parsed = lines.select("job_id", "value")
+    if eff is not None:
+        parsed = parsed.join(eff.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("params")), "job_id", "left")
+    return parsed, found.filter("file is null").select("job_id", "path")
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a line of CSV: plain ones, and quoted ones with doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
+    return F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import os
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions.ids import literal, sha256_hex
+from gridweave.shared import checkpoint, ship
+
+#: Bytes of a file that one task reads at a time, and files that one task looks up.
+SPLIT_BYTES, FILES_A_TASK = 64 << 20, 256
+#: Bytes of lines given on together.
+BLOCK_BYTES = 4 << 20
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -17,6 +30,99 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark takes it (nothing is escaped), and the place there; Arrow knows local, HDFS, S3,
+    GCS and Azure ones."""
+    scheme, named, rest = path.partition("://")
+    if path.startswith("file:") or not named:
+        return fs.LocalFileSystem(), os.path.abspath(re.sub("^(file:)?/+", "/", path))
+    authority, _, place = rest.partition("/")
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system, f"{root.rstrip('/')}/{place}"
+
+
+def _found(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The rows with ``file`` and ``bytes`` for each file that their path names; both null where there is none."""
+    for batch in batches:
+        at, file, size = [], [], []
+        for i, p in enumerate(batch.column(path).to_pylist()):
+            held = []
+            if p is not None:
+                system, place = _opened(p)
+                info = system.get_file_info(place)
+                if info.type == fs.FileType.Directory:  # as Spark writes what is one file to others
+                    held = [x for x in system.get_file_info(fs.FileSelector(place)) if x.is_file and x.base_name[0] not in "._"]
+                elif info.is_file:
+                    held = [info]
+            for x in sorted(held, key=lambda x: x.path):
+                at, file, size = [*at, i], [*file, p if len(held) == 1 and x.path == place else f"{p.rstrip('/')}/{x.base_name}"], [*size, x.size]
+            if not held:
+                at, file, size = [*at, i], [*file, None], [*size, None]
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(file, pa.string()), pa.array(size, pa.int64())], [*batch.schema.names, "file", "bytes"])
+
+
+def _schema(df: DataFrame, more: str) -> str:
+    return "".join(f"`{n}` {t}, " for n, t in df.dtypes) + more
+
+
+def find_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``paths`` with ``file`` and ``bytes``: a row for each file that a row's path names, itself or the files of a folder.
+
+    A path without a file has one row with nulls, as has a null path. Tasks look files up, some hundreds each; the
+    driver lists none.
+    """
+    ship(paths.sparkSession)
+    kept = checkpoint(paths)
+    tasks = max(1, -(-kept.count() // FILES_A_TASK))
+    return kept.repartition(tasks).mapInArrow(lambda it: _found(it, path), _schema(paths, "file string, bytes long"))
+
+
+def _lines(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, (file, start, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "__start", "__end")), strict=True)):
+            system, place = _opened(file)
+            with io.BufferedReader(system.open_input_file(place), 1 << 20) as f:
+                if whole:
+                    yield _with(batch, i, [0], [f.read().decode("utf-8", "replace")])
+                    continue
+                f.seek(start)
+                if start:  # the line that began before is the last task's, as is one that begins right here
+                    f.seek(start - 1)
+                    start += len(f.readline()) - 1
+                at, offsets, values, size = start, [], [], 0
+                while at < end and (line := f.readline()):
+                    offsets.append(at)
+                    values.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+                    at, size = at + len(line), size + len(line)
+                    if size > BLOCK_BYTES:
+                        yield _with(batch, i, offsets, values)
+                        offsets, values, size = [], [], 0
+                if offsets:
+                    yield _with(batch, i, offsets, values)
+
+
+def _with(batch: pa.RecordBatch, i: int, offsets: list[int], values: list[str]) -> pa.RecordBatch:
+    row = batch.drop_columns(["__start", "__end"])
+    at = pa.array([i] * len(offsets), pa.int64())
+    return pa.RecordBatch.from_arrays([*(c.take(at) for c in row.columns), pa.array(offsets, pa.int64()), pa.array(values, pa.string())], [*row.schema.names, "offset", "value"])
+
+
+def read_files(files: DataFrame, whole: bool = False) -> DataFrame:
+    """The lines of files that ``find_files`` has found, beside its columns: ``offset``, the line's byte in its file, and
+    ``value``; with ``whole`` a row for each file, from byte 0.
+
+    Files are dealt out among tasks, large ones in splits of ``SPLIT_BYTES``. Bytes that are no UTF-8 become U+FFFD.
+    """
+    ship(files.sparkSession)
+    there = files.filter("file is not null")
+    step = F.lit(SPLIT_BYTES)
+    starts = F.array(F.lit(0).cast("long")) if whole else F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), step.cast("long"))
+    split = checkpoint(there.withColumn("__start", F.explode(starts)).withColumn("__end", F.col("bytes") if whole else F.least("bytes", F.col("__start") + step)))
+    size, n = split.agg(F.coalesce(F.sum(F.col("__end") - F.col("__start")), F.lit(0)), F.count("*")).first()
+    tasks = max(1, -(-size // SPLIT_BYTES), -(-n // FILES_A_TASK))
+    return split.repartition(tasks).mapInArrow(lambda it: _lines(it, whole), _schema(files, "offset long, value string"))
+
+
 def scan_paths(spark: SparkSession, folder: str, kind: str = "any", match: str = ".*") -> DataFrame:
     """(path, kind) directly inside a folder, by path; ``match`` covers the whole name. Only this level is listed."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -81,6 +81,73 @@ def test_golden_sweep(spark):
     assert again.results["A"].count() == done.results["A"].count()
 
 
+def test_python_steps_and_failing_branches(spark):
+    jobs = spark.createDataFrame([("a", [1, 2, 0, None]), ("b", []), ("c", None), ("d", [5])], "job_id string, items array<long>")
+    reads = spark.createDataFrame([("a", 0, "x"), ("a", 0, "y"), ("d", 0, None), (None, 0, "z")], "job_id string, branch_idx int, word string")
+    steps = (
+        fanout.Step("inv", code=lambda b: 10 // b["item"], returns="long"),
+        fanout.Step("words", code=lambda b: sorted(str(r["word"]) for r in b["rows"]), returns="array<string>", reads=reads),
+        fanout.Step("twice", rows=lambda df: df.select("job_id", "branch_idx", (F.col("inv") * 2).alias("twice"))),
+        fanout.Step("out", ("inv", "words", "twice"), code=lambda b: f"{b['inv']}{b['words']}{b['twice']}{sorted(b)}"),
+    )
+    got = {(r.job_id, r.branch_idx): r for r in fanout.run_steps(fanout.scatter(jobs, "items"), steps).collect()}
+    cols = "['branch_idx', 'inv', 'item', 'job_id', 'twice', 'words']"
+    assert got["a", 0].out == f"10['x', 'y']20{cols}" and got["a", 1].out == f"5[]10{cols}" and got["d", 0].out == f"2['None']4{cols}"
+    assert got["a", 2].inv is None and got["a", 2].inv_error.startswith("ZeroDivisionError") and got["a", 2].out_error == "not run: inv failed"
+    assert got["a", 3].inv_error.startswith("TypeError") and len(got) == 5
+    wrong = fanout.run_steps(fanout.scatter(jobs, "items"), (fanout.Step("v", code=lambda b: "text" if b["item"] == 1 else 7, returns="long"),))
+    assert {(r.branch_idx, r.v, r.v_error is None) for r in wrong.filter("job_id = 'a'").collect()} == {(0, None, False), (1, 7, True), (2, 7, True), (3, 7, True)}
+
+
+def test_fan_out_gathers_complete_jobs_in_order(spark):
+    jobs = spark.createDataFrame([("a", [3, 1, 2]), ("b", []), ("c", None), ("d", [5, 0]), ("e", [9])], "job_id string, items array<long>")
+    steps = (fanout.Step("inv", code=lambda b: 60 // b["item"], returns="long"),)
+    listed = lambda items: ",".join(f"{i}:{x}" for i, x in items)
+    made = fanout.FanOut("items", steps, listed, "string").run(jobs)
+    assert {(r.job_id, r.branches, r.done, r.first_missing, r.complete, r.gathered) for r in made.collect()} == {("a", 3, 3, None, True, "0:20,1:60,2:30"), ("b", 0, 0, None, True, ""), ("c", 0, 0, None, True, ""), ("d", 2, 1, 1, False, None), ("e", 1, 1, None, True, "0:6")}
+
+    def bad(items):
+        first = next(items)[1]
+        if first == 6:
+            raise KeyError("e")
+        return str(first)
+
+    got = {r.job_id: (r.gathered, r.error) for r in fanout.FanOut("items", steps, bad, "string").run(jobs).collect()}
+    assert got["a"] == ("20", None) and got["e"] == (None, "KeyError: 'e'") and got["d"] == (None, None) and got["b"][1].startswith("StopIteration")
+
+
+def test_a_long_job_streams_and_merges(spark):
+    n = 300_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("job_id"), F.col("id").alias("branch_idx"), (F.col("id") % 1000).alias("x")).union(spark.createDataFrame([(2, 5, 7), (2, 3, 8), (None, 0, 4)], "job_id long, branch_idx long, x long")).repartition(5)
+
+    def check(items):
+        last, total = -1, 0
+        for i, x in items:
+            assert i > last
+            last, total = i, total * 3 % 1_000_003 + x
+        return total
+
+    def part(items):
+        items = list(items)
+        return [check(iter(items)), len(items)]
+
+    def join(states):
+        total = 0
+        for _, (t, k) in states:
+            total = total * pow(3, k, 1_000_003) + t
+        return total % 1_000_003
+
+    want = {1: 0, 2: (8 * 3 + 7), None: 4}
+    for i in range(n):
+        want[1] = want[1] * 3 % 1_000_003 + i % 1000
+    streamed = {r.job_id: r.gathered % 1_000_003 for r in fanout.gather_stream(rows, "x", check, "long").collect()}
+    assert streamed == {k: v % 1_000_003 for k, v in want.items()}
+    merged = {r.job_id: r.gathered for r in fanout.gather_merge(rows, "x", part, "array<long>", join, "long", piece=70_000).collect()}
+    assert merged == {k: v % 1_000_003 for k, v in want.items()}
+    empty = rows.filter("false")
+    assert fanout.gather_stream(empty, "x", check, "long").count() == 0
+
+
 def test_a_new_version_invalidates_what_follows(spark):
     g = grid.expand_grid(spark, [grid.axis_list("p", [1, 2])])
     old = identity.propagate_keys(g, [Stage("a", params={"p": 0}), Stage("b", deps=("a",))])
@@ -224,6 +291,57 @@ def write(path, text):
     path.write_text(text)
 
 
+def test_run_files_of_one_name_stay_apart(spark, tmp_path):
+    job = {"name": "n", "stage_type": "simple", "executables": {}}
+    write(tmp_path / "a.json", json.dumps({"name": "ra", "type": "run", "jobs": {"j1": job, "j2": job}}))
+    write(tmp_path / "sub/a.json", json.dumps({"name": "rb", "type": "run", "jobs": {"j2": job}}))
+    write(tmp_path / "sub/x+y z%20é/a.json", json.dumps({"name": "rc", "type": "run", "jobs": {"j3": job}}))
+    write(tmp_path / "root.json", json.dumps({"runs": ["sub/a.json", "a.json", "sub/x+y z%20é/a.json", "gone/a.json"], "groups": {}}))
+    for folder in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        c = catalog.read_catalog(spark, folder)
+        assert rows(c.runs.select("run")) == [("ra",), ("rb",), ("rc",)]
+        assert rows(c.run_jobs) == [("ra", "j1", 1), ("ra", "j2", 1), ("rb", "j2", 0), ("rc", "j3", 2)]
+        assert {(r.job_id, r.run) for r in lookup.run_of(c.run_jobs.select("job_id").distinct(), c.run_jobs).collect()} == {("j1", "ra"), ("j2", "ra"), ("j3", "rc")}
+    write(tmp_path / "root.json", json.dumps({"runs": [], "groups": {}}))
+    assert catalog.read_catalog(spark, str(tmp_path)).jobs.count() == 0
+
+
+def test_results_do_not_depend_on_the_number_of_jobs(spark, tmp_path, monkeypatch):
+    n = 1500
+    for i in range(n):
+        if i % 10:
+            write(tmp_path / f"j{i}/out/d.csv", "x,y\n" + "".join(f"{k},v{i}\n" for k in range(i % 3)))
+    jobs = spark.createDataFrame([(f"j{i}", "simple") for i in range(n)], "job_id string, stage_type string")
+    outputs = spark.createDataFrame([(f"j{i}", "main", "data", "$out/d.csv") for i in range(n)], "job_id string, exe string, output string, template string")
+    for some in (jobs, jobs.filter("job_id in ('j10', 'j11', 'j14')")):
+        ids = {int(r.job_id[1:]) for r in some.collect()}
+        for schema in ("x int, y string", None):
+            got, missing = catalog.load_results(some, outputs, "data", str(tmp_path), schema=schema)
+            assert {r.job_id for r in missing.collect()} == {f"j{i}" for i in ids if i % 10 == 0}
+            cells = {(r.job_id, r.x, r.y) if schema else (r.job_id, int(r.row["x"]), r.row["y"]) for r in got.collect()}
+            assert cells == {(f"j{i}", k, f"v{i}") for i in ids if i % 10 for k in range(i % 3)}
+
+
+def test_large_and_odd_files_are_read_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SPLIT_BYTES", 100)
+    lines = [f"{i}" * (i % 40) for i in range(300)]
+    write(tmp_path / "big/out/r.txt", "\n".join(lines))
+    write(tmp_path / "dir/out/r.txt/part-1", "b\r\nc\n")
+    write(tmp_path / "dir/out/r.txt/part-0", "a\n")
+    write(tmp_path / "dir/out/r.txt/_SUCCESS", "")
+    write(tmp_path / "none/out/r.txt", "")
+    write(tmp_path / "q/out/r.csv", 'k,"a ""b"", c",d\n1,"x, y",\n2,z,"q"\n')
+    write(tmp_path / "q/out/r.json", '{"a": 1}\n\n{"b": "x"}\n')
+    jobs = spark.createDataFrame([(j, "simple") for j in ("big", "dir", "none", "gone", None)], "job_id string, stage_type string")
+    nothing = spark.createDataFrame([], "job_id string, exe string, output string, template string")
+    got, missing = catalog.load_results(jobs, nothing, "r.txt", str(tmp_path), format="text")
+    assert sorted(r.value for r in got.filter("job_id = 'big'").collect()) == sorted(lines)
+    assert rows(got.filter("job_id <> 'big'")) == [("dir", "a"), ("dir", "b"), ("dir", "c")] and {r.job_id for r in missing.collect()} == {"gone"}
+    one = spark.createDataFrame([("q", "simple")], "job_id string, stage_type string")
+    assert [r.row for r in catalog.load_results(one, nothing, "r.csv", str(tmp_path))[0].collect()] == [{"k": "1", 'a "b", c': "x, y", "d": ""}, {"k": "2", 'a "b", c': "z", "d": "q"}]
+    assert rows(catalog.load_results(one, nothing, "r.json", str(tmp_path), format="json", schema="a int, b string")[0]) == [("q", 1, None), ("q", None, "x")]
+
+
 def test_catalog_and_results(spark, tmp_path):
     job = lambda name, p, deps=(): {"name": name, "stage_type": "simple", "params": p, "executables": {"main": {"path": "x", "inputs": [{"job_id": d, "target_input": "i"} for d in deps], "outputs": {"data": "$out/d.csv"}}}}
     write(tmp_path / "runs/r1.json", json.dumps({"name": "r1", "type": "run", "dependencies": {}, "jobs": {"j1": job("a", {"n": "1"}), "j2": job("b", {}, ["j1"])}}))
@@ -237,9 +355,9 @@ def test_catalog_and_results(spark, tmp_path):
     for j in ("j1", "j2"):
         write(tmp_path / f"out/{j}/out/d.csv", f"x,y\n1,{j}\n2,{j}\n")
     eff = lineage.inherit_attributes(c.jobs, c.edges, c.jobs.select("job_id", F.explode("params").alias("k", "v")))
-    got = catalog.load_results(spark, c.jobs, c.outputs, "data", str(tmp_path / "out"), eff)
-    assert {(r.job_id, r.y, r.params["n"]) for r in got.collect()} == {("j1", "j1", "1"), ("j2", "j2", "2")} and got.count() == 4
-    assert catalog.load_results(spark, c.jobs, c.outputs, "d.csv", str(tmp_path / "out")).count() == 4
+    got, missing = catalog.load_results(c.jobs, c.outputs, "data", str(tmp_path / "out"), eff)
+    assert {(r.job_id, r.row["y"], r.params["n"]) for r in got.collect()} == {("j1", "j1", "1"), ("j2", "j2", "2")} and got.count() == 4
+    assert missing.count() == 0 and catalog.load_results(c.jobs, c.outputs, "d.csv", str(tmp_path / "out"), schema="x int, y string")[0].count() == 4
     catalog.write_catalog(c.jobs.union(c.jobs), str(tmp_path / "written"))
     assert spark.read.parquet(str(tmp_path / "written/jobs")).count() == 2
     catalog.write_catalog(c.jobs, str(tmp_path / "written2"), spark.createDataFrame([("r1", "unknown_run", None)], "run string, dep_run string, dep_type string").filter("false"))
