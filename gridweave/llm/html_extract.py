@@ -17,7 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -39,11 +39,13 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style title textarea iframe".split())
 IN_HEAD = RAW | frozenset("base basefont bgsound link meta noscript template noframes".split())
 #: Drawings, inert parts and the options of forms: gone with all inside, if they are closed.
-SKIPPED = frozenset("svg template select datalist".split())
+SKIPPED = frozenset("svg template datalist".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label".split())
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _CLOSE_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "label", "button", "legend", "html", "body"}
 _WALLS = frozenset("table ul ol dl td th html body".split())
+_SELECT_END = re.compile(r"(</select\b[^>]*>)|<select\b|</form\b", re.I)
+_BLOCK_START = re.compile(rf"<(?:{'|'.join(sorted(BLOCKS - {'hr'}, key=len, reverse=True))})\b", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -91,11 +93,23 @@ def _behind(html: str, tag: str, at: int) -> int:
     return at
 
 
+def _select_end(html: str, at: int) -> int:
+    """Where a select that was opened before ``at`` ends: at its end tag, or, if another select, the form's end or the
+    page's end comes before that, there or where a block-level element begins."""
+    border = _SELECT_END.search(html, at)
+    if border and border[1]:
+        return border.end()
+    stop = border.start() if border else len(html)
+    block = _BLOCK_START.search(html, at, stop)
+    return block.start() if block else stop
+
+
 def parse(html: str) -> Page:
     """The page's nodes and blocks. Scripts, styles, comments, markup and the head are gone; unclosed tags are closed.
 
     A head ends at the first tag or text that cannot stand in it. Raw text (script, style, ...) without an end tag goes to
-    the page's end, as browsers read it; a drawing or a select without one hides nothing. What other elements hold for
+    the page's end, as browsers read it; a drawing without one hides nothing; a select without one ends at the next select,
+    at the form's end or where a block-level element begins. What other elements hold for
     readers without them (math, object, audio, video, canvas, noscript) is text.
     """
     nodes, blocks = [Node("html", -1, 0, ())], []
@@ -103,7 +117,9 @@ def parse(html: str) -> Page:
     text: list[str] = []
     linked = links = 0
     head = False
-    opened: Counter = Counter()  # open elements by tag, so that no end tag without a start tag searches the stack
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack of open elements by tag, so that none is searched for
+    walls: list[int] = []  # and of those that end tags of inline elements do not reach beyond
+    blocky: list[int] = []  # and of block-level ones
 
     def flush() -> None:
         nonlocal linked
@@ -131,8 +147,19 @@ def parse(html: str) -> Page:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            opened[tag] -= 1
             stack.pop()
+            for places in (opened[tag], walls, blocky):
+                if places and places[-1] == len(stack):
+                    places.pop()
+
+    def push(tag: str, node: int) -> None:
+        for places in (opened[tag], *[walls] * (tag in _WALLS), *[blocky] * (tag in BLOCKS)):
+            places.append(len(stack))
+        stack.append((tag, node))
+
+    def last(tags) -> int:
+        """The place of the nearest open element of these tags, 0 if there is none."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
 
     at, end = 0, len(html)
     unclosed: set[str] = set()
@@ -154,12 +181,8 @@ def parse(html: str) -> Page:
                 flush()
             if not opened[tag]:
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][0] in _WALLS and tag not in BLOCKS:
-                    break
+            if tag in BLOCKS or not walls or walls[-1] <= opened[tag][-1]:
+                pop(opened[tag][-1])
             continue
         if tag == "head":
             head = True
@@ -169,6 +192,9 @@ def parse(html: str) -> Page:
             close = _closing(tag).search(html, at)
             at = end if close is None else close.end()
             continue
+        if tag == "select":
+            at = _select_end(html, at)
+            continue
         if tag in SKIPPED:
             if not m[3].endswith("/") and tag not in unclosed:
                 behind = _behind(html, tag, at)
@@ -181,20 +207,10 @@ def parse(html: str) -> Page:
             continue
         if tag in VOID and tag != "hr":
             continue
-        if tag in _CLOSE_P and opened["p"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        if tag in CLOSED_BY and any(opened[t] for t in CLOSED_BY[tag]):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSED_BY[tag]:
-                    pop(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table"):
-                    break
+        if tag in _CLOSE_P and opened["p"] and (not blocky or blocky[-1] <= opened["p"][-1]):
+            pop(opened["p"][-1])
+        if tag in CLOSED_BY and (to := last(CLOSED_BY[tag])) and to >= last(("ul", "ol", "dl", "table")):
+            pop(to)
         if tag in BLOCKS:
             flush()
             if tag == "hr" or tag == "html":
@@ -202,12 +218,10 @@ def parse(html: str) -> Page:
             parent = stack[-1][1]
             nodes[parent].children.append(len(nodes))
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, _tokens(m[3])))
-            stack.append((tag, len(nodes) - 1))
-            opened[tag] += 1
+            push(tag, len(nodes) - 1)
         elif not (m[3].endswith("/") and opened["math"]):  # an empty element of a formula
             links += tag == "a"
-            stack.append((tag, stack[-1][1]))
-            opened[tag] += 1
+            push(tag, stack[-1][1])
     flush()
     return Page(nodes, blocks)
 

@@ -184,20 +184,25 @@ def _matrix(texts: list[bytes]) -> np.ndarray:
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = _matrix(raw(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("quality"), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(x.shape[1]))], ["quality", *FEATURES])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), b.column("quality"), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(x.shape[1]))], ["id", "th", "quality", *FEATURES])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
     """Fits on labelled rows of ``docs`` whose crc32(doc_id as text) mod 4 is not 2, ``sample`` of them at most.
 
-    Only the sample's ids (a bounded number) are broadcast and only their measured features reach the driver. Labels
-    that are null, or whose id is null or missing in ``docs``, teach nothing; of repeated labels each counts.
+    Only the sample's ids (a bounded number) are broadcast, and only the measured features of ``sample`` rows reach the
+    driver, however many rows share an id. Labels that are null, or whose id is null or missing in ``docs``, teach
+    nothing; of repeated labels each counts, of rows with one id and one text the first.
     """
     ship(docs.sparkSession)
     learn = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("double").alias("quality"))
     learn = learn.filter(F.crc32(F.col("__id").cast("string")) % 4 != 2).orderBy(F.xxhash64("__id"), "__id", "quality").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(learn), "__id").select("text", "quality")
-    got = rows.mapInArrow(_measured, "quality double, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    met = rows.join(F.broadcast(learn), "__id").select(F.col("__id").alias("id"), F.xxhash64("text").alias("th"), "text", "quality")
+    seen = met.mapInArrow(_measured, "id long, th long, quality double, " + ", ".join(f"{f} double" for f in FEATURES)).withColumn("__of", F.xxhash64("id", "th"))
+    once = seen.join(F.broadcast(learn.groupBy(F.col("__id").alias("id"), "quality").agg(F.count("*").alias("times"))), ["id", "quality"])
+    once = once.dropDuplicates(["id", "th", "quality"]).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    got = once.orderBy("__of", "id", "th", "quality").limit(sample).select("quality", *FEATURES).toArrow()
     table = np.stack([c.to_numpy() for c in got.columns], axis=1) if got.num_rows else np.zeros((0, len(FEATURES) + 1))
     table = table[np.lexsort(table.T)]  # the same fit for any order of the rows
     return fit(table[:, 1:], table[:, 0])

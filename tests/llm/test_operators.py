@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -609,6 +610,37 @@ def test_few_edited_copies_beside_a_verbatim_one(spark):
     assert len(got) == 51
 
 
+def test_parsing_is_linear_under_walls():
+    began = time.perf_counter()
+    for html in ("<div><b><ul>" + "<i>" * 60_000 + "</b>" * 60_000, "<ul>" + "<li>" * 60_000, "<div>" * 3000 + "<p>" * 60_000, "<select><option>" * 60_000, "<table><p>" + "<b></p>" * 60_000):
+        html_extract.parse(html + "text")
+    assert time.perf_counter() - began < 30  # a walk of the stack for each tag would take most of an hour
+
+
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<select><option>a</option><p>one</p><select><option>b</option></select><p>two</p>", ["one", "two"]),
+        ("<form><select><option>a</form><p>x</p>", ["x"]),
+        ("<select><option><div>a</div></select>b", ["b"]),
+        ("<p>q</p><select><option>a", ["q"]),
+        ("<SELECT><option>a</SELECT >b<select>c</select>", ["b"]),
+    ],
+)
+def test_selects_end_as_in_browsers(html, texts):
+    assert [b[1] for b in html_extract.parse(html).blocks] == texts
+
+
+def test_a_labelled_id_of_many_rows_does_not_reach_the_driver(spark):
+    good, bad = (f"{w} sentence of some length, with words and a stop. " * 20 for w in ("Good", "bad bad"))
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit(good), (F.col("id") % 5000).cast("string")).alias("text"))
+    rows = rows.union(documents(spark, [(3, bad), (3, bad)]).select("doc_id", "text"))
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(rows, labels, sample=500)
+    assert model.single and np.isfinite(model.base)
+    assert quality.train(rows, labels, sample=100_000).base == pytest.approx(np.log(5001 / 2))  # 5,000 different rows of 1, one of 3
+
+
 # what every operator must bear
 
 LONG = "Lorem ipsum dolor sit amet, line\n" * 60_000  # 2 MB
