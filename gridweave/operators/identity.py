@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.ids import canonical_params, content_id, sha256_hex
+from gridweave.shared import checkpoint, small
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,42 @@ def job_key(stage: Stage, params_json: Column, deps: Sequence[Column]) -> Column
     return F.concat(content_id(*fields), F.lit(f"-{stage.name}-{stage.version}"))
 
 
+def key_tree(keys: DataFrame, key: str, order: str = "combo_id", block: int = 4096) -> list[DataFrame]:
+    """Levels (at, digest) of a Merkle tree over a run's keys in flat-index order: a node is the digest of the nodes at
+    ``block`` consecutive places below it, the root is alone in the last level. A row never holds more than a block."""
+    if block < 2:
+        raise ValueError(f"a node has two children at least, not {block}")
+    digest = sha256_hex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), ":"))
+    level, levels = keys.select(F.col(order).cast("long").alias("at"), F.col(key).alias("digest")), []
+    while not levels or levels[-1].limit(2).count() > 1:
+        level = checkpoint(level.groupBy(F.expr(f"at div {block}").alias("up")).agg(digest.alias("digest")).select(F.col("up").alias("at"), "digest"))
+        levels.append(level)
+    return levels
+
+
 def run_digest(keys: DataFrame, key: str, order: str = "combo_id", block: int = 4096) -> DataFrame:
-    """One digest of a run's keys: of the digests of its blocks in flat-index order."""
-    blocks = keys.groupBy(F.floor(F.col(order) / block).alias("block")).agg(sha256_hex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, key))), lambda x: x[key]), ":")).alias("digest"))
-    return blocks.agg(sha256_hex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), ":")).alias("run_digest"))
+    """One digest of a run's keys, the root of ``key_tree``: one row (run_digest), null for a run without keys."""
+    return key_tree(keys, key, order, block)[-1].agg(F.max("digest").alias("run_digest"))
+
+
+def changed_keys(old: DataFrame, new: DataFrame, key: str, order: str = "combo_id", block: int = 4096, trees: tuple[list[DataFrame], list[DataFrame]] | None = None) -> DataFrame:
+    """(at, old, new) where two runs' keys differ or one has none; only blocks whose digests differ are compared.
+
+    ``trees`` are both runs' ``key_tree`` with this ``block``, if they are kept; from the root down, a level is joined for
+    the nodes whose parents differ only.
+    """
+    a, b = trees or (key_tree(old, key, order, block), key_tree(new, key, order, block))
+    differ = None
+    for i in range(max(len(a), len(b)) - 1, -1, -1):
+        sides = [t[i].select("at", F.col("digest").alias(n)) if i < len(t) else None for t, n in ((a, "old"), (b, "new"))]
+        if differ is not None:
+            sides = [s if s is None else s.withColumn("up", F.expr(f"at div {block}")).join(small(differ), "up", "left_semi").drop("up") for s in sides]
+        if None in sides:  # one tree is higher: all below it may differ
+            differ = checkpoint(next(s for s in sides if s is not None).select(F.col("at").alias("up")))
+            continue
+        differ = checkpoint(sides[0].join(sides[1], "at", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new"))).select(F.col("at").alias("up")))
+    rows = [df.select(F.col(order).cast("long").alias("at"), F.col(key).alias(n)).withColumn("up", F.expr(f"at div {block}")).join(small(differ), "up", "left_semi").drop("up") for df, n in ((old, "old"), (new, "new"))]
+    return rows[0].join(rows[1], "at", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
 
 
 def propagate_keys(grid: DataFrame, stages: Sequence[Stage], upstream_runs: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.sources.files import exists
+from gridweave.shared import small
+from gridweave.sources.files import create_new, exists, read_text, write_text
 
 RECORD = "id string, s string, at long"
 
@@ -25,28 +26,42 @@ def split_records(lines: DataFrame, line: str = "value") -> tuple[DataFrame, Dat
 
 
 def read_completions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(seq, job_id, s) and broken lines of a log, a file or a folder of appended files; None where there is no log, which
-    is not an empty log.
+    """(seq, job_id, s) and broken lines of a log, a file or a folder; None where there is no log, which is not an empty log.
 
-    seq orders records by the time of their append, which ``append_completions`` writes into them and which is the
-    file's own where it is missing; then by file, by the split of the file, and by the row in the split.
+    seq orders records. What ``append_completions`` has written comes in the order of its commits; folders without a
+    commit are appends that did not end and are passed over. Files of others in the folder come before, by the time that
+    their records tell as ``at`` or else by the file's own. Then by file, by the split of the file, by the row in the split.
     """
     if not exists(spark, path):
         return None
+    place = {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()}
+    order = lambda n, at: F.struct(n.alias("commit"), at.alias("at"), *(c.alias(k) for k, c in place.items())).alias("seq")
     time = F.coalesce(parsed_records(F.col("value"))["at"], F.unix_micros("_metadata.file_modification_time"))
-    seq = F.struct(time.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    return split_records(spark.read.text(path).select("value", seq.alias("seq")))
-
-
-def append_completions(df: DataFrame, path: str) -> None:
-    """One JSON line for each (job_id, s), with the time of the append in microseconds, later than any before it here.
-
-    Records of one append that concern one job should be one record, as nothing orders them.
+    lines = spark.read.text(path).select("value", order(F.lit(-1).cast("long"), time))
+    commits = f"{path.rstrip('/')}/commits"
+    if exists(spark, commits):
+        done = spark.read.text(f"{commits}/*").select(F.col("value").alias("folder"), F.regexp_extract("_metadata.file_path", "([0-9]+)$", 1).cast("long").alias("n"))
+        data = spark.read.text(f"{path.rstrip('/')}/data-*").select("value", F.regexp_extract("_metadata.file_path", "/(data-[0-9a-f]+)/[^/]+$", 1).alias("folder"), order(F.lit(0).cast("long"), F.lit(0).cast("long")))
+        lines = lines.union(data.join(small(done), "folder").select("value", F.col("seq").withField("commit", F.col("n")).alias("seq")))
+    return split_records(lines)
+
+
+def append_completions(df: DataFrame, path: str) -> int:
+    """Appends one JSON line for each (job_id, s) to a log, and gives the append's place in it.
+
+    The lines are written to a folder of their own; then the next number's commit file, which names the folder, is made
+    if it is not there, and if another writer has made it, the one after. So commits are in one order whoever writes, an
+    append costs the same whatever the log holds, and one that fails leaves nothing that is read. Records of one append
+    that concern one job should be one record, as nothing orders them.
     """
-    before = read_completions(df.sparkSession, path)
-    last = before[0].agg(F.max("seq.at")).first()[0] if before else None
-    now = max(time.time_ns() // 1000, (last or 0) + 1)
-    df.select(F.col("job_id").alias("id"), "s", F.lit(now).alias("at")).write.mode("append").json(path)
+    spark, base = df.sparkSession, path.rstrip("/")
+    folder = f"data-{uuid.uuid4().hex}"
+    df.select(F.col("job_id").alias("id"), "s").write.json(f"{base}/{folder}")
+    n = int(read_text(spark, f"{base}/_last") or 0) + 1  # where to begin; it may be behind
+    while not create_new(spark, f"{base}/commits/{n:020d}", folder):
+        n += 1
+    write_text(spark, f"{base}/_last", str(n))
+    return n
 
 
 def scan_markers(spark: SparkSession, outputs: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import io
 import os
 import re
+import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,59 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    system, at = _at(spark, path)
+    if not system.exists(at):
+        return None
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    system, at = _at(spark, path)
+    out = system.create(at, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file that is whole as soon as it is there, unless there is one: True if it was made.
+
+    A local file is linked to its place. Other file systems make a file only where there is none in one step.
+    """
+    system, at = _at(spark, path)
+    if system.getUri().getScheme() == "file":
+        place = Path(at.toUri().getPath())
+        place.parent.mkdir(parents=True, exist_ok=True)
+        draft = place.parent / f".{uuid.uuid4().hex}"
+        draft.write_text(text)
+        try:
+            os.link(draft, place)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            draft.unlink()
+    try:
+        write_text(spark, path, text, overwrite=False)
+        return True
+    except Py4JJavaError:
+        if not system.exists(at):
+            raise
+        return False
+
+
 def _listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 

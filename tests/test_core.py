@@ -153,11 +153,24 @@ def test_a_new_version_invalidates_what_follows(spark):
     old = identity.propagate_keys(g, [Stage("a", params={"p": 0}), Stage("b", deps=("a",))])
     new = identity.propagate_keys(g, [Stage("a", "2.0", {"p": 0}), Stage("b", deps=("a",))])
     assert old.join(new, "key_b").count() == 0 and old.repartition(3).join(old.select("key_a"), "key_a").count() == 2
-    digest = identity.run_digest(old, "key_b", block=1)
+    digest = identity.run_digest(old, "key_b", block=2)
     linked = identity.propagate_keys(g, [Stage("c")], {"c": digest})
     assert linked.select("key_c").distinct().count() == 1
 
 
+def test_trees_of_keys_find_what_changed(spark):
+    old = spark.range(5000).select(F.col("id").alias("combo_id"), F.concat(F.lit("k"), "id").alias("key"))
+    new = old.filter("combo_id <> 77").withColumn("key", F.when(F.col("combo_id").isin(3, 4000), "x").otherwise(F.col("key"))).union(spark.createDataFrame([(9000, "more")], "combo_id long, key string"))
+    for block in (7, 4096):
+        roots = [identity.run_digest(df.repartition(5), "key", block=block).first()[0] for df in (old, old, new)]
+        assert roots[0] == roots[1] != roots[2]
+        assert rows(identity.changed_keys(old, new, "key", block=block)) == [(3, "k3", "x"), (4000, "k4000", "x"), (77, "k77", None), (9000, None, "more")]
+        assert identity.changed_keys(old, old, "key", block=block).count() == 0
+    assert identity.run_digest(old.filter("false"), "key").first()[0] is None
+    with pytest.raises(ValueError, match="two children"):
+        identity.key_tree(old, "key", block=1)
+
+
 EDGES = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "x")]
 
 
@@ -338,7 +351,7 @@ def test_large_and_odd_files_are_read_whole(spark, tmp_path, monkeypatch):
     assert sorted(r.value for r in got.filter("job_id = 'big'").collect()) == sorted(lines)
     assert rows(got.filter("job_id <> 'big'")) == [("dir", "a"), ("dir", "b"), ("dir", "c")] and {r.job_id for r in missing.collect()} == {"gone"}
     one = spark.createDataFrame([("q", "simple")], "job_id string, stage_type string")
-    assert [r.row for r in catalog.load_results(one, nothing, "r.csv", str(tmp_path))[0].collect()] == [{"k": "1", 'a "b", c': "x, y", "d": ""}, {"k": "2", 'a "b", c': "z", "d": "q"}]
+    assert sorted((r.row for r in catalog.load_results(one, nothing, "r.csv", str(tmp_path))[0].collect()), key=str) == sorted([{"k": "1", 'a "b", c': "x, y", "d": ""}, {"k": "2", 'a "b", c': "z", "d": "q"}], key=str)
     assert rows(catalog.load_results(one, nothing, "r.json", str(tmp_path), format="json", schema="a int, b string")[0]) == [("q", 1, None), ("q", None, "x")]
 
 
@@ -401,6 +414,81 @@ def test_completion_logs(spark, tmp_path):
     assert rows(status.latest_outcome(completions.read_completions(spark, path)[0]).filter("job_id = 'a'")) == [("a", "Failed")]
 
 
+def test_two_writers_of_one_log(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "log of two")
+    frame = lambda w, i: spark.createDataFrame([("shared", "ok" if w else "fail"), (f"{w}-{i}", "ok")], "job_id string, s string")
+    with ThreadPoolExecutor(2) as pool:
+        places = [list(x) for x in pool.map(lambda w: [completions.append_completions(frame(w, i), path) for i in range(8)], (0, 1))]
+    assert sorted(sum(places, [])) == list(range(1, 17)) and all(p == sorted(p) for p in places)
+    good, bad = completions.read_completions(spark, path)
+    assert good.count() == 32 and bad.count() == 0 and good.select("seq").distinct().count() == 32
+    last = max((n, w) for w, p in enumerate(places) for n in p)[1]
+    assert rows(status.latest_outcome(good).filter("job_id = 'shared'")) == [("shared", "Succeeded" if last else "Failed")]
+    frame(0, 99).write.json(f"{path}/data-0123")  # an append that did not end
+    write(tmp_path / "log of two/old.jsonl", '{"id": "shared", "s": "fail"}\n{"id": "old", "s": "ok"}\nbroken\n')
+    good, bad = completions.read_completions(spark, path)
+    assert good.count() == 34 and bad.count() == 1
+    assert rows(status.latest_outcome(good).filter("job_id in ('shared', 'old')"))[1] == ("shared", "Succeeded" if last else "Failed")
+    (tmp_path / "log of two/_last").unlink()  # a hint only
+    assert completions.append_completions(frame(1, 9), path) == 17
+
+
+def test_deep_graphs_take_few_rounds(spark):
+    n = 300
+    chain = spark.range(1, n).select(F.format_string("c%05d", "id").alias("job_id"), F.format_string("c%05d", F.col("id") - 1).alias("dep_id"), F.lit(0).alias("pos"))
+    ids = spark.range(n).select(F.format_string("c%05d", "id").alias("job_id"))
+    seed = spark.createDataFrame([(f"c{n - 1:05d}",)], "job_id string")
+    up = lineage.ancestors(chain, seed)
+    assert up.count() == n and up.filter(F.col("depth") != n - 1 - F.substring("job_id", 2, 5).cast("int")).count() == 0
+    done, left, lost = lineage.levels(ids, chain)
+    assert done.filter(F.col("level") != F.substring("job_id", 2, 5).cast("int")).count() == 0 and done.count() == n and left.count() == lost.count() == 0
+    own = spark.createDataFrame([("c00000", "a", "low"), ("c00100", "a", None), ("c00200", "b", "x")], "job_id string, k string, v string")
+    got = {(r.job_id, r.k): r.v for r in lineage.inherit_attributes(ids, chain, own).filter("job_id in ('c00099', 'c00150', 'c00299')").collect()}
+    assert got == {("c00099", "a"): "low", ("c00150", "a"): None, ("c00299", "a"): None, ("c00299", "b"): "x"}
+    ring = chain.union(spark.createDataFrame([("c00000", "c00099", 0)], "job_id string, dep_id string, pos int"))
+    done, left, _ = lineage.levels(ids, ring)
+    assert done.count() == 0 and left.count() == n
+    assert lineage.ancestors(ring, seed).count() == n
+
+
+def test_random_graphs_against_brute_force(spark):
+    import random
+
+    for seed in (0, 2):
+        r = random.Random(seed)
+        names = [f"n{i:02d}" for i in range(40)]
+        edges = sorted({(names[i], names[j]) for i in range(1, 40) for j in r.sample(range(i), min(i, r.choice([0, 1, 1, 1, 2, 3])))} | {("n30", "gone"), ("n05", "self")})
+        if seed == 2:
+            edges += [("n10", "n20"), ("n20", "n10")]
+        deps = {x: [d for j, d in edges if j == x and d != "self"] for x in names}
+        known = {x: [d for d in deps[x] if d in deps] for x in names}
+        for unknown, use in (("error", deps), ("ignore", known)):
+            want = {}
+            while more := {x: 1 + max((want[d] for d in use[x]), default=-1) for x in names if x not in want and all(d in want for d in use[x])}:
+                want |= more
+            done, left, lost = lineage.levels(nodes(spark, names), graph(spark, edges), unknown)
+            assert {q.job_id: q.level for q in done.collect()} == want and {q.job_id for q in left.collect()} == set(names) - set(want)
+            assert rows(lost) == [("n30", "gone")]
+        own = {(x, k): r.choice([None, f"{x}{k}"]) for x in names for k in "ab" if r.random() < 0.3}
+        table = spark.createDataFrame([(x, k, v) for (x, k), v in own.items()], "job_id string, k string, v string")
+        if seed == 2:
+            with pytest.raises(ValueError, match="cycle"):
+                lineage.inherit_attributes(nodes(spark, names), graph(spark, edges), table)
+            continue
+        place = {e: i for i, e in enumerate(edges)}
+        for order in ("position", "id"):
+            eff = {}
+            for x in names:  # names are in topological order
+                eff[x] = {}
+                for d in sorted(known[x], key=lambda d: place[x, d] if order == "position" else d):  # noqa: B023
+                    eff[x] |= eff[d]
+                eff[x] |= {k: v for (j, k), v in own.items() if j == x}
+            got = lineage.inherit_attributes(nodes(spark, names), graph(spark, edges), table, order)
+            assert {(q.job_id, q.k): q.v for q in got.collect()} == {(x, k): v for x in names for k, v in eff[x].items()}
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from gridweave.streaming.live import stream_completion_rate, stream_latest, stream_run_status
 
@@ -421,6 +509,22 @@ def test_streams_equal_batches(spark, tmp_path):
     assert [r.rate for r in spark.table("rate").collect()] == [1]
 
 
+def test_live_run_states_equal_the_batch_after_every_batch(spark, tmp_path):
+    from gridweave.streaming.live import stream_run_status
+
+    jobs = spark.createDataFrame([("r1", "a"), ("r2", "b"), ("r2", "c"), ("r3", "a"), ("r3", "c"), ("r3", "c"), ("r4", "z")], "run string, job_id string")
+    name = f"states_{tmp_path.name.replace('-', '_')}"
+    sent = []
+    for part in ([(5, "a", "fail"), (2, "b", "ok"), (1, "b", "fail")], [(3, "a", "ok"), (5, "a", "fail"), (6, "c", "ok")], [(7, "a", "ok"), (7, "a", "ok"), (9, "unknown", "ok")], [(1, "c", "fail")], [(10, "c", "fail"), (11, "c", "ok"), (12, "b", "fail")]):
+        spark.createDataFrame(part, "seq long, job_id string, s string").repartition(2).write.json(str(tmp_path / "in"), mode="append")
+        sent += part
+        log = spark.readStream.schema("seq long, job_id string, s string").json(str(tmp_path / "in"))
+        stream_run_status(log, jobs, str(tmp_path / "cp"), name).awaitTermination(120)
+        known = status.latest_outcome(spark.createDataFrame(sent, "seq long, job_id string, s string"))
+        runs = jobs.join(known, "job_id").select("run").distinct()
+        assert rows(spark.table(name)) == rows(status.run_status(runs, jobs.join(runs, "run", "left_semi").join(known, "job_id", "left")))
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
