@@ -60,8 +60,9 @@ def test_packing_holds_every_id_once(spark, real, library):
 
 def test_packing_odd_rows_and_small_windows(spark, library):
     rows = [*HARD, (20, "x <|endoftext|>y<|startoftext|>"), (21, "<|ENDOFTEXT|> \x1c\x1d'S it's ΑΣ İ ① 日本語"), (22, "\x85a\xa0b\x00c")]
-    for capacity in (4096, 64, 1):
-        wasted, packed = hold(packing.pack(documents(spark, rows), queries.tokenizer_path(), capacity).collect(), rows, library, capacity)
+    short = [r for r in rows if len(r[1] or "") < 6000]
+    for capacity, some in ((4096, rows), (64, short), (1, short[:9])):
+        wasted, packed = hold(packing.pack(documents(spark, some), queries.tokenizer_path(), capacity).collect(), some, library, capacity)
         assert wasted < 0.2 * packed or capacity == 4096
     assert packing.pack(documents(spark, []), queries.tokenizer_path()).count() == 0
 
@@ -88,7 +89,8 @@ def test_differencing_is_near_equal():
         assert np.ptp(sums) <= sizes.max()
         if n >= 10 * k:
             assert np.ptp(sums) <= 300
-    assert packing.differencing(np.array([8, 7, 6, 5, 4]), 2).tolist() in ([0, 1, 1, 0, 0], [1, 0, 0, 1, 1], [0, 1, 1, 0, 1], [1, 0, 0, 1, 0])  # differences 8-7, 6-5, 4: 14 and 16
+    sizes = np.array([8, 7, 6, 5, 4])  # differences 1, 1, 4; 3, 1; 2
+    assert sorted(np.bincount(packing.differencing(sizes, 2), sizes).tolist()) == [14, 16]
 
 
 def test_the_number_of_windows_rises_beyond_capacity():
@@ -159,7 +161,7 @@ def test_columns_are_run_length_encoded(spark):
     rows = [(i, " ".join(f"t{chr(97 + j)}" for j in range(26)), "en", s, 1) for i in range(40) for s in "ab"]
     made = divergence.Audit(full_rows(spark, rows))
     columns = made.columns().collect()
-    assert sum(r.rows for r in columns if r.source == "a") == 27 and all(len(r.starts) <= 16 for r in columns)  # t, and a to z
+    assert sum(r.rows for r in columns if r.source == "a") == 26 and all(len(r.starts) == 8 for r in columns)  # equal counts are one run
 
 
 # Merkle manifest
