@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.ids import stage_of
-from gridweave.shared import checkpoint
+from gridweave.shared import checkpoint, numbered, small
 
 _OPS = {"startswith": Column.startswith, "endswith": Column.endswith, "contains": Column.contains}
 
@@ -129,8 +129,9 @@ def to_table(jobs: DataFrame, eff: DataFrame, keys: Sequence[str] | None = None,
 
 
 def at_positions(df: DataFrame, order: Sequence[str], start: int, end: int) -> DataFrame:
-    """Rows start to end (excluded) in the given order."""
-    return df.orderBy(*order).offset(start).limit(max(0, end - start))
+    """Rows start to end (excluded) in the given order, which ranges of rows are sorted and counted for; no task gets them all."""
+    placed = numbered(df, list(order), "__place")
+    return placed.filter((F.col("__place") >= start) & (F.col("__place") < end)).orderBy("__place").drop("__place")
 
 
 def run_of(jobs: DataFrame, run_jobs: DataFrame, missing: str = "null") -> DataFrame:
@@ -151,6 +152,14 @@ def group_by_stage(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("stage", stage_of(F.col("job_id"))).groupBy("stage").agg(F.count("*").alias("n"), F.min("job_id").alias("first"))
 
 
+def stage_members(jobs: DataFrame) -> DataFrame:
+    """(stage, ord, job_id): the ids of each stage in order, from 0; a row for each, as a stage may have any number."""
+    placed = numbered(jobs.select(stage_of(F.col("job_id")).alias("stage"), "job_id"), ["stage", "job_id"], "__place")
+    first = placed.groupBy("stage").agg(F.min("__place").alias("__first"))
+    same = F.col("stage").eqNullSafe(F.col("__stage"))
+    return placed.join(small(first.withColumnRenamed("stage", "__stage")), same).select("stage", (F.col("__place") - F.col("__first")).alias("ord"), "job_id")
+
+
 def job_profile(jobs: DataFrame, statuses: DataFrame, eff: DataFrame, edges: DataFrame, outputs: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """One wide row a job: run, status, parameters, different inputs and outputs, and hints (job_id, exe, mem, cpus, time) of
     its sub-stages, as sorted arrays."""

@@ -15,8 +15,12 @@ def latest_outcome(log: DataFrame) -> DataFrame:
 
 
 def merge_live(finished: DataFrame, live: DataFrame) -> DataFrame:
-    """Finished outcomes beat live states (seq, job_id, state); of live states the latest is Running or else Queued."""
-    now = live.groupBy("job_id").agg(F.max_by("state", "seq").alias("state"))
+    """Finished outcomes beat live states (seq, job_id, state); of live states the latest is Running or else Queued.
+
+    If ``live`` has ``target``, the place of what reported the state, a later target's states overwrite an earlier one's.
+    """
+    order = F.struct("target", "seq") if "target" in live.columns else F.col("seq")
+    now = live.groupBy("job_id").agg(F.max_by("state", order).alias("state"))
     now = now.select("job_id", F.when(F.col("state") == "Running", "Running").otherwise("Queued").alias("live"))
     return finished.join(now, "job_id", "full_outer").select("job_id", F.coalesce("status", "live").alias("status"))
 

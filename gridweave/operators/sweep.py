@@ -6,8 +6,9 @@ A stage is a function of (inputs, params): ``inputs`` maps upstream stages to th
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,3 +112,55 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 def compare_sweep(results: DataFrame, index: str, label: str, value: str, labels: list) -> DataFrame:
     """Curves side by side: one column a label, given explicitly."""
     return results.groupBy(index).pivot(label, labels).agg(F.first(value))
+
+
+@dataclass(frozen=True)
+class Threshold:
+    """An axis of a sweep that selects rows: those whose ``column`` is ``op`` (``<=``, ``>=`` or ``=``) one of ``values``."""
+
+    name: str
+    column: str
+    op: str
+    values: tuple
+
+
+def threshold_sweep(df: DataFrame, axes: Sequence[Threshold], sums: dict[str, Column]) -> DataFrame:
+    """The axes' names, ``n`` and the ``sums``, for every combination of the axes' values, over the rows that it selects.
+
+    One scan for all combinations: a row is counted in its cell, the place of its values among the sorted thresholds, and
+    each combination's rows are those of whole cells, added up along one axis after the other by running sums. So the
+    work on rows does not grow with the number of combinations. Rows with a null in a column are in none; combinations
+    without rows have n = 0 and sums of 0; repeated values count once. Sums of decimals and integers are exact.
+    """
+    bins, names = [], [a.name for a in axes]
+    lists = [sorted(set(a.values)) for a in axes]
+    for a, values in zip(axes, lists, strict=True):
+        x, every = F.col(a.column), F.array(*map(F.lit, values))
+        if a.op == "<=":  # the first threshold that reaches it
+            place = F.size(F.filter(every, lambda v: v < x))  # noqa: B023
+            place = F.when(place < len(values), place)
+        elif a.op == ">=":
+            place = F.size(F.filter(every, lambda v: v <= x)) - 1  # noqa: B023
+            place = F.when(place >= 0, place)
+        elif a.op == "=":
+            place = F.array_position(every, x).cast("int") - 1
+            place = F.when(place >= 0, place)
+        else:
+            raise ValueError(f"{a.name}: {a.op} is none of <=, >=, =")
+        bins.append(F.when(x.isNotNull(), place).alias(f"__{a.name}"))
+    cells = df.select(*bins, *(v.alias(k) for k, v in sums.items())).dropna(subset=[f"__{n}" for n in names])
+    cells = cells.groupBy(*[f"__{n}" for n in names]).agg(F.count("*").alias("n"), *(F.sum(k).alias(k) for k in sums))
+    total = math.prod(map(len, lists))
+    if total >= 2**63:
+        raise ValueError("more combinations than a number can count")
+    spans = [math.prod(map(len, lists[i + 1 :])) for i in range(len(lists))]
+    grid = df.sparkSession.range(total).select(*(F.expr(f"cast((id div {span}) % {len(v)} as int)").alias(f"__{n}") for n, v, span in zip(names, lists, spans, strict=True)))
+    out = grid.join(cells, [f"__{n}" for n in names], "left")
+    for a in axes:
+        if a.op != "=":
+            others = [f"__{n}" for n in names if n != a.name]
+            order = F.col(f"__{a.name}") if a.op == "<=" else F.desc(f"__{a.name}")
+            upto = Window.partitionBy(*others).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            out = out.select(*[f"__{n}" for n in names], *(F.sum(c).over(upto).alias(c) for c in ("n", *sums)))
+    chosen = [F.element_at(F.array(*map(F.lit, v)), F.col(f"__{n}") + 1).alias(n) for n, v in zip(names, lists, strict=True)]
+    return out.select(*chosen, *(F.coalesce(c, F.lit(0).cast(out.schema[c].dataType)).alias(c) for c in ("n", *sums)))

@@ -116,6 +116,11 @@ def e16_group_by_stage(spark, sf_dir):
     return lookup.group_by_stage(bound(spark, sf_dir, "SELECT p_partkey || '-' || p_brand || '-1.' || p_size AS job_id FROM part"))
 
 
+@query("SELECT stage, row_number() OVER (PARTITION BY stage ORDER BY job_id) - 1 AS ord, job_id FROM (SELECT regexp_extract(job_id, '^[^-]*-(.+)-', 1) AS stage, job_id FROM (SELECT p_partkey || '-' || p_brand || '-1.' || p_size AS job_id FROM part))")
+def e16_stage_members(spark, sf_dir):
+    return lookup.stage_members(bound(spark, sf_dir, "SELECT p_partkey || '-' || p_brand || '-1.' || p_size AS job_id FROM part"))
+
+
 @query("""SELECT n.job_id, n.run, (SELECT string_agg(k || '=' || v, ',' ORDER BY k) FROM dag_params p WHERE p.job_id = n.job_id) AS params,
 (SELECT string_agg(DISTINCT dep_id, ',' ORDER BY dep_id) FROM dag_edges e WHERE e.job_id = n.job_id) AS inputs, CASE name WHEN 'line' THEN 'Failed' ELSE 'Pending' END AS status, 'data,log' AS outputs,
 CASE name WHEN 'supplier' THEN 'gather:4G,main:1G' WHEN 'order' THEN 'main:1G' END AS hints FROM dag_nodes n""", "dag_nodes dag_params dag_edges")

@@ -140,6 +140,14 @@ def g2_merge_live(spark, sf_dir):
     return _known(spark, sf_dir)
 
 
+@query(f"""WITH {LOG}, t AS (SELECT job_id, CASE arg_max(state, (seq % 3) * 1000000000000 + seq) WHEN 'Running' THEN 'Running' ELSE 'Queued' END AS live FROM live_fx WHERE job_id IN (SELECT job_id FROM turn_nodes) GROUP BY job_id)
+SELECT job_id, coalesce(status, live) AS status FROM log FULL JOIN t USING (job_id)""", ALL)
+def g2_live_targets(spark, sf_dir):
+    """Three targets report live states; the third's overwrite the others'."""
+    live = _log(spark, sf_dir, "live_fx").withColumn("target", F.col("seq") % 3)
+    return status.merge_live(status.latest_outcome(_log(spark, sf_dir)), live)
+
+
 @query(f"WITH {DERIVED} SELECT job_id, run, status, missing FROM derived", ALL)
 def g3_derive_status(spark, sf_dir):
     return _derived(spark, sf_dir).select("job_id", "run", "status", F.array_join("missing_deps", ",").alias("missing"))

@@ -156,6 +156,19 @@ def sweep_revenue(spark, sf_dir):
     return done.table("revenue", ["max_discount", "flag", "min_qty"]).select("combo_id", "max_discount", "flag", "min_qty", F.round("total", 2).alias("revenue"))
 
 
+#: 11 discounts, 50 quantities and 3 flags: 1,650 combinations.
+_THRESHOLDS = [sweep.Threshold("max_discount", "l_discount", "<=", tuple(k / 100 for k in range(11))), sweep.Threshold("min_qty", "l_quantity", ">=", tuple(float(k) for k in range(1, 51))), sweep.Threshold("flag", "l_returnflag", "=", ("A", "N", "R"))]
+
+
+@query("""WITH c AS (SELECT l_discount, l_quantity, l_returnflag, count(*) AS n, sum(l_extendedprice::DECIMAL(12, 2)) AS v FROM lineitem GROUP BY ALL)
+SELECT d / 100 AS max_discount, q::DOUBLE AS min_qty, flag, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(v), 0)::DOUBLE AS price FROM range(11) AS a(d), range(1, 51) AS b(q), (VALUES ('A'), ('N'), ('R')) AS f(flag)
+LEFT JOIN c ON l_returnflag = flag AND l_quantity >= q AND l_discount <= d / 100 GROUP BY d, q, flag""")
+def i11_threshold_sweep(spark, sf_dir):
+    """Price over all combinations of discount, quantity and flag thresholds, by one scan of lineitem."""
+    rows = read(spark, sf_dir, "lineitem").select("l_discount", "l_quantity", "l_returnflag", F.col("l_extendedprice").cast("decimal(12,2)").alias("p"))
+    return sweep.threshold_sweep(rows, _THRESHOLDS, {"price": F.col("p")}).withColumn("price", F.col("price").cast("double"))
+
+
 @query(f"""WITH {GRID_SQL}, r AS (SELECT flag, max_discount, round(sum(l_extendedprice * (1 - l_discount)), 2) AS v FROM grid JOIN lineitem ON l_returnflag = flag AND l_quantity >= min_qty AND l_discount <= max_discount GROUP BY ALL)
 SELECT max_discount, max(v) FILTER (flag = 'A') AS "A", max(v) FILTER (flag = 'R') AS "R" FROM r GROUP BY max_discount""")
 def i10_compare_sweep(spark, sf_dir):

@@ -148,6 +148,23 @@ def test_a_long_job_streams_and_merges(spark):
     assert fanout.gather_stream(empty, "x", check, "long").count() == 0
 
 
+def test_threshold_sweeps_equal_plain_selections(spark):
+    import random
+
+    r = random.Random(5)
+    data = [(r.choice([None, *range(8)]), r.choice([0.5, 1.0, 2.5, None]), r.choice("xyz"), r.randrange(100)) for _ in range(400)]
+    df = spark.createDataFrame(data, "a int, b double, c string, v long")
+    axes = [sweep.Threshold("lo", "a", ">=", (6, 2, 2, 9)), sweep.Threshold("hi", "b", "<=", (0.1, 1.0, 2.0)), sweep.Threshold("is", "c", "=", ("x", "q")), sweep.Threshold("top", "a", "<=", (3, 7))]
+    got = {tuple(x)[:4]: tuple(x)[4:] for x in sweep.threshold_sweep(df, axes, {"total": F.col("v"), "most": F.col("v") * 2}).collect()}
+    assert len(got) == 3 * 3 * 2 * 2
+    for (lo, hi, c, top), (n, total, double) in got.items():
+        hit = [v for a, b, k, v in data if a is not None and b is not None and lo <= a <= top and b <= hi and k == c]
+        assert (n, total, double) == (len(hit), sum(hit), 2 * sum(hit))
+    assert {x.n for x in sweep.threshold_sweep(df.filter("false"), axes[:1], {}).collect()} == {0}
+    many = [sweep.Threshold("a", "a", "<=", tuple(range(100))), sweep.Threshold("v", "v", ">=", tuple(range(100)))]
+    assert sweep.threshold_sweep(df, many, {"total": F.col("v")}).count() == 10_000
+
+
 def test_a_new_version_invalidates_what_follows(spark):
     g = grid.expand_grid(spark, [grid.axis_list("p", [1, 2])])
     old = identity.propagate_keys(g, [Stage("a", params={"p": 0}), Stage("b", deps=("a",))])
