@@ -112,13 +112,11 @@ def a11_list_outputs(spark, sf_dir):
 
 @query("SELECT 's' || s_suppkey AS job_id, CASE WHEN s_acctbal > 0 THEN 'Succeeded' ELSE 'Failed' END AS status FROM supplier")
 def a8_scan_markers(spark, sf_dir):
-    """Markers are empty files, which only the file system writes: one or two for each supplier."""
+    """Markers are empty files, which tasks write: one or two for each supplier."""
     base = shared_path(spark, "markers")
-    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    fs = path(base).getFileSystem(conf)
-    for r in read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").toLocalIterator():
-        for name in ["FAIL"] + ["SUCCESS"] * (r.s_acctbal > 0):
-            fs.create(path(f"{base}/s{r.s_suppkey}/marks/{name}")).close()
+    names = F.when(F.col("s_acctbal") > 0, F.array(F.lit("FAIL"), F.lit("SUCCESS"))).otherwise(F.array(F.lit("FAIL")))
+    marks = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(names).alias("name"))
+    files.write_files(marks.select(F.concat(F.lit(f"{base}/s"), "s_suppkey", F.lit("/marks/"), "name").alias("path"), F.lit(None).cast("string").alias("value")), "path", "value")
     return completions.scan_markers(spark, base)
 
 

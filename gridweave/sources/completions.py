@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.shared import small
-from gridweave.sources.files import create_new, exists, read_text, write_text
+from gridweave.sources.files import create_new, exists, list_folders, read_text, write_text
 
 RECORD = "id string, s string, at long"
 
@@ -67,10 +67,10 @@ def append_completions(df: DataFrame, path: str) -> int:
 def scan_markers(spark: SparkSession, outputs: str) -> DataFrame:
     """(job_id, status) from ``<job>/<folder>/SUCCESS`` and ``FAIL`` files; with both, success wins.
 
-    Markers are empty files, which Spark's scans leave out, so the file system lists them, as it does for any scan.
+    Markers are empty files, which Spark's scans leave out; tasks list the folders, level by level.
     """
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{outputs.rstrip('/')}/*/*/{{SUCCESS,FAIL}}")
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)  # scans leave empty files out, and markers are empty
-    files = spark.createDataFrame([(f.getPath().toString(),) for f in found or []], "path string")
-    parts = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/(SUCCESS|FAIL)$", 1).alias("job_id"), F.col("path").endswith("SUCCESS").alias("ok"))
-    return parts.filter("job_id <> ''").groupBy("job_id").agg(F.when(F.max("ok"), "Succeeded").otherwise("Failed").alias("status"))
+    within = F.concat("folder", F.lit("/"), "name").alias("folder")
+    jobs = list_folders(spark.createDataFrame([(outputs.rstrip("/"),)], "folder string")).filter("is_folder").select(within)
+    found = list_folders(list_folders(jobs).filter("is_folder").select(within)).filter("name in ('SUCCESS', 'FAIL')")
+    parts = found.select(F.regexp_extract("folder", "([^/]+)/[^/]+$", 1).alias("job_id"), (F.col("name") == "SUCCESS").alias("ok"))
+    return parts.groupBy("job_id").agg(F.when(F.max("ok"), "Succeeded").otherwise("Failed").alias("status"))

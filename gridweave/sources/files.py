@@ -7,6 +7,8 @@ import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import groupby
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from gridweave.functions.ids import literal, sha256_hex
 from gridweave.shared import checkpoint, ship
 
-#: Bytes of a file that one task reads at a time, and files that one task looks up.
-SPLIT_BYTES, FILES_A_TASK = 64 << 20, 256
+#: Bytes of a file that one task reads at a time, and files that one task looks up or writes.
+SPLIT_BYTES, FILES_A_TASK = 64 << 20, 2048
 #: Bytes of lines given on together.
 BLOCK_BYTES = 4 << 20
 
@@ -86,6 +88,11 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
+@lru_cache(maxsize=16)
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri)
+
+
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path as Spark takes it (nothing is escaped), and the place there; Arrow knows local, HDFS, S3,
     GCS and Azure ones."""
@@ -93,7 +100,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:") or not named:
         return fs.LocalFileSystem(), os.path.abspath(re.sub("^(file:)?/+", "/", path))
     authority, _, place = rest.partition("/")
-    system, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    system, root = _system(f"{scheme}://{authority}/")
     return system, f"{root.rstrip('/')}/{place}"
 
 
@@ -111,9 +118,13 @@ def _found(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                 elif info.is_file:
                     held = [info]
             for x in sorted(held, key=lambda x: x.path):
-                at, file, size = [*at, i], [*file, p if len(held) == 1 and x.path == place else f"{p.rstrip('/')}/{x.base_name}"], [*size, x.size]
+                at.append(i)
+                file.append(p if len(held) == 1 and x.path == place else f"{p.rstrip('/')}/{x.base_name}")
+                size.append(x.size)
             if not held:
-                at, file, size = [*at, i], [*file, None], [*size, None]
+                at.append(i)
+                file.append(None)
+                size.append(None)
         yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(file, pa.string()), pa.array(size, pa.int64())], [*batch.schema.names, "file", "bytes"])
 
 
@@ -134,35 +145,104 @@ def find_files(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def _lines(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The lines of the files of a batch; small files share blocks."""
     for batch in batches:
+        of, offsets, values, size = [], [], [], 0
         for i, (file, start, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "__start", "__end")), strict=True)):
             system, place = _opened(file)
-            with io.BufferedReader(system.open_input_file(place), 1 << 20) as f:
-                if whole:
-                    yield _with(batch, i, [0], [f.read().decode("utf-8", "replace")])
-                    continue
-                f.seek(start)
+            with io.BufferedReader(system.open_input_file(place), min(1 << 20, max(1 << 12, end - start))) as f:
+                at = start
                 if start:  # the line that began before is the last task's, as is one that begins right here
                     f.seek(start - 1)
-                    start += len(f.readline()) - 1
-                at, offsets, values, size = start, [], [], 0
-                while at < end and (line := f.readline()):
+                    at += len(f.readline()) - 1
+                while whole or at < end:
+                    line = f.read() if whole else f.readline()
+                    if not line and not whole:
+                        break
+                    of.append(i)
                     offsets.append(at)
-                    values.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+                    values.append((line if whole else line.rstrip(b"\r\n")).decode("utf-8", "replace"))
                     at, size = at + len(line), size + len(line)
                     if size > BLOCK_BYTES:
-                        yield _with(batch, i, offsets, values)
-                        offsets, values, size = [], [], 0
-                if offsets:
-                    yield _with(batch, i, offsets, values)
+                        yield _with(batch, of, offsets, values)
+                        of, offsets, values, size = [], [], [], 0
+                    if whole:
+                        break
+        if of:
+            yield _with(batch, of, offsets, values)
 
 
-def _with(batch: pa.RecordBatch, i: int, offsets: list[int], values: list[str]) -> pa.RecordBatch:
-    row = batch.drop_columns(["__start", "__end"])
-    at = pa.array([i] * len(offsets), pa.int64())
+def _with(batch: pa.RecordBatch, of: list[int], offsets: list[int], values: list[str]) -> pa.RecordBatch:
+    row, at = batch.drop_columns(["__start", "__end"]), pa.array(of, pa.int64())
     return pa.RecordBatch.from_arrays([*(c.take(at) for c in row.columns), pa.array(offsets, pa.int64()), pa.array(values, pa.string())], [*row.schema.names, "offset", "value"])
 
 
+def _written(batches: Iterable[pa.RecordBatch], header: str | None) -> Iterator[pa.RecordBatch]:
+    """Writes each run of rows (path, value) of one path as its file, a line a value; null values write none."""
+    paths, sizes = [], []
+    each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for path, rows in groupby(each, lambda r: r[0]):
+        system, place = _opened(path)
+        folder, _, name = place.rpartition("/")
+        draft = f"{folder}/.{name}-{uuid.uuid4().hex}"  # of this attempt; a file is whole as soon as it is there
+        system.create_dir(folder)
+        size = 0
+        with io.BufferedWriter(system.open_output_stream(draft), 1 << 16) as out:
+            if header is not None:
+                size += out.write(f"{header}\n".encode())
+            for _, value in rows:
+                if value is not None:
+                    size += out.write(f"{value}\n".encode())
+        system.move(draft, place)
+        paths.append(path)
+        sizes.append(size)
+        if len(paths) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+            paths, sizes = [], []
+    if paths:
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+
+def write_files(rows: DataFrame, path: str, line: str, header: str | None = None) -> int:
+    """Writes a file for each different path, whose lines are the path's sorted values, under a header line if there is
+    one; returns how many. Null values write no line, so a path with nothing else is an empty file; rows without a path
+    write nothing.
+
+    Tasks write the files, thousands each, through drafts that are renamed; a file's lines stream through one task.
+    """
+    ship(rows.sparkSession)
+    given = rows.filter(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(line).cast("string").alias("value"))
+    n = given.agg(F.approx_count_distinct("path")).first()[0]
+    placed = given.repartition(max(1, -(-n // FILES_A_TASK)), "path").sortWithinPartitions("path", "value")
+    return placed.mapInArrow(lambda it: _written(it, header), "path string, bytes long").count()
+
+
+def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[str, str, bool]] = []
+
+    def block(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_()), strict=True)], ["folder", "name", "is_folder"])
+
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            system, place = _opened(folder)
+            held += ((folder, x.base_name, x.type == fs.FileType.Directory) for x in system.get_file_info(fs.FileSelector(place, allow_not_found=True)))
+            while len(held) >= 10_000:
+                yield block(held[:10_000])
+                held = held[10_000:]
+    if held:
+        yield block(held)
+
+
+def list_folders(folders: DataFrame) -> DataFrame:
+    """(folder, name, is_folder) of what lies directly in each ``folder``; tasks list them, a folder each at a time. A
+    folder that is not there has nothing."""
+    ship(folders.sparkSession)
+    kept = checkpoint(folders.select("folder"))
+    tasks = max(1, -(-kept.count() // FILES_A_TASK))
+    return kept.repartition(tasks).mapInArrow(_entries, "folder string, name string, is_folder boolean")
+
+
 def read_files(files: DataFrame, whole: bool = False) -> DataFrame:
     """The lines of files that ``find_files`` has found, beside its columns: ``offset``, the line's byte in its file, and
     ``value``; with ``whole`` a row for each file, from byte 0.
