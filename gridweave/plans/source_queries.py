@@ -91,11 +91,12 @@ def _results(spark, sf_dir):
 def a6_load_results(spark, sf_dir):
     """A job for each customer, whose result is its orders; one in ten has not written its file."""
     base = shared_path(spark, "results")
-    orders = read(spark, sf_dir, "orders").filter("o_custkey % 10 > 0").select(F.concat(F.lit("c:"), "o_custkey").alias("job"), "o_orderkey", "o_totalprice")
-    orders.repartition("job").withColumn("name", F.lit("d.csv")).write.partitionBy("job", "name").csv(base, header=True)
-    jobs = read(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("job_id"), F.lit("simple").alias("stage_type"), "c_mktsegment")
-    outputs = jobs.select("job_id", F.lit("main").alias("exe"), F.lit("data").alias("output"), F.lit("$out/name=d.csv").alias("template"))
-    at = jobs.select("job_id", F.concat(F.lit(f"{base}/job="), F.replace("job_id", F.lit(":"), F.lit("%3A"))).alias("dir"))
+    place = lambda key: F.concat(F.lit(f"{base}/"), F.lpad(F.hex(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(256))), 2, "0"), F.lit("/c%3A"), key)  # noqa: E731  # no folder of all jobs
+    orders = read(spark, sf_dir, "orders").filter("o_custkey % 10 > 0").select(F.concat(place("o_custkey"), F.lit("/d.csv")).alias("path"), F.to_csv(F.struct("o_orderkey", "o_totalprice")).alias("line"))
+    files.write_files(orders, "path", "line", "o_orderkey,o_totalprice")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c:"), "c_custkey").alias("job_id"), F.lit("simple").alias("stage_type"), "c_mktsegment")
+    jobs, at = customers.drop("c_custkey"), customers.select("job_id", place("c_custkey").alias("dir"))
+    outputs = jobs.select("job_id", F.lit("main").alias("exe"), F.lit("data").alias("output"), F.lit("$out/d.csv").alias("template"))
     eff = jobs.select("job_id", F.lit("segment").alias("k"), F.col("c_mktsegment").alias("v"))
     got, missing = catalog.load_results(jobs, outputs, "data", at, eff, schema="o_orderkey long, o_totalprice double")
     none = jobs.join(missing, "job_id").select("job_id", F.lit(None).cast("long").alias("o_orderkey"), F.lit(None).cast("double").alias("o_totalprice"), F.col("c_mktsegment").alias("segment"), F.lit(True).alias("missing"))
