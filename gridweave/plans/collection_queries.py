@@ -10,6 +10,7 @@ from gridweave.functions.ids import get_path
 from gridweave.operators import lineage, lookup
 from gridweave.plans.base import bound, query, read
 from gridweave.plans.graph_queries import ALL, DERIVED, _derived
+from gridweave.shared import checkpoint
 from gridweave.sources.completions import split_records
 from gridweave.sources.files import tail_lines
 
@@ -125,7 +126,7 @@ def e16_stage_members(spark, sf_dir):
 (SELECT string_agg(DISTINCT dep_id, ',' ORDER BY dep_id) FROM dag_edges e WHERE e.job_id = n.job_id) AS inputs, CASE name WHEN 'line' THEN 'Failed' ELSE 'Pending' END AS status, 'data,log' AS outputs,
 CASE name WHEN 'supplier' THEN 'gather:4G,main:1G' WHEN 'order' THEN 'main:1G' END AS hints FROM dag_nodes n""", "dag_nodes dag_params dag_edges")
 def e18_job_profile(spark, sf_dir):
-    nodes = bound(spark, sf_dir, "dag_nodes")
+    nodes = checkpoint(bound(spark, sf_dir, "dag_nodes"))
     states, outputs = nodes.select("job_id", F.when(F.col("name") == "line", "Failed").otherwise("Pending").alias("status")), nodes.select("job_id", F.explode(F.array(F.lit("log"), F.lit("data"))).alias("output"))
     own = nodes.filter("name in ('supplier', 'order')").select("job_id", F.lit("main").alias("exe"), F.lit("1G").alias("mem")).union(nodes.filter("name = 'supplier'").select("job_id", F.lit("gather"), F.lit("4G")))
     hints = own.withColumns({"cpus": F.lit(None).cast("int"), "time": F.lit(None).cast("string")})

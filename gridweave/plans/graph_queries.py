@@ -244,7 +244,7 @@ def d5_check_unresolved(spark, sf_dir):
 FROM dag_edges WHERE dep_id NOT LIKE 'r:%' UNION ALL SELECT job_id, dep_id, NULL FROM dag_edges WHERE dep_id LIKE 'r:%'
 UNION ALL SELECT job_id, 'store', '/store' FROM dag_nodes WHERE name = 'customer' UNION ALL SELECT job_id, 'meta', '/store/runs/s.json' FROM dag_nodes WHERE name = 'order'""", "dag_edges dag_nodes")
 def d9_resolve_inputs(spark, sf_dir):
-    nodes = bound(spark, sf_dir, "dag_nodes").withColumn("stage_type", F.when(F.col("name") == "supplier", "scatter-gather").otherwise("simple"))
+    nodes = checkpoint(bound(spark, sf_dir, "dag_nodes")).withColumn("stage_type", F.when(F.col("name") == "supplier", "scatter-gather").otherwise("simple"))
     outputs = nodes.filter("name <> 'region'").select("job_id", F.when(F.col("name") == "supplier", "gather").otherwise("main").alias("exe"), F.lit("data").alias("output"), F.when(F.col("name") == "supplier", "$out/all.csv").otherwise("$out/main.csv").alias("template"))
     edges = _edges(spark, sf_dir).select("job_id", "dep_id", F.lit("data").alias("source_output"), F.col("pos").cast("string").alias("target_input"), F.lit("job").alias("mapping_type"), F.lit(None).cast("string").alias("source_run"))
     none, text = F.lit(None).cast("string"), lambda x: F.lit(x)
