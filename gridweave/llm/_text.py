@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ PUNCTUATION_TO_SPACE = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~
 class WordHashes(dict):
     """XXH64 of words, kept for the words seen lately."""
 
-    limit = 500_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -31,10 +31,14 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+#: Frees what other operators keep in a Python worker between tasks.
+LET_GO: list[Callable[[], None]] = []
 
 
 def word_hashes() -> WordHashes:
-    """The Python worker's cache, which lives on between tasks."""
+    """The Python worker's cache, which lives on between tasks; those of other operators go."""
+    for free in LET_GO:
+        free()
     return _HASHES
 
 

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm._spark import ship
-from gridweave.llm._text import chunks
+from gridweave.llm._text import LET_GO, chunks
 
 #: Entries of each of a worker's stores of words, pieces and pairs; clearing them costs time only.
-STORE = 250_000
+STORE = 130_000
 #: White space of the Unicode property, which differs from ``str.isspace`` at the four separators 1C to 1F.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNSPACED = re.compile(f"[^{_SPACE}]+")
@@ -291,6 +291,9 @@ def _encoder(spec: str) -> TextEncoder:
     return TextEncoder(spec)
 
 
+LET_GO.append(_encoder.cache_clear)
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -305,7 +308,7 @@ def _encode(batches: Iterable[pa.RecordBatch], spec, text: str, ids: bool) -> It
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], encoder: TextEncoder, text: str, ids: bool) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches, text, 1_000_000):
+    for part, texts in chunks(batches, text, 250_000):
         got = list(encoder.encode_batch([t.decode() for t in texts]))
         names = [n for n in part.schema.names if n != text]
         out = [*(part.column(n) for n in names), pa.array([g[0] for g in got], pa.int64()), pa.array([_sha(g[1]) for g in got], pa.string()), pa.array([_sha(g[2]) for g in got], pa.string())]

@@ -59,7 +59,7 @@ class Index:
                 self.tables.append((n, seeds, np.append(starts, len(g)), owner[order]))
 
 
-def _found(batches: Iterable[pa.RecordBatch], index, threshold: float, many: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterable[pa.RecordBatch], index, threshold: float, many: int = 500_000) -> Iterator[pa.RecordBatch]:
     """(rid, th, item_id, score) of every item that a text holds; at most ``many`` hits or one text's are held at once."""
     x = index.value
     for part, texts in chunks(batches):

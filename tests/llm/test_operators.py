@@ -683,3 +683,12 @@ def test_bit_filter_has_no_false_negatives(spark):
     assert even <= inside and len(inside) < 3000
     values = np.array([r.h for r in df.collect()]).view(np.uint64)
     assert set(values[helpers.in_filter(helpers.filter_bytes(blocks, 20), values, 20)].view(np.int64).tolist()) == inside
+
+
+def test_a_worker_that_hashes_words_lets_go_of_the_encoder():
+    from gridweave.llm import _text, bpe
+
+    bpe._encoder(bpe.load(queries.tokenizer_path()))
+    assert bpe._encoder.cache_info().currsize
+    _text.word_hashes()
+    assert not bpe._encoder.cache_info().currsize and _text.WordHashes.limit <= 100_000
