@@ -511,6 +511,30 @@ def test_other_tokenizer_files_are_refused(spark):
         bpe.encode(documents(spark, [(1, "a")]), queries.tokenizer_path("byte_bpe_50k.json")).collect()
 
 
+def test_words_are_solved_many_at_a_time_by_small_tables(monkeypatch):
+    import pickle
+
+    from tokenizers import Tokenizer
+
+    tables = pickle.loads(pickle.dumps(bpe.tables(bpe.load(queries.tokenizer_path()))))
+    assert len(pickle.dumps(tables)) < 10_000_000 and tables == bpe.tables(bpe.load(queries.tokenizer_path()))
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinrstlou"), n)) for n in rng.integers(1, 40, 6000)] + ["é" * 30, "語" * 700, "a" * 1500, "x"]
+    encoder, calls = bpe.TextEncoder(tables), []
+    steps = encoder.solver.steps
+    monkeypatch.setattr(encoder.solver, "steps", lambda keys: calls.append(len(keys)) or steps(keys))
+    got = encoder.solver.solve([w.encode() for w in words])
+    assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert max(calls) > 3000 and sum(n > 1 for n in calls) < 200
+    texts = pa.array([" ".join(words), "", "It's <|endoftext|> x", "aaa " * 50])
+    whole = [encoder.digests(w, *encoder.encode_batch(texts)) for w in encoder.written]
+    monkeypatch.setattr(bpe, "WRITTEN", 7)
+    assert [encoder.digests(w, *encoder.encode_batch(texts)) for w in encoder.written] == whole
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert whole == [[sha(" ".join(map(str, i))) for i in ids], [sha(library.decode(i, skip_special_tokens=False)) for i in ids]]
+
+
 def test_pair_compatibility_is_that_of_merging():
     import json
 
