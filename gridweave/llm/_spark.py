@@ -20,7 +20,7 @@ BLOCK_BITS = 32_768
 BROADCAST_ROWS = 200_000
 NULL_ID = -(2**63)
 #: Bytes of a batch that goes to Python, but for longer single rows.
-BATCH_BYTES = 16_777_216
+BATCH_BYTES = 4_194_304
 
 
 def shared_dir(spark: SparkSession) -> str:

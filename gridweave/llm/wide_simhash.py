@@ -360,6 +360,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
     kept = "doc_id long, th long, node long, size long, wide binary, odd binary, first_ones binary"
     each = checkpoint(rows.mapInArrow(lambda it: _fingerprints(it, shingle, common, similarity), kept))
+    common.unpersist()
     folded = checkpoint(each.groupBy("node").agg(_first(), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "wide", "odd", "first_ones"))))
     near = verified(candidates(folded, min(LOOSE, similarity), limit), docs, folded, shingle, similarity)
     rest = verified(missed(folded, near, similarity, limit), docs, folded, shingle, similarity)

@@ -716,3 +716,15 @@ def test_a_worker_that_hashes_words_lets_go_of_the_encoder():
     assert bpe._encoder.cache_info().currsize
     _text.word_hashes()
     assert not bpe._encoder.cache_info().currsize and _text.WordHashes.limit <= 100_000
+
+
+def test_batches_for_python_are_small_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "n"])
+
+    helpers.ship(spark)
+    docs = spark.range(0, 300, 1, 1).selectExpr("id", "repeat('x', if(id = 7, 9000000, 100000)) AS text")
+    got = docs.mapInArrow(sizes, "bytes long, n long").collect()
+    assert sum(r.n for r in got) == 300 and all(r.bytes < 5_000_000 for r in got if r.bytes < 9_000_000)
+    assert sum(r.bytes >= 9_000_000 for r in got) == 1
