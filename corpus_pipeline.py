@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import bpe, decontam, line_dedup, quality, wide_simhash
-from gridweave.llm._spark import BROADCAST_ROWS, NULL_ID, checkpoint, join_sized, row_key, shared_path
+from gridweave.llm._spark import BROADCAST_ROWS, NULL_ID, checkpoint, freeing_shuffles, join_sized, row_key, shared_path
 from gridweave.llm.queries import table, tokenizer_path
 
 
@@ -83,6 +83,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with freeing_shuffles(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -40,10 +41,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made inside drop the shuffle files of each run of theirs when it ends; else these stay until the driver
+    happens to collect its garbage. A session that sets this itself keeps its choice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None) is None
+    if own:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(key)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder; survives the loss of any executor."""
+    """``df``, computed once and kept in the shared folder; survives the loss of any executor. Its shuffle files go."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with freeing_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def _bytes(text: str) -> int:
