@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm._spark import BLOCK_BITS, NULL_ID, bit_index, checkpoint, filter_blocks, join_sized, probe, ship
+from gridweave.llm._spark import BLOCK_BITS, NULL_ID, bit_index, checkpoint, filter_blocks, freeing_shuffles, join_sized, probe, ship
 from gridweave.llm._text import LOWER, UPPER, WORD, chunks, mix, word_hashes
 
 WEIGHT = 0.7
@@ -247,10 +247,12 @@ def score(docs: DataFrame, labels: DataFrame, weight: float = WEIGHT, bucket_byt
     buckets = max(BUCKETS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes)
     listed = cut.select("chunk", "good", "sizes", "texts").mapInArrow(lambda it: _list_words(it, buckets), "bucket long, n long, keys binary, all long, good long")
     listed = listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_listed, "words long, all long, good long")
-    words, *sums = (x or 0 for x in listed.agg(F.sum("words"), F.sum("all"), F.sum("good")).first())
+    with freeing_shuffles(docs.sparkSession):
+        words, *sums = (x or 0 for x in listed.agg(F.sum("words"), F.sum("all"), F.sum("good")).first())
     totals = (words + 1, *sums)  # one unknown word
     asked = cut.mapInArrow(lambda it: _ask(it, buckets), "bucket long, chunk long, n long, keys binary, counts binary")
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket long, counts binary")
+    # kept, so that the questions' shuffle is gone before the answers' begins
+    answers = checkpoint(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, bucket long, counts binary"))
     both = cut.drop("good").withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
     met = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").select("bucket", "ids", "sizes", "texts", "counts")
     return met.mapInArrow(lambda it: _sides(it, buckets, totals, weight), "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")

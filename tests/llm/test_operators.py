@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import tempfile
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -336,6 +338,22 @@ def test_scores_count_every_word_and_bigram(spark):
         assert np.allclose([g[2:] for g in got], [x[2:] for x in want], atol=2e-6)
 
 
+def test_scores_leave_one_shuffle_at_most(spark):
+    """Questions and lists of words are dropped before the answers travel."""
+    own = lambda: {(p.parts[-3], p.name.split("_")[1]) for p in Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data") if p.stat().st_size > 100_000}
+    rng = np.random.default_rng(6)
+    docs = documents(spark, [(i, " ".join(f"w{k}" for k in rng.integers(0, 60_000, 900))) for i in range(100)])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    before = own()
+    assert lm_scoring.score(docs, labels).count() == 100
+    for _ in range(50):  # files go a moment after the step
+        left = own() - before
+        if len(left) <= 1:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 1, left
+
+
 # quality
 
 
