@@ -94,13 +94,16 @@ def _behind(html: str, tag: str, at: int) -> int:
 
 
 def _select_end(html: str, at: int) -> int:
-    """Where a select that was opened before ``at`` ends: at its end tag, or, if another select, the form's end or the
-    page's end comes before that, there or where a block-level element begins."""
+    """Where a select that was opened before ``at`` ends: at its end tag, or, if another select or the form's end comes
+    before that, there or where a block-level element begins. One that nothing ends hides nothing if a block-level
+    element follows, else what is left of the page."""
     border = _SELECT_END.search(html, at)
     if border and border[1]:
         return border.end()
     stop = border.start() if border else len(html)
     block = _BLOCK_START.search(html, at, stop)
+    if not border:
+        return at if block else stop
     return block.start() if block else stop
 
 
@@ -109,7 +112,8 @@ def parse(html: str) -> Page:
 
     A head ends at the first tag or text that cannot stand in it. Raw text (script, style, ...) without an end tag goes to
     the page's end, as browsers read it; a drawing without one hides nothing; a select without one ends at the next select,
-    at the form's end or where a block-level element begins. What other elements hold for
+    at the form's end or where a block-level element begins before these, and hides nothing if only the page's end and
+    block-level elements follow. What other elements hold for
     readers without them (math, object, audio, video, canvas, noscript) is text.
     """
     nodes, blocks = [Node("html", -1, 0, ())], []
