@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Bytes of a batch that goes to Python, but for longer single rows.
 BATCH_BYTES = 16_777_216
+#: Bytes in memory for each byte of kept rows, as Spark is to estimate them: an id takes under one in Parquet, 140 in a broadcast.
+IN_MEMORY = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +38,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder as Parquet, which takes a fraction of what its rows would and is
-    read by column. What Parquet cannot hold (columns without a type or of one name) is kept as rows."""
+    read by column. What Parquet cannot hold (columns without a type or of one name) is kept as rows.
+
+    Spark takes a table's size in files for its size in memory, and would broadcast many millions of kept rows; so the
+    session's factor between them is set, unless the session sets its own. Sides that a shuffle has measured are still broadcast.
+    """
     spark, kinds = df.sparkSession, [t for _, t in df.dtypes]
     if not kinds or any("void" in t or "interval" in t for t in kinds) or len({c.lower() for c in df.columns}) < len(kinds):
         shared_dir(spark)
         return df.checkpoint()
+    if spark.conf.get("spark.sql.sources.fileCompressionFactor", None) is None:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", str(float(IN_MEMORY)))
     path = shared_path(spark, "rows")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

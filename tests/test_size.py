@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from gridweave import shared
-from gridweave.operators import lineage
+from gridweave.operators import lineage, lookup
 
 
 def test_kept_rows_take_few_bytes(spark):
@@ -29,3 +29,11 @@ def test_repeated_edges_count_once(spark):
     assert sorted(r.job_id for r in lineage.sinks(runs, e).collect()) == ["b", "c", "e"] and [r.job_id for r in lineage.roots(runs, e).collect()] == ["a"]
     own = spark.createDataFrame([("b", "k", "1"), ("c", "k", "2")], "job_id string, k string, v string")
     assert {r.job_id: r.v for r in lineage.inherit_attributes(n, e, own).collect()} == {"b": "1", "c": "2", "d": "2", "e": "2"}
+
+
+def test_kept_rows_are_not_broadcast_by_their_size_in_files(spark):
+    eff = spark.range(300_000).select(F.concat(F.lit("o:"), "id").alias("job_id"), F.lit("prio").alias("k"), F.lit("1-URGENT").alias("v"))
+    jobs = spark.range(400_000).select(F.concat(F.lit("o:"), "id").alias("job_id"), F.lit("order").alias("name"))
+    wide = lookup.to_table(jobs, eff, ["prio"])
+    assert "BroadcastHashJoin" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert tuple(wide.agg(F.count("*"), F.count("prio")).first()) == (400_000, 300_000)
