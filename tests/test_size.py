@@ -1,5 +1,6 @@
 """What graph operators keep and shuffle."""
 
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -37,3 +38,58 @@ def test_kept_rows_are_not_broadcast_by_their_size_in_files(spark):
     wide = lookup.to_table(jobs, eff, ["prio"])
     assert "BroadcastHashJoin" not in wide._jdf.queryExecution().executedPlan().toString()
     assert tuple(wide.agg(F.count("*"), F.count("prio")).first()) == (400_000, 300_000)
+
+
+def _shuffled(spark):
+    """Bytes of the shuffle files that are there, by name."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    every = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in every if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def _left_by(spark, f, most):
+    """What ``f`` gives, and the bytes of its shuffle files that stay; they go a moment after the step."""
+    before = _shuffled(spark)
+    out = f()
+    deadline = time.monotonic() + 20
+    while (left := sum(n for k, n in _shuffled(spark).items() if k not in before)) > most and time.monotonic() < deadline:
+        time.sleep(0.2)
+    return out, left
+
+
+def test_kept_steps_leave_no_shuffle_files(spark):
+    kept, left = _left_by(spark, lambda: shared.checkpoint(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))), 0)
+    assert left == 0 and kept.count() == 1000
+
+
+def test_graph_operators_leave_few_bytes_in_shuffles(spark):
+    lines = spark.range(20_000).select(F.concat(F.lit("l:"), "id").alias("job_id"), F.explode(F.array(F.concat(F.lit("o:"), F.expr("id div 4")), F.concat(F.lit("s:"), F.col("id") % 50))).alias("dep_id"))
+    edges = lines.withColumn("pos", F.when(F.col("dep_id").startswith("o"), 0).otherwise(1)).repartition(4)
+    nodes = lines.select(F.explode(F.array("job_id", "dep_id")).alias("job_id")).distinct()
+    (done, left, _), stays = _left_by(spark, lambda: lineage.levels(nodes, edges), 20_000)
+    assert stays < 20_000 and {tuple(r) for r in done.groupBy("level").count().collect()} == {(0, 5050), (1, 20_000)} and left.isEmpty()
+
+
+def _layers(spark, width=6, depth=4):
+    """Each node of a layer depends on three of the layer before and, in pairs, on a chain; some dependencies repeat."""
+    edges = [(f"n{d}.{i}", f"n{d - 1}.{(i + j) % width}", j) for d in range(1, depth) for i in range(width) for j in range(3)]
+    edges += [("c1", "c0", 0), ("c2", "c1", 0), ("c3", "c2", 0), ("n1.0", "c3", 3), ("n1.0", "c3", 3), ("n2.0", "self", 9)]
+    names = sorted({x for j, d, _ in edges for x in (j, d)} - {"self"})
+    return spark.createDataFrame([(n,) for n in names], "job_id string"), spark.createDataFrame(edges, "job_id string, dep_id string, pos int")
+
+
+def _kept_by(spark, f):
+    """What ``f`` gives, and the names of what it leaves in the shared folder."""
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    return f(), sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+
+
+def test_levels_in_slices_are_the_same_and_drop_what_is_done_with(spark, monkeypatch):
+    nodes, edges = _layers(spark)
+    whole = {r.job_id: r.level for r in lineage.levels(nodes, edges)[0].collect()}
+    assert whole["c3"] == 3 and whole["n1.0"] == 4 and whole["n1.1"] == 1 and whole["n3.5"] == 6 and len(whole) == 28
+    monkeypatch.setattr(shared, "SLICE_ROWS", 40, raising=False)
+    (done, left, lost), names = _kept_by(spark, lambda: lineage.levels(nodes, edges.union(spark.sql("SELECT 'n3.5', 'nowhere', 7")), "ignore"))
+    assert {r.job_id: r.level for r in done.collect()} == whole and left.isEmpty() and [tuple(r) for r in lost.collect()] == [("n3.5", "nowhere")]
+    assert not {"nodes", "edges", "unknown"} & set(names)
