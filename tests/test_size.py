@@ -68,6 +68,9 @@ def test_graph_operators_leave_few_bytes_in_shuffles(spark):
     nodes = lines.select(F.explode(F.array("job_id", "dep_id")).alias("job_id")).distinct()
     (done, left, _), stays = _left_by(spark, lambda: lineage.levels(nodes, edges), 20_000)
     assert stays < 20_000 and {tuple(r) for r in done.groupBy("level").count().collect()} == {(0, 5050), (1, 20_000)} and left.isEmpty()
+    own = edges.select(F.col("dep_id").alias("job_id"), F.substring("dep_id", 1, 1).alias("k"), F.col("dep_id").alias("v")).distinct()
+    got, stays = _left_by(spark, lambda: lineage.inherit_attributes(nodes, edges, own), 20_000)
+    assert stays < 20_000 and got.count() == 45_050
 
 
 def _layers(spark, width=6, depth=4):
@@ -93,3 +96,12 @@ def test_levels_in_slices_are_the_same_and_drop_what_is_done_with(spark, monkeyp
     (done, left, lost), names = _kept_by(spark, lambda: lineage.levels(nodes, edges.union(spark.sql("SELECT 'n3.5', 'nowhere', 7")), "ignore"))
     assert {r.job_id: r.level for r in done.collect()} == whole and left.isEmpty() and [tuple(r) for r in lost.collect()] == [("n3.5", "nowhere")]
     assert not {"nodes", "edges", "unknown"} & set(names)
+
+
+def test_attributes_in_slices_are_the_same(spark, monkeypatch):
+    nodes, edges = _layers(spark)
+    own = spark.createDataFrame([(f"n0.{i}", k, f"{k}{i}") for i in range(6) for k in "xy"] + [("c0", "z", "0"), ("c2", "x", "c"), ("n1.1", "y", None)], "job_id string, k string, v string")
+    whole = sorted(map(tuple, lineage.inherit_attributes(nodes, edges, own).collect()), key=str)
+    assert ("n1.0", "x", "c") in whole and ("n1.1", "y", None) in whole and ("n1.2", "x", "x4") in whole
+    monkeypatch.setattr(shared, "SLICE_ROWS", 40, raising=False)
+    assert sorted(map(tuple, lineage.inherit_attributes(nodes, edges, own).collect()), key=str) == whole
