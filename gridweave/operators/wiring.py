@@ -5,14 +5,14 @@ outputs: (stage, name). inputs: (stage, name). deps: (stage, dep).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators.fanout import Step, sink_of
 from gridweave.operators.lineage import levels
-from gridweave.shared import small
+from gridweave.shared import checkpoint, checkpoint_sliced, discard, shared_path, small
 
 
 def wire_implicit(deps: DataFrame, outputs: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,11 +89,23 @@ def resolve_inputs(edges: DataFrame, outputs: DataFrame, jobs: DataFrame, base:
     """(job_id, target_input, path) for edges (job_id, dep_id, source_output, target_input, mapping_type); unresolved ones.
 
     A producer's output is that of ``gather`` if it is a fan-out, else of ``main``; ``$out`` becomes its folder.
-    ``global`` edges are the store's base, ``inter-run`` edges the source run's metadata (source_run).
+    ``global`` edges are the store's base, ``inter-run`` edges the source run's metadata (source_run). The producers' outputs
+    are found first, so that edges travel once, a slice at a time; those without a producer do not.
     """
+    spark = jobs.sparkSession
+    places = [shared_path(spark, name) for name in ("edges", "outputs")]
     kind = jobs.select(F.col("job_id").alias("dep_id"), F.when(F.col("stage_type") == "scatter-gather", "gather").otherwise("main").alias("exe"))
     made = outputs.select(F.col("job_id").alias("dep_id"), "exe", F.col("output").alias("source_output"), "template")
-    found = edges.join(kind, "dep_id", "left").join(made, ["dep_id", "exe", "source_output"], "left")
+    edges = checkpoint(edges, places[0])
+    given = checkpoint(kind.join(made, ["dep_id", "exe"]).select("dep_id", "source_output", "template"), places[1])
     path = F.when(F.col("mapping_type") == "global", base).when(F.col("mapping_type") == "inter-run", F.concat(F.lit(f"{base}/runs/"), "source_run", F.lit(".json"))).otherwise(F.replace("template", F.lit("$out"), F.concat(F.lit(f"{base}/"), "dep_id", F.lit("/out"))))
-    out = found.withColumn("path", path)
+
+    def found(mine: Callable[[str], Column]) -> DataFrame:
+        needy = edges.filter("dep_id is not null").filter(mine("dep_id")).join(given.filter(mine("dep_id")), ["dep_id", "source_output"], "left")
+        return needy.select("job_id", "dep_id", "source_output", "target_input", path.alias("path"))
+
+    out = checkpoint_sliced(spark, edges.count() + given.count(), found)
+    alone = edges.filter("dep_id is null").withColumn("template", F.lit(None).cast("string"))
+    out = out.union(checkpoint(alone.select("job_id", "dep_id", "source_output", "target_input", path.alias("path"))))
+    discard(spark, *places)
     return out.filter("path is not null").select("job_id", "target_input", "path"), out.filter("path is null").select("job_id", "dep_id", "source_output")

@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from gridweave import shared
-from gridweave.operators import lineage, lookup
+from gridweave.operators import lineage, lookup, wiring
 
 
 def test_kept_rows_take_few_bytes(spark):
@@ -71,6 +71,16 @@ def test_graph_operators_leave_few_bytes_in_shuffles(spark):
     own = edges.select(F.col("dep_id").alias("job_id"), F.substring("dep_id", 1, 1).alias("k"), F.col("dep_id").alias("v")).distinct()
     got, stays = _left_by(spark, lambda: lineage.inherit_attributes(nodes, edges, own), 20_000)
     assert stays < 20_000 and got.count() == 45_050
+    outputs = nodes.select("job_id", F.lit("main").alias("exe"), F.lit("data").alias("output"), F.lit("$out/x").alias("template"))
+    wired = edges.select("job_id", "dep_id", F.lit("data").alias("source_output"), F.lit("in").alias("target_input"), F.lit("job").alias("mapping_type"), F.lit(None).cast("string").alias("source_run"))
+
+    def resolved():
+        good, bad = wiring.resolve_inputs(wired, outputs, nodes.withColumn("stage_type", F.lit("simple")), "/b")
+        good.write.format("noop").mode("overwrite").save()
+        return good, bad
+
+    (good, bad), stays = _left_by(spark, resolved, 20_000)
+    assert stays < 20_000 and good.count() == 40_000 and bad.isEmpty()
 
 
 def _layers(spark, width=6, depth=4):
@@ -105,3 +115,17 @@ def test_attributes_in_slices_are_the_same(spark, monkeypatch):
     assert ("n1.0", "x", "c") in whole and ("n1.1", "y", None) in whole and ("n1.2", "x", "x4") in whole
     monkeypatch.setattr(shared, "SLICE_ROWS", 40, raising=False)
     assert sorted(map(tuple, lineage.inherit_attributes(nodes, edges, own).collect()), key=str) == whole
+
+
+def test_inputs_in_slices_are_resolved_once_and_drop_what_is_done_with(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SLICE_ROWS", 10, raising=False)
+    jobs = spark.createDataFrame([(f"j{i}", "scatter-gather" if i % 2 else "simple") for i in range(20)], "job_id string, stage_type string")
+    outputs = jobs.filter("job_id <> 'j4'").select("job_id", F.explode(F.array(F.lit("main"), F.lit("gather"))).alias("exe"), F.lit("data").alias("output"))
+    outputs = outputs.withColumn("template", F.concat(F.lit("$out/"), "exe"))
+    rows = [(f"k{i}", f"j{i}", "data", "in", "job", None) for i in range(21)] + [("k0", "j0", "other", "in", "job", None), ("g", None, None, "store", "global", None), ("r", None, None, "meta", "inter-run", "s"), ("n", None, "data", "in", "job", None)]
+    edges = spark.createDataFrame(rows, "job_id string, dep_id string, source_output string, target_input string, mapping_type string, source_run string")
+    (good, bad), names = _kept_by(spark, lambda: wiring.resolve_inputs(edges, outputs, jobs, "/b"))
+    want = [(f"k{i}", "in", f"/b/j{i}/out/{'gather' if i % 2 else 'main'}") for i in range(20) if i != 4]
+    assert sorted(map(tuple, good.collect())) == sorted([*want, ("g", "store", "/b"), ("r", "meta", "/b/runs/s.json")])
+    assert sorted(map(tuple, bad.collect()), key=str) == sorted([("k4", "j4", "data"), ("k20", "j20", "data"), ("k0", "j0", "other"), ("n", None, "data")], key=str)
+    assert "rows" in names and not {"edges", "outputs"} & set(names)
